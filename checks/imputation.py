@@ -102,7 +102,7 @@ def imputation_summary(spark: SparkSession, sf: str) -> DataFrame:
     before, after = _by_config(spark, sf)
     summary = op.imputation_summary(before, after, CONFIG)
     limit = F.coalesce(F.col("parameters")["limit"], F.col("parameters")["n_neighbors"])
-    return summary.drop("parameters").withColumn("parameter", limit)
+    return summary.withColumn("parameter", limit).drop("parameters")
 
 
 QUERIES = {

@@ -217,63 +217,86 @@ def knn_impute(
     smaller ``key``. A row without any common coordinate gets the column mean.
     """
     features = list(features or numeric_columns(df, exclude=(target, key)))
+    columns = [*features, target]
+    groups = (
+        df.groupBy(F.array(*[F.col(c).isNotNull() for c in columns]).alias("has"))
+        .agg(F.count(F.lit(1)).alias("rows"), *[F.sum(c).alias(c) for c in columns])
+        .collect()
+    )  # at most 2 ** len(columns) rows
+    rows = sum(g.rows for g in groups)
+    split = Split(rows > MAX_SERIES_ROWS, MAX_SERIES_ROWS)
+    has = [(tuple(g.has), g.rows, g.asDict()) for g in groups]
+    means = {}
+    for i, c in enumerate(columns):
+        known = sum(n for h, n, _ in has if h[i])
+        means[c] = sum(g[c] for h, _, g in has if h[i]) / known if known else None
+
     filled = df.select(key, *features)
-    for f in features:
+    for i, f in enumerate(features):
         others = [c for c in features if c != f]
+
+        def pick(h: tuple, i: int = i) -> tuple:
+            return tuple(x for j, x in enumerate(h[:-1]) if j != i)
+
+        gaps = {pick(h) for h, _, _ in has if not h[i]}
+        donors = {pick(h) for h, _, _ in has if h[i]}
         # always from the original gaps: the features are filled side by side
-        filled = _knn_column(df.select(key, *features), f, others, key, k, weights).join(
-            filled.drop(f), key
-        )
-    table = keep(filled.join(df.select(key, target), key))
-    values = _knn_column(table, target, features, key, k, weights)
+        side = df.select(key, *features)
+        values = _knn_column(side, f, others, gaps, donors, means[f], key, k, weights, split)
+        if values is not None:
+            filled = values.join(filled.drop(f), key)
+    full = tuple(means[f] is not None for f in features)
+    table = filled.join(df.select(key, target), key)
+    gaps = {full} if any(not h[-1] for h, _, _ in has) else set()
+    donors = {full} if any(h[-1] for h, _, _ in has) else set()
+    if gaps and any(full):
+        table = keep(table)
+    values = _knn_column(
+        table, target, features, gaps, donors, means[target], key, k, weights, split
+    )
+    if values is None:
+        return df
     rest = df.select(*[c for c in df.columns if c != target])
     return rest.join(values, key).select(*df.columns)
 
 
 def _knn_column(
-    df: DataFrame, target: str, coords: Sequence[str], key: str, k: int, weights: str
-) -> DataFrame:
-    """(key, target) with every NULL of ``target`` filled."""
-    present = [F.col(c).isNotNull() for c in coords]
-    patterns = (
-        df.groupBy(F.col(target).isNull().alias("gap"), F.array(*present).alias("has"))
-        .agg(F.count(F.lit(1)).alias("n"), F.avg(target).alias("mean"))
-        .collect()
-    )  # at most 2 ** (number of coordinates + 1) rows
-    donors_of = [tuple(p.has) for p in patterns if not p.gap]
-    known = sum(p.n for p in patterns if not p.gap)
-    gap_patterns = [tuple(p.has) for p in patterns if p.gap]
-    if not gap_patterns:
-        return df.select(key, target)
-    mean = sum(p.n * p.mean for p in patterns if not p.gap) / known if known else None
+    df: DataFrame,
+    target: str,
+    coords: Sequence[str],
+    gaps_have: set[tuple],
+    donors_have: set[tuple],
+    mean: float | None,
+    key: str,
+    k: int,
+    weights: str,
+    split: Split,
+) -> DataFrame | None:
+    """(key, target) with every NULL of ``target`` filled; None when there is none.
+
+    ``gaps_have`` and ``donors_have`` list which coordinates are present together. Each pair
+    of such patterns is a plain search in the coordinates both have.
+    """
+    if not gaps_have:
+        return None
     found = None
-    for has in gap_patterns:
-        shared = {}
-        for d in donors_of:
+    for has in sorted(gaps_have):
+        shared: dict[tuple, list] = {}
+        for d in sorted(donors_have):
             common = tuple(a and b for a, b in zip(has, d))
             if any(common):
                 shared.setdefault(common, []).append(d)
         for common, donor_patterns in shared.items():
-            use = [c for c, keep in zip(coords, common) if keep]
+            use = [c for c, present in zip(coords, common) if present]
             gaps = df.filter(F.col(target).isNull() & _has(coords, [has]))
             donors = df.filter(F.col(target).isNotNull() & _has(coords, donor_patterns))
-            scale = (len(coords) + 1) / len(use)
-            hits = nearest(gaps.select(key, *use), donors, use, k, key, F.col(target))
-            hits = hits.select(
-                key,
-                F.transform(
-                    "neighbours",
-                    lambda n: F.struct(
-                        (n["distance"] * F.lit(scale**0.5)).alias("d"),
-                        n["key"].alias("key"),
-                        n["payload"].alias("v"),
-                    ),
-                ).alias("near"),
-            )
+            scale = ((len(coords) + 1) / len(use)) ** 0.5
+            hits = nearest(gaps.select(key, *use), donors, use, k, key, F.col(target), split)
+            hits = hits.select(key, _rescaled("neighbours", scale).alias("near"))
             found = hits if found is None else found.unionByName(hits)
     if found is None:
         return df.select(key, F.coalesce(target, F.lit(mean)).alias(target))
-    # one row per gap and donor pattern, so the group is small: 2 ** coordinates rows of k
+    # one row per gap and donor pattern: at most 2 ** len(coords) lists of k
     near = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)
     found = found.groupBy(key).agg(near.alias("near"))
     found = found.select(F.col(key).alias("__key"), _weighted("near", weights).alias("__value"))
@@ -282,6 +305,17 @@ def _knn_column(
     )
 
 
+def _rescaled(neighbours: str, scale: float) -> Column:
+    return F.transform(
+        neighbours,
+        lambda n: F.struct(
+            (n["distance"] * F.lit(scale)).alias("d"),
+            n["key"].alias("key"),
+            n["payload"].alias("v"),
+        ),
+    )
+
+
 def _has(coords: Sequence[str], patterns: Sequence[Sequence[bool]]) -> Column:
     return F.array(*[F.col(c).isNotNull() for c in coords]).isin(
         *[F.array(*[F.lit(x) for x in p]) for p in patterns]

@@ -90,7 +90,7 @@ def _around(
         return ringed.select(*order, F.concat("before", "after").alias("near"))
     both = ringed.select(*order, F.struct("before", "after", "at").alias("__ring"))
     both = both.unionByName(places.select(*order), allowMissingColumns=True)
-    split = choose_split(both, (), split if split.long else max_series_rows)
+    split = choose_split(both, (), max_series_rows)
     rows = positioned(both, (), order, split)
     ring = F.col("__ring")
     rows = carry(rows, {"__left": ring}, {"__right": ring}, (), order, split)

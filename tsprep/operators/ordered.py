@@ -27,7 +27,7 @@ from ..session import keep
 MAX_SERIES_ROWS = 1_000_000
 
 SEQ = "__seq"
-_PART, _POS, _CHUNK, _HOME = "__part", "__pos", "__chunk", "__home"
+_PART, _POS, _AT, _CHUNK, _HOME = "__part", "__pos", "__at", "__chunk", "__home"
 
 
 class Split(NamedTuple):
@@ -51,8 +51,10 @@ def choose_split(
     return Split(longest > max_series_rows, max_series_rows)
 
 
-def number_rows(df: DataFrame, series_by: Sequence[str], order_by: Sequence[str]) -> DataFrame:
-    """Add ``__seq``, the 0-based position of each row inside its series.
+def number_rows(
+    df: DataFrame, series_by: Sequence[str], order_by: Sequence[str], name: str = SEQ
+) -> DataFrame:
+    """Add ``name``, the 0-based position of each row inside its series.
 
     No task sees more than one range of the sort order, however skewed keys or times are.
     The ranged rows are written once, because range bounds come from a sample and both uses
@@ -83,7 +85,7 @@ def number_rows(df: DataFrame, series_by: Sequence[str], order_by: Sequence[str]
         ranged[_PART] == starts["__p"],
     )
     return ranged.join(starts, same).select(
-        *[ranged[c] for c in df.columns], (F.col(_POS) + F.col("__shift")).alias(SEQ)
+        *[ranged[c] for c in df.columns], (F.col(_POS) + F.col("__shift")).alias(name)
     )
 
 
@@ -111,7 +113,7 @@ def over_rows(
         w = Window.partitionBy(*series_by).orderBy(*order_by)
         return df.select("*", *make_columns(w))
     rows = max(split.rows, before, after, 1)
-    seq = F.col(SEQ)
+    seq = F.col(_AT)
     home = F.floor(seq / rows)
     offset = seq - home * rows
     chunks = F.array_compact(
@@ -122,13 +124,13 @@ def over_rows(
         )
     )
     spread = (
-        number_rows(df, series_by, order_by)
+        number_rows(df, series_by, order_by, _AT)
         .withColumn(_HOME, home)
         .withColumn(_CHUNK, F.explode(chunks))
     )
-    w = Window.partitionBy(*series_by, _CHUNK).orderBy(SEQ)
+    w = Window.partitionBy(*series_by, _CHUNK).orderBy(_AT)
     windowed = spread.select("*", *make_columns(w))
-    return windowed.filter(F.col(_CHUNK) == F.col(_HOME)).drop(SEQ, _HOME, _CHUNK)
+    return windowed.filter(F.col(_CHUNK) == F.col(_HOME)).drop(_AT, _HOME, _CHUNK)
 
 
 def carry(
