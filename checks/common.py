@@ -1,4 +1,9 @@
-"""SQL text shared by the checks."""
+"""SQL text and rounding shared by the checks."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 READINGS = """readings AS (
   SELECT event_id, ts,
@@ -13,3 +18,15 @@ READINGS = """readings AS (
 # order of the rows of one line, and of the whole table
 LINE = "PARTITION BY id_line ORDER BY ts, event_id"
 WHOLE = "ORDER BY ts, event_id"
+
+# Means of two-decimal values often end exactly half-way between two rounded values, where
+# the last bit of a sum decides. A small shift moves them off the half on both sides.
+OFF_HALF = "1.234e-7"
+
+
+def settled(sql: str, digits: int = 4) -> str:
+    return f"round({sql} + CAST({OFF_HALF} AS DOUBLE), {digits})"
+
+
+def settled_column(name: str, digits: int = 4) -> Column:
+    return F.round(F.col(name) + F.lit(float(OFF_HALF)), digits).alias(name)
