@@ -20,7 +20,7 @@ def _scale(method: str, columns: tuple[str, ...], **options):
         df = scale.scale(table(spark, sf, "lineitem"), columns, method, **options)
         return df.select(
             "l_orderkey", "l_linenumber",
-            *[F.round(f"{c}_scaled", 6).alias(f"{c}_scaled") for c in columns],
+            *[settled_column(f"{c}_scaled") for c in columns],
         )
 
     return run
@@ -30,7 +30,7 @@ def scale_by_config(spark: SparkSession, sf: str) -> DataFrame:
     config = {"voltage": "standard", "current": "robust", "power": "minmax"}
     df = scale.scale_by_config(readings(spark, sf), config)
     return df.select(
-        "event_id", *[F.round(f"{c}_scaled", 6).alias(f"{c}_scaled") for c in config]
+        "event_id", *[settled_column(f"{c}_scaled") for c in config]
     )
 
 
@@ -164,7 +164,7 @@ def _rolling_sql(over: str) -> str:
 
 
 def _scale_sql(**columns: str) -> str:
-    made = ", ".join(f"round({sql}, 6) AS {c}_scaled" for c, sql in columns.items())
+    made = ", ".join(f"{settled(sql)} AS {c}_scaled" for c, sql in columns.items())
     return f"SELECT l_orderkey, l_linenumber, {made} FROM lineitem"
 
 
@@ -192,9 +192,9 @@ ORACLE = {
     "scale_minmax": _scale_sql(l_quantity=_minmax("l_quantity"), l_discount=_minmax("l_discount")),
     "scale_minmax_range": _scale_sql(l_tax=f"{_minmax('l_tax')} * 2 - 1"),
     "scale_by_config": f"""WITH {READINGS} SELECT event_id,
-      round({_standard("voltage")}, 6) AS voltage_scaled,
-      round({_robust("current")}, 6) AS current_scaled,
-      round({_minmax("power")}, 6) AS power_scaled FROM readings""",
+      {settled(_standard("voltage"))} AS voltage_scaled,
+      {settled(_robust("current"))} AS current_scaled,
+      {settled(_minmax("power"))} AS power_scaled FROM readings""",
     "scaler_parameters": f"""WITH {READINGS}
       SELECT 'voltage' AS column, 'standard' AS method, round(avg(voltage), 6) AS center,
              round(stddev_pop(voltage), 6) AS scale, CAST(0 AS DOUBLE) AS shift FROM readings

@@ -223,8 +223,6 @@ def knn_impute(
         .agg(F.count(F.lit(1)).alias("rows"), *[F.sum(c).alias(c) for c in columns])
         .collect()
     )  # at most 2 ** len(columns) rows
-    rows = sum(g.rows for g in groups)
-    split = Split(rows > MAX_SERIES_ROWS, MAX_SERIES_ROWS)
     has = [(tuple(g.has), g.rows, g.asDict()) for g in groups]
     means = {}
     for i, c in enumerate(columns):
@@ -242,7 +240,7 @@ def knn_impute(
         donors = {pick(h) for h, _, _ in has if h[i]}
         # always from the original gaps: the features are filled side by side
         side = df.select(key, *features)
-        values = _knn_column(side, f, others, gaps, donors, means[f], key, k, weights, split)
+        values = _knn_column(side, f, others, gaps, donors, means[f], key, k, weights)
         if values is not None:
             filled = values.join(filled.drop(f), key)
     full = tuple(means[f] is not None for f in features)
@@ -251,9 +249,7 @@ def knn_impute(
     donors = {full} if any(h[-1] for h, _, _ in has) else set()
     if gaps and any(full):
         table = keep(table)
-    values = _knn_column(
-        table, target, features, gaps, donors, means[target], key, k, weights, split
-    )
+    values = _knn_column(table, target, features, gaps, donors, means[target], key, k, weights)
     if values is None:
         return df
     rest = df.select(*[c for c in df.columns if c != target])
@@ -270,7 +266,6 @@ def _knn_column(
     key: str,
     k: int,
     weights: str,
-    split: Split,
 ) -> DataFrame | None:
     """(key, target) with every NULL of ``target`` filled; None when there is none.
 
@@ -291,7 +286,7 @@ def _knn_column(
             gaps = df.filter(F.col(target).isNull() & _has(coords, [has]))
             donors = df.filter(F.col(target).isNotNull() & _has(coords, donor_patterns))
             scale = ((len(coords) + 1) / len(use)) ** 0.5
-            hits = nearest(gaps.select(key, *use), donors, use, k, key, F.col(target), split)
+            hits = nearest(gaps.select(key, *use), donors, use, k, key, F.col(target))
             hits = hits.select(key, _rescaled("neighbours", scale).alias("near"))
             found = hits if found is None else found.unionByName(hits)
     if found is None:

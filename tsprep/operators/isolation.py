@@ -64,8 +64,8 @@ def grow_forest(
     """The forest as one row per node: at most ``trees`` x 2 x ``sample_rows`` rows.
 
     Which rows a tree sees depends only on hashes of the key, so the result does not change
-    with the partitioning. A pool of fixed expected size is drawn in the scan; each tree then
-    takes ``sample_rows`` of the pool.
+    with the partitioning. A pool of fixed expected size is drawn in the scan; each tree draws
+    about twice ``sample_rows`` of the pool and takes the first of them.
     """
     complete = df.select(key, *[F.col(c).cast("double").alias(c) for c in columns]).dropna()
     total = complete.count()
@@ -74,12 +74,20 @@ def grow_forest(
     bucket = 1_000_000_000
     share = min(1.0, 1.5 * trees * sample_rows / total)
     drawn = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(bucket)) < F.lit(int(share * bucket))
-    pool = complete.filter(drawn).select(
-        key, *columns, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
+    pool_rows = max(1.0, share * total)
+    chance = min(1.0, 2 * sample_rows / pool_rows)
+    draw = F.xxhash64(key, "tree", F.lit(seed))
+    pool = (
+        complete.filter(drawn)
+        .select(key, *columns, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+        .withColumn("draw", F.pmod(draw, F.lit(bucket)))
+        .filter(F.col("draw") < int(chance * bucket))
     )
+    # a fixed number of tasks, so that the few rows are not merged into one
+    tasks = min(trees, complete.sparkSession.sparkContext.defaultParallelism)
     w = Window.partitionBy("tree").orderBy("draw", key)
     sample = (
-        pool.withColumn("draw", F.xxhash64(key, "tree", F.lit(seed)))
+        pool.repartition(tasks, "tree")
         .withColumn("place", F.row_number().over(w))
         .filter(F.col("place") <= sample_rows)
     )

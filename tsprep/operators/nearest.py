@@ -2,19 +2,19 @@
 
 1. Rows with equal coordinates become one point that keeps its ``k`` smallest keys; no row
    with a larger key can be among the k nearest, since ties go to the smaller key.
-2. Along a sort order, the ``k`` points before and after a query already hold ``k`` donors, so
-   their k-th distance bounds the true one. With one coordinate the order is the coordinate
-   and step 2 is the answer. With more, the order is a Z-order curve over quantile bins.
-3. Each query looks into the grid cells its bounded ball touches. The cell side is the power
+2. Points and places are cut into ranges of a Z-order curve over quantile bins. Inside a range,
+   the points just before and after a place hold ``k`` donors, so their k-th distance is an
+   upper bound for the true one. Quantile bins keep the ranges even for any distribution.
+3. Each place looks into the grid cells its bounded ball touches. The cell side is the power
    of two just above the ball's radius, so a ball touches at most three cells per axis.
    Points are put into the grid once per side length in use.
 
-The sort order runs on :mod:`.ordered`, so a large or skewed table is cut into chunks. The
-bound only decides how far to look, never which donors count.
+The bound only decides how far to look, never which donors count.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -22,9 +22,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import keep
-from .ordered import MAX_SERIES_ROWS, SEQ, Split, carry, choose_split, over_rows, positioned
 
 _BINS = 256
+_RANGE_ROWS = 10_000
+_MAX_RANGES = 2_048
 
 
 def nearest(
@@ -34,7 +35,6 @@ def nearest(
     k: int,
     donor_key: str,
     payload: Column,
-    max_series_rows: int | Split = MAX_SERIES_ROWS,
 ) -> DataFrame:
     """Append ``neighbours`` to ``queries``: up to k structs (distance, key, payload), sorted.
 
@@ -44,10 +44,9 @@ def nearest(
     axes = [f"__x{i}" for i in range(len(coords))]
     as_axes = [F.col(c).cast("double").alias(a) for c, a in zip(coords, axes)]
     item = F.struct(F.col(donor_key).alias("key"), payload.alias("payload"))
-    points = _points(donors.select(*as_axes, item.alias("item")), axes, k)
+    points = keep(_points(donors.select(*as_axes, item.alias("item")), axes, k))
     places = None if queries is None else queries.select(*as_axes).distinct()
-    find = _along_line if len(axes) == 1 else _in_grid
-    found = find(places, points, axes, k, max_series_rows)
+    found = _in_grid(places, points, axes, k)
     if queries is None:
         return found.select(*[F.col(a).alias(c) for a, c in zip(axes, coords)], "neighbours")
     tagged = queries.select("*", *as_axes)
@@ -61,52 +60,6 @@ def _points(rows: DataFrame, axes: Sequence[str], k: int) -> DataFrame:
     return first.groupBy(*axes).agg(F.array_sort(F.collect_list("item")).alias("items"))
 
 
-def _around(
-    places: DataFrame | None,
-    points: DataFrame,
-    order: Sequence[str],
-    keep_columns: Column,
-    k: int,
-    max_series_rows: int | Split,
-) -> DataFrame:
-    """Give each place the k points before and the k points after it in the given order."""
-    split = choose_split(points, (), max_series_rows)
-    # a place of its own: k places after itself
-    ahead = k if places is None else k - 1
-    ringed = over_rows(
-        points.select(*order, keep_columns.alias("__p")),
-        lambda w: [
-            F.collect_list("__p").over(w.rowsBetween(-k, -1)).alias("before"),
-            F.collect_list("__p").over(w.rowsBetween(0, ahead)).alias("after"),
-            F.col("__p").alias("at"),
-        ],
-        (),
-        order,
-        before=k,
-        after=ahead,
-        max_series_rows=split,
-    )
-    if places is None:
-        return ringed.select(*order, F.concat("before", "after").alias("near"))
-    both = ringed.select(*order, F.struct("before", "after", "at").alias("__ring"))
-    both = both.unionByName(places.select(*order), allowMissingColumns=True)
-    split = choose_split(both, (), max_series_rows)
-    rows = positioned(both, (), order, split)
-    ring = F.col("__ring")
-    rows = carry(rows, {"__left": ring}, {"__right": ring}, (), order, split)
-    # the point to the right knows the k points before and the k from itself on; past the
-    # last point only the left side is known
-    left = F.col("__left")
-    past_end = F.slice(F.concat(left["before"], F.array(left["at"])), -k, k)
-    past_end = F.when(F.size(left["before"]) >= k, past_end).otherwise(
-        F.concat(left["before"], F.array(left["at"]))
-    )
-    near = F.when(
-        F.col("__right").isNotNull(), F.concat("__right.before", "__right.after")
-    ).otherwise(past_end)
-    return rows.filter(ring.isNull()).select(*order, near.alias("near"))
-
-
 def _square(axes: Sequence[str], p: Column) -> Column:
     """Squared distance between this row's place and the place in struct ``p``."""
     total = None
@@ -116,54 +69,14 @@ def _square(axes: Sequence[str], p: Column) -> Column:
     return total
 
 
-def _along_line(
-    places: DataFrame | None,
-    points: DataFrame,
-    axes: Sequence[str],
-    k: int,
-    max_series_rows: int | Split,
-) -> DataFrame:
-    (axis,) = axes
-    point = F.struct(axis, "items")
-    near = _around(places, points, axes, point, k, max_series_rows)
-    hits = F.transform(
-        "near",
-        lambda p: F.transform(
-            p["items"],
-            lambda i: F.struct(
-                F.sqrt(_square(axes, p)).alias("distance"),
-                i["key"].alias("key"),
-                i["payload"].alias("payload"),
-            ),
-        ),
-    )
-    return near.select(axis, F.slice(_sorted(F.flatten(hits)), 1, k).alias("neighbours"))
-
-
-def _sorted(hits: Column) -> Column:
-    """By distance, then key; payloads need not be comparable."""
-
-    def order(a: Column, b: Column) -> Column:
-        return (
-            F.when(a["distance"] < b["distance"], -1)
-            .when(a["distance"] > b["distance"], 1)
-            .when(a["key"] < b["key"], -1)
-            .when(a["key"] > b["key"], 1)
-            .otherwise(0)
-        )
-
-    return F.array_sort(hits, order)
-
-
 def _in_grid(
-    places: DataFrame | None,
-    points: DataFrame,
-    axes: Sequence[str],
-    k: int,
-    max_series_rows: int | Split,
+    places: DataFrame | None, points: DataFrame, axes: Sequence[str], k: int
 ) -> DataFrame:
-    points = keep(points)
-    bounded = keep(_bounded(places, points, axes, k, max_series_rows))
+    bounded = _bounded(places, points, axes, k)
+    if bounded is None:  # no donors at all
+        empty = points.select(*axes, F.array().cast("array<string>").alias("neighbours"))
+        return empty.limit(0)
+    bounded = keep(bounded)
     # a few dozen at most: one per power of two between the smallest and largest radius
     sides = [r[0] for r in bounded.filter("radius > 0").select("level").distinct().collect()]
     side = F.pow(F.lit(2.0), F.col("level"))
@@ -173,66 +86,110 @@ def _in_grid(
         low = F.floor((F.col(a) - reach) / side)
         high = F.floor((F.col(a) + reach) / side)
         looking = looking.withColumn(f"__c{a}", F.explode(F.sequence(low, high)))
-    cells = points.select(
-        F.struct(*axes, "items").alias("p"),
-        F.explode(F.array(*[F.lit(s).cast("int") for s in sides])).alias("level")
-        if sides
-        else F.lit(None).cast("int").alias("level"),
-    )
+    levels = F.array(*[F.lit(s) for s in sides]).cast("array<int>")
+    cells = points.select(F.struct(*axes, "items").alias("p"), F.explode(levels).alias("level"))
     for a in axes:
         cells = cells.withColumn(f"__c{a}", F.floor(F.col(f"p.{a}") / side))
     pairs = looking.join(cells, ["level", *[f"__c{a}" for a in axes]]).withColumn(
         "distance", F.sqrt(_square(axes, F.col("p")))
     )
     pairs = pairs.filter(F.col("distance") <= reach)
-    # equal places hold k donors already: radius 0 needs the place itself only
+    # radius 0: the place itself holds k donors already
     here = bounded.filter("radius = 0").select(*axes)
     own = here.join(points, list(axes)).select(*axes, "items", F.lit(0.0).alias("distance"))
     hits = pairs.select(*axes, F.col("p.items").alias("items"), "distance").unionByName(own)
     hits = hits.select(*axes, "distance", F.inline("items"))
     w = Window.partitionBy(*axes).orderBy("distance", "key")
     first = hits.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") <= k)
-    return first.groupBy(*axes).agg(
-        _sorted(F.collect_list(F.struct("distance", "key", "payload"))).alias("neighbours")
-    )
+    near = F.array_sort(F.collect_list(F.struct("__rank", "distance", "key", "payload")))
+    near = F.transform(near, lambda n: n.dropFields("__rank"))
+    return first.groupBy(*axes).agg(near.alias("neighbours"))
 
 
 def _bounded(
-    places: DataFrame | None,
-    points: DataFrame,
-    axes: Sequence[str],
-    k: int,
-    max_series_rows: int | Split,
-) -> DataFrame:
+    places: DataFrame | None, points: DataFrame, axes: Sequence[str], k: int
+) -> DataFrame | None:
     """Give each place a radius that surely holds k donors, and the grid level for it."""
-    order = ["__z", *axes]
-    quantiles = points.approxQuantile(list(axes), [i / _BINS for i in range(1, _BINS)], 0.001)
-    curve = _z_order(points, axes, quantiles)
+    shape = points.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.min(a).alias(f"lo{a}") for a in axes],
+        *[F.max(a).alias(f"hi{a}") for a in axes],
+    ).first()
+    if shape["n"] == 0:
+        return None
+    shares = [i / _BINS for i in range(1, _BINS)]
+    quantiles = points.approxQuantile(list(axes), shares, 0.001)
+    point = F.struct(*axes, F.size("items").alias("n")).alias("at")
+    curve = _z_order(points.select(*axes, point), axes, quantiles)
     if places is not None:
-        places = _z_order(places, axes, quantiles)
-    point = F.struct(*axes, F.size("items").alias("n"))
-    near = _around(places, curve, order, point, k, max_series_rows)
-    squares = F.flatten(
-        F.transform("near", lambda p: F.array_repeat(_square(axes, p), p["n"]))
+        curve = curve.unionByName(
+            _z_order(places.select(*axes), axes, quantiles), allowMissingColumns=True
+        )
+    ranges = min(_MAX_RANGES, math.ceil(shape["n"] / _RANGE_ROWS))
+    if ranges > 1:
+        cuts = _z_order(points.select(*axes), axes, quantiles).approxQuantile(
+            "__z", [i / ranges for i in range(1, ranges)], 0.1 / ranges
+        )
+        curve = _bucket(curve, ["__z"], ["__range"], [cuts])
+    else:
+        curve = curve.withColumn("__range", F.lit(0.0))
+    w = Window.partitionBy("__range").orderBy("__z", *axes)
+    back = w.orderBy(F.col("__z").desc(), *[F.col(a).desc() for a in axes])
+    if places is None:
+        near = F.collect_list("at").over(w.rowsBetween(-k, k))
+        curve = curve.select(*axes, near.alias("near"))
+    else:
+        # the k points up to a point and the k points from it on; a place takes the lists of
+        # the points next to it
+        ring = curve.filter(F.col("at").isNotNull()).select(
+            "*",
+            F.collect_list("at").over(w.rowsBetween(-(k - 1), 0)).alias("before"),
+            F.collect_list("at").over(w.rowsBetween(0, k - 1)).alias("after"),
+        )
+        both = ring.unionByName(curve.filter(F.col("at").isNull()), allowMissingColumns=True)
+        up_to_here = (Window.unboundedPreceding, 0)
+        sides = [
+            F.last("before", True).over(w.rowsBetween(*up_to_here)),
+            F.last("after", True).over(back.rowsBetween(*up_to_here)),
+        ]
+        none = F.array().cast(ring.schema["before"].dataType)
+        near = F.array_distinct(F.concat(*[F.coalesce(s, none) for s in sides]))
+        curve = both.select(*axes, "at", near.alias("near")).filter(F.col("at").isNull())
+    squares = F.flatten(F.transform("near", lambda p: F.array_repeat(_square(axes, p), p["n"])))
+    curve = curve.select(*axes, F.array_sort(squares).alias("squares"))
+    # too few points in the range: look as far as the farthest corner of all points
+    corner = sum(
+        (
+            F.pow(F.greatest(F.abs(F.col(a) - shape[f"lo{a}"]), F.abs(F.col(a) - shape[f"hi{a}"])), 2)
+            for a in axes
+        ),
+        F.lit(0.0),
     )
-    ranked = F.array_sort(squares)
-    radius = F.sqrt(F.element_at(ranked, F.least(F.lit(k), F.size(ranked))))
-    near = near.select(*axes, radius.alias("radius")).filter(F.col("radius").isNotNull())
+    square = F.when(F.size("squares") >= k, F.try_element_at("squares", F.lit(k)))
+    near = curve.select(*axes, F.sqrt(F.coalesce(square, corner)).alias("radius"))
     return near.withColumn(
         "level", F.when(F.col("radius") > 0, F.ceil(F.log2("radius"))).cast("int")
     )
 
 
+def _bucket(
+    df: DataFrame, columns: Sequence[str], names: Sequence[str], cuts: Sequence[Sequence[float]]
+) -> DataFrame:
+    """Add the number of the interval between ``cuts`` each value falls into."""
+    inf = float("inf")
+    splits = [[-inf, *sorted(set(c)), inf] for c in cuts]
+    return Bucketizer(
+        inputCols=list(columns), outputCols=list(names), splitsArray=splits, handleInvalid="keep"
+    ).transform(df)
+
+
 def _z_order(df: DataFrame, axes: Sequence[str], quantiles: list[list[float]]) -> DataFrame:
     """Interleave the bits of each coordinate's quantile bin."""
     bins = [f"__b{a}" for a in axes]
-    splits = [[-float("inf"), *sorted(set(q)), float("inf")] for q in quantiles]
-    binned = Bucketizer(
-        inputCols=list(axes), outputCols=bins, splitsArray=splits, handleInvalid="keep"
-    ).transform(df)
+    binned = _bucket(df, axes, bins, quantiles)
     z = F.lit(0).cast("bigint")
     for bit in range(_BINS.bit_length() - 1):
         for i, b in enumerate(bins):
             one = F.shiftright(F.col(b).cast("bigint"), bit).bitwiseAND(F.lit(1))
             z = z.bitwiseOR(F.shiftleft(one, bit * len(bins) + i))
-    return binned.select(*df.columns, z.alias("__z"))
+    return binned.select(*df.columns, z.cast("double").alias("__z"))

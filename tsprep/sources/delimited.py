@@ -72,13 +72,18 @@ def normalise_missing(df: DataFrame, tokens: Sequence[str] = NA_TOKENS) -> DataF
 
 def infer_types(df: DataFrame) -> dict[str, str]:
     """The narrowest of BIGINT, DOUBLE, BOOLEAN and STRING that holds every text, in one pass."""
-    kinds = ("bigint", "double", "boolean")
+    # the patterns keep failing casts, which are slow, away from ordinary words
+    patterns = {
+        "bigint": r"^[+-]?\d{1,19}$",
+        "double": r"(?i)^[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity)$",
+        "boolean": r"(?i)^(true|false)$",
+    }
+    kinds = list(patterns)
 
     def fits(c: str, kind: str) -> Column:
-        ok = F.col(c).isNull() | F.trim(c).try_cast(kind).isNotNull()
-        if kind == "boolean":
-            ok = F.col(c).isNull() | F.lower(F.trim(c)).isin("true", "false")
-        return F.bool_and(ok).alias(f"{c}__{kind}")
+        text = F.trim(c)
+        ok = F.when(text.rlike(patterns[kind]), text.try_cast(kind).isNotNull()).otherwise(False)
+        return F.bool_and(F.col(c).isNull() | ok).alias(f"{c}__{kind}")
 
     checks = [fits(c, k) for c in df.columns for k in kinds]
     known = [F.count(c).alias(f"{c}__n") for c in df.columns]
