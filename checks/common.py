@@ -25,8 +25,8 @@ OFF_HALF = "1.234e-7"
 
 
 def settled(sql: str, digits: int = 4) -> str:
-    return f"round({sql} + CAST({OFF_HALF} AS DOUBLE), {digits})"
+    return f"(round({sql} + CAST({OFF_HALF} AS DOUBLE), {digits}) + CAST(0 AS DOUBLE))"
 
 
 def settled_column(name: str, digits: int = 4) -> Column:
-    return F.round(F.col(name) + F.lit(float(OFF_HALF)), digits).alias(name)
+    return (F.round(F.col(name) + F.lit(float(OFF_HALF)), digits) + F.lit(0.0)).alias(name)

@@ -5,13 +5,21 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timing import micros
 from ..session import keep
 from .nearest import nearest
-from .ordered import MAX_SERIES_ROWS, Split, choose_split, over_rows
+from .ordered import (
+    MAX_SERIES_ROWS,
+    Split,
+    carry,
+    choose_split,
+    over_rows,
+    positioned,
+    running_sum,
+)
 
 
 def any_flag(columns: Sequence[str]) -> Column:
@@ -102,21 +110,69 @@ def _over_span(
     order_by: Sequence[str],
     max_series_rows: int | Split,
 ) -> DataFrame:
+    """Frames of a time span, from running sums.
+
+    A frame's sums are the running sums at its end minus those just before its start, so the
+    work does not grow with the number of rows a span holds. Values are centred by the global
+    mean and variance, which keeps the running sums near zero and the differences precise.
+    """
     span = int(hours * 3_600_000_000)
     split = choose_split(df, series_by, max_series_rows)
+    fit = df.agg(
+        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
+        *[F.var_samp(c).alias(f"v{i}") for i, c in enumerate(columns)],
+    ).first()
+    mean = [F.lit(fit[f"m{i}"] or 0.0) for i in range(len(columns))]
+    variance = [F.lit(fit[f"v{i}"] or 0.0) for i in range(len(columns))]
+    sums = {}
+    for i, c in enumerate(columns):
+        d = F.col(c).cast("double") - mean[i]
+        sums[f"n{i}"] = F.count(c)
+        sums[f"s{i}"] = F.coalesce(F.sum(d), F.lit(0.0))
+        sums[f"q{i}"] = F.coalesce(F.sum(d * d - variance[i]), F.lit(0.0))
     timed = df.withColumn("__us", micros(df, order_by[0]))
-    if not split.long:
-        w = Window.partitionBy(*series_by).orderBy("__us").rangeBetween(-span, 0)
-        return timed.select(*df.columns, *_z_flags(w, columns, threshold))
-    # cut by time: a row also serves the next slice, where frames may reach back to it
-    home = F.floor(F.col("__us") / span)
-    spread = timed.withColumn("__home", home).withColumn(
-        "__slice", F.explode(F.array(home, home + 1))
+    moments = timed.groupBy(*series_by, "__us").agg(
+        *[s.alias(f"__{n}") for n, s in sums.items()]
+    )
+    running = running_sum(moments, {n: f"__{n}" for n in sums}, series_by, ("__us",), split)
+    upto = F.struct(*sums)
+    ends = running.select(*series_by, "__us", F.lit(0).alias("__kind"), upto.alias("__sums"))
+    starts = running.select(
+        *series_by,
+        (F.col("__us") - span - 1).alias("__us"),
+        F.lit(1).alias("__kind"),
+        F.col("__us").alias("__end_us"),
+        upto.alias("__end"),
+    )
+    both = ends.unionByName(starts, allowMissingColumns=True)
+    order = ("__us", "__kind")
+    rows = carry(
+        positioned(both, series_by, order, split),
+        {"__start": F.col("__sums")}, {}, series_by, order, split,
+    )
+    flags = []
+    for i, c in enumerate(columns):
+        n, s, q = (
+            F.col(f"__end.{x}{i}") - F.coalesce(F.col(f"__start.{x}{i}"), F.lit(0)) for x in "nsq"
+        )
+        spread = q + n * variance[i] - F.try_divide(s * s, n)
+        std = F.sqrt(F.greatest(F.try_divide(spread, n - 1), F.lit(0.0)))
+        flags += [(mean[i] + F.try_divide(s, n)).alias(f"__m{i}"), std.alias(f"__d{i}")]
+    frames = rows.filter("__kind = 1").select(
+        *[F.col(c).alias(f"__s_{c}") for c in series_by], "__end_us", *flags
+    )
+    same = reduce(
+        lambda a, b: a & b,
+        [timed[c].eqNullSafe(frames[f"__s_{c}"]) for c in series_by],
+        timed["__us"] == frames["__end_us"],
+    )
+    return timed.join(frames, same, "left").select(
+        *[timed[c] for c in df.columns],
+        *[
+            _outside(F.col(c), F.col(f"__m{i}"), F.col(f"__d{i}"), threshold).alias(f"{c}_anomaly")
+            for i, c in enumerate(columns)
+        ],
     )
-    w = Window.partitionBy(*series_by, "__slice").orderBy("__us").rangeBetween(-span, 0)
-    flagged = spread.select("*", *_z_flags(w, columns, threshold))
-    flagged = flagged.filter(F.col("__home") == F.col("__slice"))
-    return flagged.select(*df.columns, *[f"{c}_anomaly" for c in columns])
 
 
 def anomaly_details(flagged: DataFrame, columns: Sequence[str], threshold: float = 3.0) -> DataFrame:

@@ -110,22 +110,21 @@ def _bounded(
     places: DataFrame | None, points: DataFrame, axes: Sequence[str], k: int
 ) -> DataFrame | None:
     """Give each place a radius that surely holds k donors, and the grid level for it."""
-    shape = points.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.min(a).alias(f"lo{a}") for a in axes],
-        *[F.max(a).alias(f"hi{a}") for a in axes],
-    ).first()
-    if shape["n"] == 0:
+    total = points.count()
+    if total == 0:
         return None
-    shares = [i / _BINS for i in range(1, _BINS)]
-    quantiles = points.approxQuantile(list(axes), shares, 0.001)
+    # shares 0 and 1 are the exact ends
+    shares = [i / _BINS for i in range(_BINS + 1)]
+    found = points.approxQuantile(list(axes), shares, 0.001)
+    ends = {a: (q[0], q[-1]) for a, q in zip(axes, found)}
+    quantiles = [q[1:-1] for q in found]
     point = F.struct(*axes, F.size("items").alias("n")).alias("at")
     curve = _z_order(points.select(*axes, point), axes, quantiles)
     if places is not None:
         curve = curve.unionByName(
             _z_order(places.select(*axes), axes, quantiles), allowMissingColumns=True
         )
-    ranges = min(_MAX_RANGES, math.ceil(shape["n"] / _RANGE_ROWS))
+    ranges = min(_MAX_RANGES, math.ceil(total / _RANGE_ROWS))
     if ranges > 1:
         cuts = _z_order(points.select(*axes), axes, quantiles).approxQuantile(
             "__z", [i / ranges for i in range(1, ranges)], 0.1 / ranges
@@ -158,13 +157,9 @@ def _bounded(
     squares = F.flatten(F.transform("near", lambda p: F.array_repeat(_square(axes, p), p["n"])))
     curve = curve.select(*axes, F.array_sort(squares).alias("squares"))
     # too few points in the range: look as far as the farthest corner of all points
-    corner = sum(
-        (
-            F.pow(F.greatest(F.abs(F.col(a) - shape[f"lo{a}"]), F.abs(F.col(a) - shape[f"hi{a}"])), 2)
-            for a in axes
-        ),
-        F.lit(0.0),
-    )
+    corner = F.lit(0.0)
+    for a, (low, high) in ends.items():
+        corner += F.pow(F.greatest(F.abs(F.col(a) - low), F.abs(F.col(a) - high)), 2)
     square = F.when(F.size("squares") >= k, F.try_element_at("squares", F.lit(k)))
     near = curve.select(*axes, F.sqrt(F.coalesce(square, corner)).alias("radius"))
     return near.withColumn(
@@ -187,9 +182,9 @@ def _z_order(df: DataFrame, axes: Sequence[str], quantiles: list[list[float]]) -
     """Interleave the bits of each coordinate's quantile bin."""
     bins = [f"__b{a}" for a in axes]
     binned = _bucket(df, axes, bins, quantiles)
-    z = F.lit(0).cast("bigint")
-    for bit in range(_BINS.bit_length() - 1):
-        for i, b in enumerate(bins):
-            one = F.shiftright(F.col(b).cast("bigint"), bit).bitwiseAND(F.lit(1))
-            z = z.bitwiseOR(F.shiftleft(one, bit * len(bins) + i))
-    return binned.select(*df.columns, z.cast("double").alias("__z"))
+    z = " | ".join(
+        f"shiftleft(shiftright(cast({b} AS bigint), {bit}) & 1, {bit * len(bins) + i})"
+        for bit in range(_BINS.bit_length() - 1)
+        for i, b in enumerate(bins)
+    )
+    return binned.select(*df.columns, F.expr(f"cast({z} AS double)").alias("__z"))

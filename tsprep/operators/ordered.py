@@ -185,36 +185,36 @@ def carry(
 
 def running_sum(
     df: DataFrame,
-    value: str,
-    name: str,
+    sums: dict[str, str],
     series_by: Sequence[str],
     order_by: Sequence[str],
     max_series_rows: int | Split = MAX_SERIES_ROWS,
 ) -> DataFrame:
-    """Append the sum of ``value`` over this row and all earlier rows of the series."""
+    """Append, for each ``name: value`` of ``sums``, the sum of the value over this row and all
+    earlier rows of the series."""
     split = choose_split(df, series_by, max_series_rows)
     up_to_here = (Window.unboundedPreceding, 0)
     if not split.long:
         w = Window.partitionBy(*series_by).orderBy(*order_by).rowsBetween(*up_to_here)
-        return df.withColumn(name, F.sum(value).over(w))
+        return df.select("*", *[F.sum(v).over(w).alias(n) for n, v in sums.items()])
     chunked = number_rows(df, series_by, order_by).withColumn(
         _CHUNK, F.floor(F.col(SEQ) / max(split.rows, 1))
     )
     w = Window.partitionBy(*series_by, _CHUNK).orderBy(SEQ).rowsBetween(*up_to_here)
-    inside = chunked.withColumn("__in", F.sum(value).over(w))
+    inside = chunked.select("*", *[F.sum(v).over(w).alias(f"__in_{n}") for n, v in sums.items()])
     w = Window.partitionBy(*series_by).orderBy(_CHUNK)
-    before = F.sum("__total").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    others = w.rowsBetween(Window.unboundedPreceding, -1)
     edges = (
         chunked.groupBy(*series_by, _CHUNK)
-        .agg(F.sum(value).alias("__total"))
+        .agg(*[F.sum(v).alias(n) for n, v in sums.items()])
         .select(
             *[F.col(c).alias(f"__s_{c}") for c in series_by],
             F.col(_CHUNK).alias("__c"),
-            F.coalesce(before, F.lit(0)).alias("__before"),
+            *[F.coalesce(F.sum(n).over(others), F.lit(0)).alias(f"__out_{n}") for n in sums],
         )
     )
     return _beside(inside, edges, series_by).select(
-        *df.columns, (F.col("__in") + F.col("__before")).alias(name)
+        *df.columns, *[(F.col(f"__in_{n}") + F.col(f"__out_{n}")).alias(n) for n in sums]
     )
 
 

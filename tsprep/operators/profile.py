@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from .impute import numeric_columns
 from .ordered import MAX_SERIES_ROWS, Split, running_sum
+from .quantiles import exact_quantiles
 
 
 def profile_table(df: DataFrame) -> DataFrame:
@@ -34,7 +35,9 @@ def _unpivot(row: DataFrame, columns: Sequence[str], names: Sequence[str]) -> Da
     return row.select(F.inline(F.array(*per_column)))
 
 
-def _statistics(df: DataFrame, c: str, minimal: bool, approximate: bool) -> dict[str, Column]:
+def _statistics(
+    df: DataFrame, c: str, minimal: bool, exact: dict[str, list] | None
+) -> dict[str, Column]:
     field = df.schema[c].dataType
     numeric = isinstance(field, T.NumericType)
     text = isinstance(field, T.StringType)
@@ -60,10 +63,10 @@ def _statistics(df: DataFrame, c: str, minimal: bool, approximate: bool) -> dict
     if not minimal:
         shares = [0.25, 0.5, 0.75]
         sketch = F.percentile_approx(x, shares, 10_000)
-        quartiles = sketch if approximate else F.percentile(x, shares)
         for i, name in enumerate(("q25", "q50", "q75")):
-            stats[name] = quartiles[i]
-        if approximate:
+            stats[name] = sketch[i] if exact is None else F.lit(exact.get(c, [None] * 3)[i])
+            stats[name] = stats[name].cast("double")
+        if exact is None:
             stats["distinct"] = F.approx_count_distinct(c)
     return stats
 
@@ -89,7 +92,10 @@ def profile_columns(
     fixed-size sketches for quartiles and distinct counts; the exact forms cost memory and a
     shuffle that grow with the number of distinct values.
     """
-    stats = {c: _statistics(df, c, minimal, approximate) for c in df.columns}
+    exact = None
+    if not minimal and not approximate:
+        exact = exact_quantiles(df, numeric_columns(df), [0.25, 0.5, 0.75])
+    stats = {c: _statistics(df, c, minimal, exact) for c in df.columns}
     names = list(next(iter(stats.values())))
     wide = df.agg(*[s.alias(f"{c}__{n}") for c, of in stats.items() for n, s in of.items()])
     profile = _unpivot(wide, df.columns, names)
@@ -125,11 +131,15 @@ def describe(
     """count, mean, std, min, quartiles and max of the numeric columns."""
     columns = list(columns or numeric_columns(df))
     shares = [0.25, 0.5, 0.75]
+    exact = None if approximate else exact_quantiles(df, columns, shares)
     names = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
     wide = []
     for c in columns:
-        sketch = F.percentile_approx(c, shares, 10_000).cast("array<double>")
-        q = sketch if approximate else F.percentile(c, shares)
+        if exact is None:
+            sketch = F.percentile_approx(c, shares, 10_000).cast("array<double>")
+            q = [sketch[i] for i in range(3)]
+        else:
+            q = [F.lit(x).cast("double") for x in exact[c]]
         stats = (
             F.count(c), F.avg(c), F.stddev_samp(c), F.min(c).cast("double"),
             q[0], q[1], q[2], F.max(c).cast("double"),
@@ -283,7 +293,7 @@ def correlation_spearman(
     ranked = counted
     for side in ("a", "b"):
         totals = counted.groupBy("pair", side).agg(F.sum("n").alias("m"))
-        summed = running_sum(totals, "m", "upto", ("pair",), (side,), max_series_rows)
+        summed = running_sum(totals, {"upto": "m"}, ("pair",), (side,), max_series_rows)
         rank = (F.col("upto") - (F.col("m") - 1) / F.lit(2.0)).alias(f"rank_{side}")
         ranked = ranked.join(summed.select("pair", side, rank), ["pair", side])
     x, y, n = F.col("rank_a"), F.col("rank_b"), F.col("n")

@@ -8,6 +8,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 METHODS = ("standard", "robust", "minmax")
 PARAMETERS = "column string, method string, center double, scale double, shift double"
 
@@ -17,25 +19,29 @@ def fit_scalers(
 ) -> DataFrame:
     """One row per column: ``scaled = (value - center) / scale + shift``.
 
-    All statistics of all columns come from a single pass. ``approximate`` swaps the exact
-    quartiles, which keep every distinct value, for a fixed-size sketch.
+    Means, deviations and ranges of all columns come from a single pass. Exact quartiles take
+    a count of the distinct values; ``approximate`` uses a fixed-size sketch in the same pass.
     """
     for method in methods.values():
         if method not in METHODS:
             raise ValueError(f"Unknown scaling method: {method}")
     low, high = options.get("quantile_range", (25.0, 75.0))
     shares = [low / 100, 0.5, high / 100]
-    wanted = []
+    robust = [c for c, method in methods.items() if method == "robust"]
+    exact = exact_quantiles(df, robust, shares) if robust and not approximate else {}
+    wanted = [F.count(F.lit(1)).alias("rows")]
     for c, method in methods.items():
         if method == "standard":
             stats = [F.avg(c), F.stddev_pop(c)]
         elif method == "robust":
-            sketch = F.percentile_approx(c, shares, 10_000)
-            stats = [(sketch if approximate else F.percentile(c, shares)).cast("array<double>")]
+            sketch = F.percentile_approx(c, shares, 10_000).cast("array<double>")
+            stats = [sketch] if approximate else []
         else:
             stats = [F.min(c).cast("double"), F.max(c).cast("double")]
         wanted += [s.alias(f"{c}_{i}") for i, s in enumerate(stats)]
-    row = df.agg(*wanted).first()
+    row = df.agg(*wanted).first().asDict()
+    for c, quartiles in exact.items():
+        row[f"{c}_0"] = None if quartiles[0] is None else quartiles
     fitted = [(c, m, *_parameters(m, row, c, options)) for c, m in methods.items()]
     return df.sparkSession.createDataFrame(fitted, PARAMETERS)
 
