@@ -97,8 +97,8 @@ def train_predict(spark: SparkSession, sf: str) -> DataFrame:
 def training_history(spark: SparkSession, sf: str) -> DataFrame:
     samples = _samples(spark, sf)
     parts = [
-        modeling.training_history(modeling.train_model(samples, name), samples, name)
-        for name in ("linear", "boosted")
+        modeling.training_history(modeling.train_model(samples, name, settings), samples, name)
+        for name, settings in (("linear", {"solver": "l-bfgs"}), ("boosted", None))
     ]
     return parts[0].unionByName(parts[1])
 
@@ -160,7 +160,7 @@ def _pooled_sql() -> str:
 def _metrics_sql(y: str, low: float, high: float, weight: float, by: str) -> str:
     key = f"{by}, " if by else ""
     group = f"GROUP BY {by}" if by else ""
-    penalty = f"avg(greatest(0, {low} - p) + greatest(0, p - {high}))"
+    penalty = f"avg(greatest(0, {low} - p) + greatest(0, p - {high})) FILTER (p IS NOT NULL)"
     return f"""WITH {READINGS}, naive AS (
         SELECT id_line, {y} AS a, lag({y}) OVER ({LINE}) AS b FROM readings),
       k AS (SELECT id_line, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN a END AS y,

@@ -12,8 +12,10 @@ LOW, HIGH, WEIGHT = 180.0, 260.0, 0.1
 
 
 def range_penalty(predicted: Column, low: float = LOW, high: float = HIGH) -> Column:
+    """How far a prediction lies outside the bounds; NULL without a prediction."""
     zero = F.lit(0.0)
-    return F.greatest(zero, F.lit(low) - predicted) + F.greatest(zero, predicted - F.lit(high))
+    outside = F.greatest(zero, F.lit(low) - predicted, predicted - F.lit(high))
+    return F.when(predicted.isNotNull(), outside)
 
 
 def _both(actual: str, predicted: str) -> tuple[Column, Column]:

@@ -26,9 +26,10 @@ from ..functions.metrics import regression_metrics
 
 log = logging.getLogger(__name__)
 
-# model name: estimator settings; early stop of the boosted trees comes from validationTol
+# model name: estimator settings. The normal solver reads the samples once; give solver="l-bfgs"
+# for a history of steps. Early stop of the boosted trees comes from validationTol.
 MODELS: dict[str, dict[str, Any]] = {
-    "linear": {"regParam": 1e-5, "elasticNetParam": 0.0, "maxIter": 50},
+    "linear": {"regParam": 1e-5, "elasticNetParam": 0.0, "maxIter": 50, "solver": "normal"},
     "forest": {"numTrees": 20, "maxDepth": 6},
     "boosted": {"maxIter": 20, "maxDepth": 4, "stepSize": 0.1, "validationTol": 0.01},
 }
@@ -48,7 +49,7 @@ def make_estimator(name: str, config: Mapping[str, Any] | None = None, seed: int
     settings = {**MODELS[name], **(config or {})}
     common = dict(featuresCol="features", labelCol="target", predictionCol="predicted")
     if name == "linear":
-        return LinearRegression(**common, solver="l-bfgs", **settings)
+        return LinearRegression(**common, **settings)
     if name == "forest":
         return RandomForestRegressor(**common, seed=seed, **settings)
     return GBTRegressor(**common, seed=seed, validationIndicatorCol="is_val", **settings)

@@ -184,7 +184,7 @@ def summarize(
         return parts
     numeric = [c for c in numeric_columns(df) if c != target]
     if numeric:
-        wide = df.agg(*[F.corr(c, target).alias(c) for c in numeric])
+        wide = df.agg(*[_corr(c, target).alias(c) for c in numeric])
         pairs = [
             F.struct(
                 F.lit(c).alias("column"), F.lit("target_corr").alias("statistic"),
@@ -214,6 +214,13 @@ def summarize(
     return parts
 
 
+def _corr(a: str, b: str) -> Column:
+    """Pearson correlation over rows where both are known; NULL for a constant side."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = (F.when(both, F.col(c).cast("double")) for c in (a, b))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def _long(profile: DataFrame) -> DataFrame:
     names = [c for c in profile.columns if c not in ("column", "top_values")]
     cells = F.array(
@@ -246,7 +253,7 @@ def correlation_pearson(df: DataFrame, columns: Sequence[str] | None = None) ->
     """All column pairs in one pass, as rows (column_a, column_b, correlation)."""
     columns = list(columns or numeric_columns(df))
     pairs = list(combinations_with_replacement(columns, 2))
-    wide = df.agg(*[F.corr(a, b).alias(f"__{i}") for i, (a, b) in enumerate(pairs)])
+    wide = df.agg(*[_corr(a, b).alias(f"__{i}") for i, (a, b) in enumerate(pairs)])
     return _matrix(wide, pairs)
 
 
