@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tsprep.functions.metrics import regression_metrics as metrics
 from tsprep.operators import modeling, sequences as op
+from tsprep.operators.ordered import over_rows
 from tsprep.plans import training
 from tsprep.sources.readings import MEASURES, ORDER, SERIES, readings
 
@@ -63,10 +63,10 @@ def pooled_window_features(spark: SparkSession, sf: str) -> DataFrame:
 
 def _naive(spark: SparkSession, sf: str) -> DataFrame:
     """Predict each value by the one before it on the line."""
-    w = Window.partitionBy(*SERIES).orderBy(*ORDER)
-    return readings(spark, sf).select(
-        "id_line", "voltage", "current", F.lag("voltage").over(w).alias("v"),
-        F.lag("current").over(w).alias("c"),
+    return over_rows(
+        readings(spark, sf),
+        lambda w: [F.lag("voltage").over(w).alias("v"), F.lag("current").over(w).alias("c")],
+        SERIES, ORDER, before=1,
     )
 
 

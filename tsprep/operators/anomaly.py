@@ -20,6 +20,7 @@ from .ordered import (
     positioned,
     running_sum,
 )
+from .quantiles import exact_quantiles
 
 
 def any_flag(columns: Sequence[str]) -> Column:
@@ -206,7 +207,7 @@ def removed_count(flagged: DataFrame) -> DataFrame:
 
 def flag_top_share(scored: DataFrame, score: str, contamination: float) -> DataFrame:
     """Flag scores above the (1 - contamination) percentile."""
-    cut = scored.agg(F.percentile_approx(score, 1 - contamination, 1_000_000)).first()[0]
+    cut = exact_quantiles(scored, [score], [1 - contamination])[score][0]
     over = F.col(score) > F.lit(cut).cast("double")
     return scored.withColumn("is_anomaly", F.coalesce(over, F.lit(False)))
 

@@ -26,6 +26,7 @@ from ..session import keep
 _BINS = 256
 _RANGE_ROWS = 10_000
 _MAX_RANGES = 2_048
+_SAMPLE_ROWS = 100_000
 
 
 def nearest(
@@ -110,14 +111,20 @@ def _bounded(
     places: DataFrame | None, points: DataFrame, axes: Sequence[str], k: int
 ) -> DataFrame | None:
     """Give each place a radius that surely holds k donors, and the grid level for it."""
-    total = points.count()
+    shape = points.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[f(a).alias(f"{n}{a}") for a in axes for n, f in (("lo", F.min), ("hi", F.max))],
+    ).first()
+    total = shape["n"]
     if total == 0:
         return None
-    # shares 0 and 1 are the exact ends
-    shares = [i / _BINS for i in range(_BINS + 1)]
-    found = points.approxQuantile(list(axes), shares, 0.001)
-    ends = {a: (q[0], q[-1]) for a, q in zip(axes, found)}
-    quantiles = [q[1:-1] for q in found]
+    ends = {a: (shape[f"lo{a}"], shape[f"hi{a}"]) for a in axes}
+    # bins and ranges only balance the work, so a sample is enough
+    sample = points.select(*axes)
+    if total > _SAMPLE_ROWS:
+        sample = sample.sample(_SAMPLE_ROWS / total, seed=1)
+    shares = [i / _BINS for i in range(1, _BINS)]
+    quantiles = sample.approxQuantile(list(axes), shares, 0.001)
     point = F.struct(*axes, F.size("items").alias("n")).alias("at")
     curve = _z_order(points.select(*axes, point), axes, quantiles)
     if places is not None:
@@ -126,7 +133,7 @@ def _bounded(
         )
     ranges = min(_MAX_RANGES, math.ceil(total / _RANGE_ROWS))
     if ranges > 1:
-        cuts = _z_order(points.select(*axes), axes, quantiles).approxQuantile(
+        cuts = _z_order(sample, axes, quantiles).approxQuantile(
             "__z", [i / ranges for i in range(1, ranges)], 0.1 / ranges
         )
         curve = _bucket(curve, ["__z"], ["__range"], [cuts])

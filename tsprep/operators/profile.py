@@ -13,6 +13,9 @@ from .impute import numeric_columns
 from .ordered import MAX_SERIES_ROWS, Split, running_sum
 from .quantiles import exact_quantiles
 
+# relative rank error of quantile sketches is one in SKETCH; every task sends one of this size
+SKETCH = 1_000
+
 
 def profile_table(df: DataFrame) -> DataFrame:
     """Rows, columns, missing cells and duplicate rows (copies beyond the first)."""
@@ -62,7 +65,7 @@ def _statistics(
     }
     if not minimal:
         shares = [0.25, 0.5, 0.75]
-        sketch = F.percentile_approx(x, shares, 10_000)
+        sketch = F.percentile_approx(x, shares, SKETCH)
         for i, name in enumerate(("q25", "q50", "q75")):
             stats[name] = sketch[i] if exact is None else F.lit(exact.get(c, [None] * 3)[i])
             stats[name] = stats[name].cast("double")
@@ -136,7 +139,7 @@ def describe(
     wide = []
     for c in columns:
         if exact is None:
-            sketch = F.percentile_approx(c, shares, 10_000).cast("array<double>")
+            sketch = F.percentile_approx(c, shares, SKETCH).cast("array<double>")
             q = [sketch[i] for i in range(3)]
         else:
             q = [F.lit(x).cast("double") for x in exact[c]]

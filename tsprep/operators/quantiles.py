@@ -1,8 +1,9 @@
 """Exact quantiles of several columns without shuffling or holding all values.
 
-A fixed-size sketch brackets each quantile between two values with a known rank error. One
-pass counts the rows below each bracket; only the rows inside, a few in ten thousand, are
+A sketch over a sample of about a million rows brackets each quantile between two values. One
+pass counts the rows below each bracket; only the rows inside, under one in a hundred, are
 counted by value to find the exact ranks. At most two values per quantile reach the driver.
+The sample only decides where to look: a rank outside its bracket is looked up in all rows.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from .ordered import MAX_SERIES_ROWS, Split, running_sum
 
 _ACCURACY = 10_000
+_SAMPLE_ROWS = 1_000_000
 
 
 def exact_quantiles(
@@ -27,31 +29,37 @@ def exact_quantiles(
     """Column to its quantiles, linear between neighbouring ranks; NULLs are ignored."""
     if not columns:
         return {}
-    slack = 2 / _ACCURACY
-    lows = [max(0.0, p - slack) for p in shares]
-    highs = [min(1.0, p + slack) for p in shares]
     stats = [F.count(c).alias(f"{c}__n") for c in columns]
     for c in columns:
         value = F.col(c).cast("double")
-        stats.append(F.percentile_approx(value, [*lows, *highs], _ACCURACY).alias(f"{c}__q"))
         stats += [F.min(value).alias(f"{c}__min"), F.max(value).alias(f"{c}__max")]
-    row = df.agg(*stats).first()
+    row = df.agg(*stats, F.count(F.lit(1)).alias("__rows")).first()
+    # rank error of the sketch, and five standard errors of a sampled share
+    slack, rows = 2 / _ACCURACY, df.select(*columns)
+    if row["__rows"] > _SAMPLE_ROWS:
+        slack += 2.5 / math.sqrt(_SAMPLE_ROWS)
+        rows = rows.sample(_SAMPLE_ROWS / row["__rows"], seed=1)
+    cuts = [max(0.0, p - slack) for p in shares] + [min(1.0, p + slack) for p in shares]
+    sketched = rows.agg(
+        *[F.percentile_approx(F.col(c).cast("double"), cuts, _ACCURACY).alias(c) for c in columns]
+    ).first()
     targets, brackets = {}, {}
     for c in columns:
         for i, p in enumerate(shares):
             place = p * (row[f"{c}__n"] - 1)
             if place >= 0:
-                # the rank after the last one may lie just past the bracket's upper value
                 targets[c, i] = (place, {math.floor(place), math.ceil(place)})
-                q = row[f"{c}__q"]
-                brackets[c, i] = (q[i], q[len(shares) + i])
+                q = sketched[c] or [row[f"{c}__min"]] * len(cuts)
+                low = row[f"{c}__min"] if cuts[i] == 0 else q[i]
+                high = q[len(shares) + i]
+                brackets[c, i] = (low, row[f"{c}__max"] if cuts[len(shares) + i] == 1 else high)
     split = max_series_rows
     largest = max(row[f"{c}__n"] for c in columns)
     if not isinstance(split, Split) and 4 * slack * largest <= split:
         split = Split(False, split)  # a bracket holds about 2 * slack of the rows
     at = _values_at(df, brackets, targets, split)
     missed = {k for k, (_, ranks) in targets.items() if any((k, r) not in at for r in ranks)}
-    if missed:  # the sketch promises this never happens; then look at all values
+    if missed:
         whole = {(c, i): (row[f"{c}__min"], row[f"{c}__max"]) for c, i in missed}
         at |= _values_at(df, whole, {k: targets[k] for k in missed}, max_series_rows)
     found: dict[str, list[float | None]] = {c: [None] * len(shares) for c in columns}

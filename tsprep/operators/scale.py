@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from .quantiles import exact_quantiles
 
+# relative rank error of quantile sketches is one in SKETCH; every task sends one of this size
+SKETCH = 1_000
 METHODS = ("standard", "robust", "minmax")
 PARAMETERS = "column string, method string, center double, scale double, shift double"
 
@@ -34,7 +36,7 @@ def fit_scalers(
         if method == "standard":
             stats = [F.avg(c), F.stddev_pop(c)]
         elif method == "robust":
-            sketch = F.percentile_approx(c, shares, 10_000).cast("array<double>")
+            sketch = F.percentile_approx(c, shares, SKETCH).cast("array<double>")
             stats = [sketch] if approximate else []
         else:
             stats = [F.min(c).cast("double"), F.max(c).cast("double")]

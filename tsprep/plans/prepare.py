@@ -48,7 +48,7 @@ def prepare(
     if detect_anomalies:
         threshold = config.get("anomaly_detection", {}).get("statistical", {})
         limit = threshold.get("z_score_threshold", 3)
-        flagged = keep(anomaly.detect_global(keep(df), measures, limit))
+        flagged = anomaly.detect_global(keep(df), measures, limit)
         removed = flagged.agg(F.count_if("is_anomaly")).first()[0]
         df = anomaly.remove_outliers(flagged).select(*df.columns)
         counts.append(("anomalies", removed, f"Removed {removed} anomalous records"))
