@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsprep.functions.timing import parse_timestamp
-from tsprep.operators import encode, features, modeling, quality, scale
+from tsprep.operators import encode, features, modeling, quality, rows, scale
 from tsprep.plans.prepare import prepare
 from tsprep.session import shared_folder
 from tsprep.sources import delimited, sinks
@@ -65,8 +65,8 @@ def detect_csv_format(spark: SparkSession, sf: str) -> DataFrame:
 
 def load_mixed_csv(spark: SparkSession, sf: str) -> DataFrame:
     """All four formats in one load; a wrong encoding would change the names."""
-    rows = delimited.load_csv(spark, _mixed_files(spark, sf))
-    return rows.groupBy("c_custkey", "c_name", "c_acctbal").agg(F.count(F.lit(1)).alias("copies"))
+    df = delimited.load_csv(spark, _mixed_files(spark, sf))
+    return df.groupBy("c_custkey", "c_name", "c_acctbal").agg(F.count(F.lit(1)).alias("copies"))
 
 
 def text_timestamps(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,15 +98,31 @@ def report_saved(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def preview(spark: SparkSession, sf: str) -> DataFrame:
-    df = readings(spark, sf).orderBy(*ORDER).limit(5)
+    df = rows.preview(readings(spark, sf), ORDER)
     return df.select("event_id", "id_line", F.round("current", 6).alias("current"))
 
 
-def known_categories(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders of the three most frequent customers' segments, by a membership join."""
-    customers = table(spark, sf, "customer")
-    top = encode.value_counts(customers, "c_mktsegment").limit(3)
-    return customers.join(top, "c_mktsegment", "left_semi").select("c_custkey", "c_mktsegment")
+def _segments(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Customers and the three most frequent market segments."""
+    customers = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    return customers, encode.value_counts(customers, "c_mktsegment").limit(3)
+
+
+def listed_rows(spark: SparkSession, sf: str) -> DataFrame:
+    customers, top = _segments(spark, sf)
+    return rows.listed_rows(customers, "c_mktsegment", top)
+
+
+def unlisted_rows(spark: SparkSession, sf: str) -> DataFrame:
+    customers, top = _segments(spark, sf)
+    return rows.unlisted_rows(customers, "c_mktsegment", top)
+
+
+def overwrite_where(spark: SparkSession, sf: str) -> DataFrame:
+    """Voltages above the allowed range set to the bound, in rows that have a status."""
+    df = rows.known_rows(readings(spark, sf), "status")
+    df = rows.overwrite_where(df, F.col("voltage") > 260, "voltage", 260.0)
+    return df.select("event_id", F.round("voltage", 6).alias("voltage"))
 
 
 def missing_columns(spark: SparkSession, sf: str) -> DataFrame:
@@ -180,7 +196,9 @@ QUERIES = {
     "scalers_saved": scalers_saved,
     "report_saved": report_saved,
     "preview": preview,
-    "known_categories": known_categories,
+    "listed_rows": listed_rows,
+    "unlisted_rows": unlisted_rows,
+    "overwrite_where": overwrite_where,
     "missing_columns": missing_columns,
     "feature_log": feature_log,
     "run_log": run_log,
@@ -213,6 +231,8 @@ def _rolled() -> str:
     return ", ".join(made)
 
 
+_TOP = """(SELECT c_mktsegment FROM customer GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 3)"""
+
 ORACLE = {
     "csv_roundtrip": _ROWS,
     "csv_with_schema": _ROWS,
@@ -236,8 +256,12 @@ ORACLE = {
     ),
     "preview": f"""WITH {READINGS} SELECT event_id, id_line, round(current, 6) AS current
       FROM readings ORDER BY ts, event_id LIMIT 5""",
-    "known_categories": """SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IN (
-      SELECT c_mktsegment FROM customer GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 3)""",
+    "listed_rows": f"SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IN {_TOP}",
+    "unlisted_rows": f"""SELECT c_custkey, c_mktsegment FROM customer
+      WHERE c_mktsegment NOT IN {_TOP}""",
+    "overwrite_where": f"""WITH {READINGS} SELECT event_id, round(least(voltage, 260), 6) AS voltage
+      FROM (SELECT * FROM readings WHERE status IS NOT NULL AND voltage IS NOT NULL)
+      UNION ALL SELECT event_id, NULL FROM readings WHERE status IS NOT NULL AND voltage IS NULL""",
     "missing_columns": f"""WITH {READINGS} """
     + " UNION ALL ".join(
         f"SELECT '{c}' AS column FROM readings HAVING count(*) > count({c})"

@@ -62,6 +62,8 @@ def test_models_beat_the_mean(spark, samples, tmp_path):
     board = modeling.leaderboard(samples, ["linear", "boosted", "unknown"])
     assert {r.model for r in board.collect()} == {"linear", "boosted"}
     assert all(r.r2 > 0.3 for r in board.collect())
+    name, best = modeling.train_best(samples, ["linear", "boosted"])
+    assert name in ("linear", "boosted") and best.numFeatures == 4
     model = modeling.train_model(samples, "boosted")
     path = sinks.save_model(model, str(tmp_path / "model"))
     again = sinks.load_model(spark, path)

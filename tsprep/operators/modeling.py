@@ -187,6 +187,24 @@ def leaderboard(
     return reduce(DataFrame.unionByName, parts).orderBy(loss)
 
 
+def train_best(
+    assembled: DataFrame,
+    names: Sequence[str] | None = None,
+    configs: Mapping[str, Mapping[str, Any]] | None = None,
+    loss: str = "penalised_loss",
+) -> tuple[str, Model]:
+    """Train each named model and keep the one with the lowest validation loss."""
+    best: tuple[float, str, Model] | None = None
+    for name in names or list(MODELS):
+        model = train_model(assembled, name, (configs or {}).get(name))
+        value = evaluate(model, assembled, "val").first()[loss]
+        if value is not None and (best is None or value < best[0]):
+            best = (value, name, model)
+    if best is None:
+        raise ValueError("no model could be validated")
+    return best[1], best[2]
+
+
 def run_log(
     spark: SparkSession,
     experiment: str,
