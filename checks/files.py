@@ -240,7 +240,7 @@ ORACLE = {
         ('comma', 'UTF-8', ','), ('semicolon', 'UTF-8', ';'), ('tab', 'UTF-8', chr(9)),
         ('latin', 'ISO-8859-1', ';'))
       SELECT * FROM f WHERE EXISTS (SELECT 1 FROM customer)""",
-    "load_mixed_csv": """SELECT c_custkey, c_name, c_acctbal, 2 AS copies FROM customer
+    "load_mixed_csv": """SELECT c_custkey, c_name, c_acctbal, CAST(2 AS BIGINT) AS copies FROM customer
       UNION ALL SELECT c_custkey, 'Renée ' || c_name, c_acctbal, 2 FROM customer""",
     "text_timestamps": "SELECT o_orderkey, o_orderdate AS day FROM orders",
     "scalers_saved": f"""WITH {READINGS} SELECT event_id,

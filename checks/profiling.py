@@ -190,7 +190,7 @@ ORACLE = {
     + " UNION ALL BY NAME ".join(
         [*[_profile_numeric(c) for c in MEASURES], *[_profile_text(c) for c in ("id_line", "status")]]
     ),
-    "profile_minimal": f"""SELECT 'c_acctbal' AS column, count(*) AS count, 0 AS missing,
+    "profile_minimal": f"""SELECT 'c_acctbal' AS column, count(*) AS count, CAST(0 AS BIGINT) AS missing,
         {settled("avg(c_acctbal)")} AS mean, {settled("stddev_samp(c_acctbal)")} AS std,
         min(c_acctbal) AS min, max(c_acctbal) AS max,
         count(*) FILTER (c_acctbal = 0) AS zeros, count(*) FILTER (c_acctbal < 0) AS negatives,
