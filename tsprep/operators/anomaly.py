@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.timing import micros
@@ -79,27 +79,28 @@ def detect_rolling(
 
     The window is ``rolling_window`` rows, or a span of ``hours`` when given.
     """
-    if hours is None:
-        flagged = over_rows(
-            df,
-            lambda w: _z_flags(w.rowsBetween(-(rolling_window - 1), 0), columns, threshold),
-            series_by,
-            order_by,
-            before=rolling_window - 1,
-            max_series_rows=max_series_rows,
-        )
-    else:
+    if hours is not None:
         flagged = _over_span(df, columns, threshold, hours, series_by, order_by, max_series_rows)
-    return flagged.withColumn("is_anomaly", any_flag(columns))
+        return flagged.withColumn("is_anomaly", any_flag(columns))
 
+    def aggregates(w: WindowSpec) -> list[Column]:
+        frame = w.rowsBetween(-(rolling_window - 1), 0)
+        return [
+            f(c).over(frame).alias(f"__{n}_{c}")
+            for c in columns
+            for n, f in (("avg", F.avg), ("std", F.stddev_samp))
+        ]
 
-def _z_flags(frame, columns: Sequence[str], threshold: float) -> list[Column]:
-    return [
-        _outside(F.col(c), F.avg(c).over(frame), F.stddev_samp(c).over(frame), threshold).alias(
+    windowed = over_rows(
+        df, aggregates, series_by, order_by, rolling_window - 1, max_series_rows=max_series_rows
+    )
+    flags = [
+        _outside(F.col(c), F.col(f"__avg_{c}"), F.col(f"__std_{c}"), threshold).alias(
             f"{c}_anomaly"
         )
         for c in columns
     ]
+    return windowed.select(*df.columns, *flags).withColumn("is_anomaly", any_flag(columns))
 
 
 def _over_span(

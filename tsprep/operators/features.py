@@ -40,28 +40,8 @@ def add_time_features(
     return joined.withColumn("is_holiday", F.col("__day").isNotNull()).drop("__day")
 
 
-def rolling_columns(
-    w: WindowSpec, columns: Sequence[str], sizes: Sequence[int], functions: Sequence[str]
-) -> list[Column]:
-    """``<column>_roll<n>_<function>``: NULL unless all n rows have a value."""
-    made = []
-    for c in columns:
-        for n in sizes:
-            f = w.rowsBetween(-(n - 1), 0)
-            full = F.count(c).over(f) == n
-            known = {
-                "mean": F.avg(c).over(f),
-                "std": F.stddev_samp(c).over(f),
-                "min": F.min(c).over(f),
-                "max": F.max(c).over(f),
-                "range": F.max(c).over(f) - F.min(c).over(f),
-            }
-            made += [
-                F.when(full, known[name]).alias(f"{c}_roll{n}_{name}")
-                for name in functions
-                if name in known
-            ]
-    return made
+_WINDOWED = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+_NEEDS = {"mean": ["mean"], "std": ["std"], "min": ["min"], "max": ["max"], "range": ["min", "max"]}
 
 
 def window_agg(
@@ -73,17 +53,35 @@ def window_agg(
     order_by: Sequence[str] = ("timestamp",),
     max_series_rows: int | Split = MAX_SERIES_ROWS,
 ) -> DataFrame:
-    """Append rolling aggregates over the last n rows; all of them share one shuffle."""
+    """Append ``<column>_roll<n>_<function>`` over the last n rows.
+
+    A value is NULL unless all n rows have one. All windows share one shuffle, and each
+    aggregate is computed once even if several functions use it.
+    """
     columns = [columns] if isinstance(columns, str) else columns
     sizes = [window_sizes] if isinstance(window_sizes, int) else window_sizes
-    return over_rows(
-        df,
-        lambda w: rolling_columns(w, columns, sizes, functions),
-        series_by,
-        order_by,
-        before=max(sizes) - 1,
-        max_series_rows=max_series_rows,
+    functions = [f for f in functions if f in _NEEDS]
+    needed = sorted({x for f in functions for x in _NEEDS[f]})
+
+    def aggregates(w: WindowSpec) -> list[Column]:
+        made = []
+        for c in columns:
+            for n in sizes:
+                frame = w.rowsBetween(-(n - 1), 0)
+                made.append(F.count(c).over(frame).alias(f"__{c}_{n}_count"))
+                made += [_WINDOWED[x](c).over(frame).alias(f"__{c}_{n}_{x}") for x in needed]
+        return made
+
+    def value(c: str, n: int, function: str) -> Column:
+        parts = [F.col(f"__{c}_{n}_{x}") for x in _NEEDS[function]]
+        result = parts[1] - parts[0] if function == "range" else parts[0]
+        return F.when(F.col(f"__{c}_{n}_count") == n, result).alias(f"{c}_roll{n}_{function}")
+
+    windowed = over_rows(
+        df, aggregates, series_by, order_by, before=max(sizes) - 1, max_series_rows=max_series_rows
     )
+    added = [value(c, n, f) for c in columns for n in sizes for f in functions]
+    return windowed.select(*df.columns, *added)
 
 
 def feature_summary(spark: SparkSession, steps: Sequence[Mapping[str, Any]]) -> DataFrame:

@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 
 from ..session import keep
 
-MAX_SERIES_ROWS = 1_000_000
+# a longer series is cut; small chunks spread it well, and there is one carry row per chunk
+MAX_SERIES_ROWS = 250_000
+CHUNK_ROWS = 50_000
 
 SEQ = "__seq"
 _PART, _POS, _AT, _CHUNK, _HOME = "__part", "__pos", "__at", "__chunk", "__home"
@@ -48,7 +50,7 @@ def choose_split(
         longest = sizes.agg(F.max("n")).first()[0] or 0
     else:
         longest = df.count()
-    return Split(longest > max_series_rows, max_series_rows)
+    return Split(longest > max_series_rows, max(1, min(max_series_rows, CHUNK_ROWS)))
 
 
 def number_rows(
@@ -112,7 +114,7 @@ def over_rows(
     if not split.long:
         w = Window.partitionBy(*series_by).orderBy(*order_by)
         return df.select("*", *make_columns(w))
-    rows = max(split.rows, before, after, 1)
+    rows = max(split.rows, before, after)
     seq = F.col(_AT)
     home = F.floor(seq / rows)
     offset = seq - home * rows
@@ -154,7 +156,7 @@ def carry(
             *[F.last(c, True).over(asc).alias(n) for n, c in forward.items()],
             *[F.last(c, True).over(desc).alias(n) for n, c in backward.items()],
         )
-    chunked = df.withColumn(_CHUNK, F.floor(F.col(SEQ) / max(split.rows, 1)))
+    chunked = df.withColumn(_CHUNK, F.floor(F.col(SEQ) / split.rows))
     w = Window.partitionBy(*series_by, _CHUNK)
     asc = w.orderBy(SEQ).rowsBetween(*up_to_here)
     desc = w.orderBy(F.col(SEQ).desc()).rowsBetween(*up_to_here)
@@ -198,7 +200,7 @@ def running_sum(
         w = Window.partitionBy(*series_by).orderBy(*order_by).rowsBetween(*up_to_here)
         return df.select("*", *[F.sum(v).over(w).alias(n) for n, v in sums.items()])
     chunked = number_rows(df, series_by, order_by).withColumn(
-        _CHUNK, F.floor(F.col(SEQ) / max(split.rows, 1))
+        _CHUNK, F.floor(F.col(SEQ) / split.rows)
     )
     w = Window.partitionBy(*series_by, _CHUNK).orderBy(SEQ).rowsBetween(*up_to_here)
     inside = chunked.select("*", *[F.sum(v).over(w).alias(f"__in_{n}") for n, v in sums.items()])
