@@ -83,6 +83,12 @@ def regression_metrics_per_line(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("id_line", "rows", "skipped", *[settled_column(m) for m in METRICS])
 
 
+def penalised_loss(spark: SparkSession, sf: str) -> DataFrame:
+    """The loss alone, with bounds that the predictions do leave."""
+    df = metrics(_naive(spark, sf), "voltage", "v", by=SERIES, low=202.0, high=210.0)
+    return df.select("id_line", settled_column("penalised_loss"))
+
+
 def _samples(spark: SparkSession, sf: str) -> DataFrame:
     slim = readings(spark, sf)
     return training.make_samples(slim, 24, "voltage", list(MEASURES), **AXIS)
@@ -120,6 +126,7 @@ QUERIES = {
     "pooled_window_features": pooled_window_features,
     "regression_metrics": regression_metrics,
     "regression_metrics_per_line": regression_metrics_per_line,
+    "penalised_loss": penalised_loss,
     "train_predict": train_predict,
     "training_history": training_history,
     "hyperparameter_search": hyperparameter_search,
@@ -184,4 +191,6 @@ ORACLE = {
     "pooled_window_features": _pooled_sql(),
     "regression_metrics": _metrics_sql("voltage", 180, 260, 0.1, ""),
     "regression_metrics_per_line": _metrics_sql("current", 0, 40, 0.5, "id_line"),
+    "penalised_loss": f"""SELECT id_line, penalised_loss
+      FROM ({_metrics_sql("voltage", 202, 210, 0.1, "id_line")})""",
 }

@@ -1,4 +1,3 @@
-import itertools
 import math
 import random
 
@@ -235,3 +234,15 @@ def test_strategies_by_config(spark, caplog):
 def test_missing_columns(spark):
     assert op.missing_columns(line(spark, RUNS)) == ["x"]
     assert op.missing_columns(line(spark, [1, 2])) == []
+
+
+def test_copies_are_cut_before_the_shuffle(spark):
+    """A place with many copies sends at most k rows per task."""
+    from tsprep.operators.nearest import _points
+
+    item = F.struct(F.col("id").alias("key"), F.lit(1).alias("payload")).alias("item")
+    rows = spark.range(1000).select((F.col("id") % 3).cast("double").alias("__x0"), item)
+    points = _points(rows, ["__x0"], 4)
+    plan = points._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+    assert sorted(len(r["items"]) for r in points.collect()) == [4, 4, 4]

@@ -214,7 +214,9 @@ def knn_impute(
     """Fill feature gaps, then target gaps, from the k nearest rows that have the value.
 
     Distances skip missing coordinates and are rescaled by the share present. Ties go to the
-    smaller ``key``. A row without any common coordinate gets the column mean.
+    smaller ``key``. A row without any common coordinate gets the column mean. Each pattern of
+    present features among the gaps is a search of its own, so name the features that matter
+    when a table has many columns with gaps.
     """
     features = list(features or numeric_columns(df, exclude=(target, key)))
     columns = [*features, target]
