@@ -11,7 +11,8 @@ import pytest
 import __spark_entry__ as registry
 from checks.compare import connect, mismatch
 
-QUERIES, ORACLE = registry.queries(), registry.oracle_sql()
+QUERIES = {k: v for family in registry.FAMILIES for k, v in family.QUERIES.items()}
+ORACLE = {k: v for family in registry.FAMILIES for k, v in family.ORACLE.items()}
 SLOW = set() if os.environ.get("ALL_QUERIES") else {
     "knn_impute", "knn_impute_distance", "impute_by_config", "imputation_summary", "lof",
     "prepare_readings", "prepare_report", "rolling_features_cut", "rolling_features_global",
