@@ -14,8 +14,14 @@ from pyspark.sql import functions as F
 from tsprep.llm.common import column, whole_text
 from tsprep.session import keep, shared_folder
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STORE = "spark.sql.streaming.stateStore"
+#: State on disk; without space allocated ahead, of which each partition's store takes some MB.
+_ON_DISK = {
+    f"{_STORE}.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    f"{_STORE}.rocksdb.allowFAllocate": "false",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -40,8 +46,9 @@ def _located(docs: DataFrame, id_col: str, text_col: str, digest) -> tuple[DataF
 def retained(spark: SparkSession, events: str, bytes_per_batch: int) -> DataFrame:
     """Run the stream over the table ``events``; its state: ``digest, last, group_size``."""
     state = shared_folder(spark)
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in _ON_DISK}
+    for key, value in _ON_DISK.items():
+        spark.conf.set(key, value)
     try:
         source = spark.readStream.schema(spark.read.parquet(events).schema)
         groups = (
@@ -59,10 +66,11 @@ def retained(spark: SparkSession, events: str, bytes_per_batch: int) -> DataFram
         )
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
     kept = spark.read.format("statestore").load(state)
     buffer = kept.schema["value"].dataType.fieldNames()
     return kept.select(
