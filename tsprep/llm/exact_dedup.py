@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from tsprep.llm.common import column, whole_text
 from tsprep.session import keep, shared_folder
 
+#: Copies that are compared with one copy of the retained text.
+COPIES = 256
+
 _STORE = "spark.sql.streaming.stateStore"
 #: State on disk; without space allocated ahead, of which each partition's store takes some MB.
 _ON_DISK = {
@@ -155,12 +158,25 @@ def _verdicts(
 def _differing(located: DataFrame, hits: DataFrame, in_files: bool) -> DataFrame:
     """Digests of which some text is not the retained one, byte for byte."""
     on = ["path", "place"] if in_files else ["doc_id", "digest"]
-    at = hits.select(*on, F.col("digest").alias("of"), "kept").distinct()
-    found = located.select(*on, "text").join(at, on).select("of", "kept", "text")
-    mine = found.where("kept").select("of", F.col("text").alias("retained"))
+    # Copies of one text are dealt over parts of a group, each with the retained text.
+    at = hits.select(
+        *on,
+        F.col("digest").alias("of"),
+        "kept",
+        F.ceil(F.col("group_size") / COPIES).cast("int").alias("parts"),
+        F.xxhash64("path", "place").alias("any"),
+    )
+    if not in_files:
+        at = at.groupBy(*on, "of", "kept", "parts").agg(F.min("any").alias("any"))
+    found = located.select(*on, "text").join(at, on)
+    mine = found.where("kept").select(
+        "of", F.col("text").alias("retained"), F.explode(F.expr("sequence(0, parts - 1)")).alias("part")
+    )
+    others = found.where("NOT kept").select(
+        "of", "text", F.pmod("any", "parts").cast("int").alias("part")
+    )
     return (
-        found.where("NOT kept")
-        .join(mine, "of")
+        others.join(mine, ["of", "part"])
         .where(F.col("text").cast("binary") != F.col("retained").cast("binary"))
         .select(F.col("of").alias("digest"))
         .distinct()
