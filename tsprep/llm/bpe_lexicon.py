@@ -14,7 +14,6 @@ import json
 import mmap
 import re
 import uuid
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -285,22 +284,18 @@ def encode_decode(
     path = public_tokenizers.path(tokenizer)
     words = frequent_words(docs, text_col, lexicon_words)
     name = publish_lexicon(spark, words, Merger(path))
-    texts = id_and_text(docs, id_col, text_col)
-    kind = texts.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = codec_for(path, name)
-        for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                ids, listed = codec.encode(text)
-                digest = hashlib.sha256(listed.encode()).hexdigest()
-                back = hashlib.sha256(codec.decode(ids).encode("utf-8")).hexdigest()
-                rows.append((len(ids), digest, back, *([ids.astype("i4")] if with_ids else ())))
-            out = pd.DataFrame(rows, columns=names)
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
-
     names = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else ())]
-    schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return texts.mapInPandas(run, schema + (", ids array<int>" if with_ids else ""))
+
+    def run(batch: pd.Series) -> pd.DataFrame:
+        codec, rows = codec_for(path, name), []
+        for text in batch:
+            ids, listed = codec.encode(text)
+            digest = hashlib.sha256(listed.encode()).hexdigest()
+            back = hashlib.sha256(codec.decode(ids).encode("utf-8")).hexdigest()
+            rows.append((len(ids), digest, back, *([ids.astype("i4")] if with_ids else ())))
+        return pd.DataFrame(rows, columns=names)
+
+    schema = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    coded = F.pandas_udf(run, schema + (", ids array<int>" if with_ids else ""))
+    texts = id_and_text(docs, id_col, text_col)
+    return texts.select("doc_id", coded("text").alias("c")).select("doc_id", "c.*")

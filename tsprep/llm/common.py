@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,20 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(column(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
 
 
+# Fixed value: how tokenizers that mark the ends of words cut text without white space.
+_RUN_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
+def latin_words(run: str) -> list[str] | None:
+    """Words in lower case of a run without white space; None unless all its letters are Latin.
+
+    Latin letters have one form and one lower case, so no normaliser is needed.
+    """
+    if run.isprintable() and max(run) < "\u0250":
+        return _RUN_WORDS.findall(run.lower())
+    return None
+
+
 class Memo(dict):
     """Results by key, filled by ``make``; emptied when it holds ``limit`` of them.
 

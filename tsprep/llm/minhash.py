@@ -98,25 +98,18 @@ class MinMax:
 
 def describe(docs: DataFrame, scheme: MinMax) -> DataFrame:
     """``doc_id, n_shingles``, the ``digest`` of the words and the ``bands`` of every document."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sizes, digests, bands = [], [], []
-            for text in batch["text"]:
-                parts = words(text)
-                prints = scheme.fingerprints(parts)
-                sizes.append(len(prints))
-                digests.append(hashlib.sha256(b" ".join(parts)).digest())
-                signature = scheme.signature(prints)
-                bands.append(scheme.band_keys(signature).view(np.int64))
-            yield pd.DataFrame(
-                {"doc_id": batch["doc_id"], "n_shingles": sizes, "digest": digests, "bands": bands}
-            )
-
-    return docs.mapInPandas(
-        run, f"doc_id {kind}, n_shingles bigint, digest binary, bands array<bigint>"
-    )
+    def run(batch: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in batch:
+            parts = words(text)
+            prints = scheme.fingerprints(parts)
+            keys = scheme.band_keys(scheme.signature(prints)).view(np.int64)
+            rows.append((len(prints), hashlib.sha256(b" ".join(parts)).digest(), keys))
+        return pd.DataFrame(rows, columns=["n_shingles", "digest", "bands"])
+
+    describe_text = F.pandas_udf(run, "n_shingles bigint, digest binary, bands array<bigint>")
+    return docs.select("doc_id", describe_text("text").alias("d")).select("doc_id", "d.*")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:

@@ -18,9 +18,10 @@ import pandas as pd
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tsprep.llm.common import id_and_text, space_split
+from tsprep.llm.common import id_and_text, latin_words, space_split
 
 CAPACITY = 4096
 END_ID = 2
@@ -109,35 +110,60 @@ class Packer:
 
 
 class WordIds:
-    """Little-endian 32-bit ids of a text whose tokenizer drops white space, word by word."""
+    """Little-endian 32-bit ids of a text whose tokenizer drops white space and marks ends of words.
+
+    Ids are remembered by run without white space, and by word.
+    """
 
     def __init__(self, path: str, end_id: int | None, memo: int = MEMO):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end = b"" if end_id is None else np.uint32(end_id).tobytes()
-        self.known: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.memo = memo
 
     def __call__(self, texts: Iterable[str]) -> Iterator[bytes]:
         for text in texts:
             parts = space_split(text)
             self.learn(parts)
-            yield b"".join(map(self.known.__getitem__, parts)) + self.end
+            yield b"".join(map(self.runs.__getitem__, parts)) + self.end
 
     def learn(self, parts: list[str]) -> None:
-        new = list(set(parts).difference(self.known))
-        if len(self.known) + len(new) > self.memo:
-            self.known = {}
+        new = list(set(parts).difference(self.runs))
+        if len(self.runs) + len(new) > self.memo:
+            self.runs = {}
             new = list(set(parts))
-        for start in range(0, len(new), 500):
-            some = new[start : start + 500]
-            found = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(some) + 1))
+        cut = {}
+        for run in new:
+            found = None if any(t in run for t in self.special) else latin_words(run)
+            if found is None:
+                ids = self.tokenizer.encode(run, add_special_tokens=False).ids
+                self.runs[run] = np.array(ids, "<u4").tobytes()
+            else:
+                cut[run] = found
+        unknown = {w for found in cut.values() for w in found}
+        if len(self.words) + len(unknown) > self.memo:
+            self.words = {}
+        self._learn_words([w for w in unknown if w not in self.words])
+        for run, found in cut.items():
+            self.runs[run] = b"".join(map(self.words.__getitem__, found))
+
+    def _learn_words(self, words: list[str]) -> None:
+        for start in range(0, len(words), 1_000):
+            some = words[start : start + 1_000]
+            ids = np.array(
+                self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4"
+            )
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
             raw = ids.tobytes()
-            for word, a, b in zip(some, ends.tolist(), ends[1:].tolist()):
-                self.known[word] = raw[4 * a : 4 * b]
+            for word, a, b in zip(some, [0, *ends], ends, strict=False):
+                self.words[word] = raw[4 * a : 4 * b]
 
 
 @cache
@@ -164,7 +190,9 @@ def pack(
     ``pool`` pieces, without a shuffle; a lost task gives the same pieces again.
     """
     texts = id_and_text(docs, id_col, text_col)
-    kind = texts.schema["doc_id"].dataType.simpleString()
+    kind = texts.schema["doc_id"].dataType
+    # as text, ids next to NULLs stay what they are
+    texts = texts.withColumn("doc_id", F.col("doc_id").cast("string"))
     path = public_tokenizers.path(tokenizer)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
@@ -180,4 +208,5 @@ def pack(
         yield pd.DataFrame(list(packer.finish()), columns=names)
 
     longs = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
-    return texts.mapInPandas(run, f"doc_id {kind}, {longs}, sequence_id bigint, offset bigint")
+    packed = texts.mapInPandas(run, f"doc_id string, {longs}, sequence_id bigint, offset bigint")
+    return packed.withColumn("doc_id", F.col("doc_id").cast(kind))

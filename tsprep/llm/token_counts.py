@@ -16,19 +16,16 @@ from functools import cache
 
 import pandas as pd
 import public_tokenizers
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tsprep.llm.bpe_lexicon import byte_letters
-from tsprep.llm.common import Memo, id_and_text, space_split
+from tsprep.llm.common import Memo, id_and_text, latin_words, space_split
 
 LIMIT = 2048
 MEMO = 400_000
 
-# Fixed value: how tokenizers of this kind cut text into words.
-_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _LETTERS = dict(enumerate(byte_letters()))
 
 
@@ -121,8 +118,8 @@ class PrefixCounts:
 
     def words(self, run: str) -> list[str]:
         """Words of a run without white space, in the tokenizer's letters."""
-        if run.isprintable() and max(run) < "\u0250":  # Latin letters have one form
-            found = _WORDS.findall(run.lower())
+        found = latin_words(run)
+        if found is not None:
             if run.isascii():
                 return found
             return [w.encode().decode("latin-1").translate(_LETTERS) for w in found]
@@ -183,16 +180,17 @@ def count_tokens(
 ) -> DataFrame:
     """One row per document: ``doc_id, n_bytes, n_tokens, over_limit``; NULL is empty, with 0 tokens."""
     path = public_tokenizers.path(tokenizer)
-    texts = id_and_text(docs, id_col, text_col).withColumn("n_bytes", F.octet_length("text").cast("bigint"))
-    kind = texts.schema["doc_id"].dataType.simpleString()
+    texts = id_and_text(docs, id_col, text_col)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batch: pd.Series) -> pd.Series:
         counts = prefix_counts(path)
-        for batch in batches:
-            batch["n_tokens"] = [counts.count(t) for t in batch.pop("text")]
-            yield batch
+        return pd.Series([counts.count(t) for t in batch], dtype="int64")
 
-    counted = texts.mapInPandas(run, f"doc_id {kind}, n_bytes bigint, n_tokens bigint")
+    counted = texts.select(
+        "doc_id",
+        F.octet_length("text").cast("bigint").alias("n_bytes"),
+        F.pandas_udf(run, "bigint")("text").alias("n_tokens"),
+    )
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
