@@ -27,6 +27,25 @@ def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return delimited.load_csv(spark, path, parse_dates=["ts"])
 
 
+def load_csv_header_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of one format whose columns come in different orders."""
+    base, df = shared_folder(spark), table(spark, sf, "customer")
+    even = F.col("c_custkey") % 2 == 0
+    df.where(even).select("c_custkey", "c_name").write.csv(f"{base}/order=1", header=True)
+    df.where(~even).select("c_name", "c_custkey").write.csv(f"{base}/order=2", header=True)
+    return delimited.load_csv(spark, f"{base}/*/*.csv").select("c_custkey", "c_name")
+
+
+def load_csv_quoted(spark: SparkSession, sf: str) -> DataFrame:
+    """Doubled quotes, separators and line ends inside quoted text."""
+    path, df = shared_folder(spark), table(spark, sf, "customer")
+    odd = F.concat(F.col("c_name"), F.lit(', "so"\ncalled'))
+    df = df.select("c_custkey", odd.alias("c.name"))
+    df.write.csv(path, header=True, escape='"', quoteAll=True)
+    read = delimited.load_csv(spark, f"{path}/*.csv", multiLine=True)
+    return read.select("c_custkey", F.col("`c.name`").alias("c_name"))
+
+
 def csv_with_schema(spark: SparkSession, sf: str) -> DataFrame:
     """Gaps written as different missing tokens, types declared."""
     df = readings(spark, sf)
@@ -190,6 +209,8 @@ def prepare_report(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "csv_roundtrip": csv_roundtrip,
     "csv_with_schema": csv_with_schema,
+    "load_csv_header_order": load_csv_header_order,
+    "load_csv_quoted": load_csv_quoted,
     "detect_csv_format": detect_csv_format,
     "load_mixed_csv": load_mixed_csv,
     "text_timestamps": text_timestamps,
@@ -236,6 +257,9 @@ _TOP = """(SELECT c_mktsegment FROM customer GROUP BY 1 ORDER BY count(*) DESC,
 ORACLE = {
     "csv_roundtrip": _ROWS,
     "csv_with_schema": _ROWS,
+    "load_csv_header_order": "SELECT c_custkey, c_name FROM customer",
+    "load_csv_quoted": """SELECT c_custkey, c_name || ', "so"' || chr(10) || 'called' AS c_name
+                          FROM customer""",
     "detect_csv_format": """WITH f(folder, encoding, delimiter) AS (VALUES
         ('comma', 'UTF-8', ','), ('semicolon', 'UTF-8', ';'), ('tab', 'UTF-8', chr(9)),
         ('latin', 'ISO-8859-1', ';'))
@@ -285,7 +309,7 @@ ORACLE = {
       isodow(ts) - 1 AS day_of_week, month(ts) AS month, isodow(ts) >= 6 AS is_weekend FROM kept""",
     "prepare_report": f"""{_PREPARED}
       SELECT 'missing' AS step, CAST(3 AS BIGINT) AS count,
-        'Handled missing values in 3 columns' AS message
+        '3 columns with gaps filled' AS message
       UNION ALL SELECT 'anomalies', count(*) FILTER (odd),
-        'Removed ' || count(*) FILTER (odd) || ' anomalous records' FROM flagged""",
+        count(*) FILTER (odd) || ' outlying rows left out' FROM flagged""",
 }

@@ -74,6 +74,20 @@ def knn_impute(spark: SparkSession, sf: str) -> DataFrame:
     return _out(df, "current")
 
 
+def knn_impute_repeated_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys that repeat, or are NULL, leave the number of rows and the known values alone."""
+    df = readings(spark, sf)
+    key = F.when(F.col("event_id") % 10 != 0, F.floor(F.col("event_id") / 3)).alias("event_id")
+    df = df.select(key, "voltage", "current", "power")
+    out = op.knn_impute(df, "current", ["voltage", "power"], "event_id", 5)
+    return out.agg(
+        F.count("*").alias("n_rows"),
+        F.count("event_id").alias("n_keys"),
+        F.count_if(F.col("current").isNull()).alias("n_gaps"),
+        F.count_if(F.col("voltage").isNull()).alias("n_voltage_gaps"),
+    )
+
+
 def knn_impute_distance(spark: SparkSession, sf: str) -> DataFrame:
     df = op.knn_impute(
         readings(spark, sf), "current", ["voltage", "power"], "event_id", 5, "distance"
@@ -122,6 +136,7 @@ QUERIES = {
     "interpolate_pad": _interpolate("pad", limit=2),
     "knn_impute": knn_impute,
     "knn_impute_distance": knn_impute_distance,
+    "knn_impute_repeated_keys": knn_impute_repeated_keys,
     "rf_impute": rf_impute,
     "impute_by_config": impute_by_config,
     "imputation_summary": imputation_summary,
@@ -241,6 +256,10 @@ _CONFIGURED = f"""WITH {READINGS.replace("readings AS", "raw AS")},
     FROM readings r LEFT JOIN fc USING (event_id))"""
 
 ORACLE = {
+    "knn_impute_repeated_keys": f"""WITH {READINGS}
+      SELECT count(*) AS n_rows, count(*) FILTER (event_id % 10 <> 0) AS n_keys,
+             CAST(0 AS BIGINT) AS n_gaps, count(*) FILTER (voltage IS NULL) AS n_voltage_gaps
+      FROM readings""",
     "fill_constant": f"""WITH {READINGS} SELECT event_id, round(coalesce(voltage, -1), 6) AS voltage,
       coalesce(status, 'UNKNOWN') AS status FROM readings""",
     "fill_forward": f"""WITH {READINGS} SELECT event_id,

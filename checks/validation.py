@@ -34,9 +34,9 @@ def defective(spark: SparkSession, sf: str) -> DataFrame:
     return df.unionByName(df.filter(event % 500 == 0))
 
 
-def _out(results: DataFrame) -> DataFrame:
+def _out(results: DataFrame, *more: str) -> DataFrame:
     return results.select(
-        "check", "columns", "is_valid", "evaluated", "unexpected",
+        *more, "check", "columns", "is_valid", "evaluated", "unexpected",
         settled_column("unexpected_fraction"), "detail",
     )
 
@@ -134,7 +134,7 @@ def gap_violations(spark: SparkSession, sf: str) -> DataFrame:
 
 def gate(spark: SparkSession, sf: str) -> DataFrame:
     results = quality_gate.quality_gate(defective(spark, sf), RULES, tie=["event_id"])
-    return _out(results.drop("run")).join(results.select("check", "columns", "run"), ["check", "columns"])
+    return _out(results, "run")
 
 
 def gate_verdict(spark: SparkSession, sf: str) -> DataFrame:

@@ -158,3 +158,10 @@ def test_feature_log(spark):
 def test_value_counts(spark):
     rows = encode.value_counts(_cats(spark), "c").collect()
     assert [(r.c, r["count"]) for r in rows] == [("a", 2), ("b", 1), ("c", 1)]
+
+
+def test_text_nan_is_missing(spark):
+    df = spark.createDataFrame([("nan",), (None,), ("a",)], "c string")
+    out = encode.encode_onehot(df, "c")
+    assert out.columns == ["c", "c_a", "c_nan"]
+    assert sorted(r.c_nan for r in out.collect()) == [False, True, True]

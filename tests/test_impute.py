@@ -246,3 +246,17 @@ def test_copies_are_cut_before_the_shuffle(spark):
     plan = points._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
     assert sorted(len(r["items"]) for r in points.collect()) == [4, 4, 4]
+
+
+def test_knn_keeps_rows_of_repeated_and_missing_keys(spark):
+    rows = [(1, 1.0, 5.0), (1, 2.0, None), (2, 3.0, 7.0), (None, 4.0, None), (3, 5.0, 9.0)]
+    df = spark.createDataFrame(rows, "event_id int, x double, y double")
+    got = op.knn_impute(df, "y", ["x"], "event_id", 2)
+    assert sorted(r.y for r in got.collect()) == [5.0, 6.0, 7.0, 8.0, 9.0]
+    assert got.columns == df.columns
+
+
+def test_options_of_the_other_model_are_left_aside(spark):
+    df = spark.createDataFrame([(float(i), float(i) if i % 3 else None) for i in range(30)], "x double, y double")
+    filled = op.model_impute(df, "y", ["x"], "rf", n_neighbors=5, n_estimators=3)
+    assert filled.where("y IS NULL").count() == 0

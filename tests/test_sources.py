@@ -104,3 +104,20 @@ def test_prepare_steps_are_optional(spark):
     compared = compare_mean_filled(df, "voltage", minimal=True)
     gaps = compared.filter("`column` = 'voltage' AND statistic = 'missing'").first()
     assert gaps.value_Original > 0 and gaps.value_Modified == 0
+
+
+def test_csv_files_with_other_column_orders_and_quotes(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y.z\n1,2\n3,4\n")
+    (tmp_path / "b.csv").write_text("y.z,x\n20,10\n")
+    (tmp_path / "c.csv").write_text('x,y.z\n5,"a ""b"", c\nd"\n')
+    got = delimited.load_csv(spark, f"{tmp_path}/*.csv").collect()
+    assert {tuple(r) for r in got} == {(1, "2"), (3, "4"), (10, "20"), (5, 'a "b", c\nd')}
+    got = delimited.load_csv(spark, f"{tmp_path}/a.csv", header=False, multiLine=True).collect()
+    assert len(got) == 3
+
+
+def test_default_strategies_on_five_columns(spark):
+    df = sample_telemetry(spark, 120, 2)
+    config = {"missing_values": {"current": {"strategy": "model_impute", "method": "knn"}}}
+    done, _ = prepare(df, config, detect_anomalies=False, add_features=False)
+    assert done.count() == 240 and done.where("current IS NULL").count() == 0

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from .ordered import MAX_SERIES_ROWS, Split, choose_split, positioned
 from .ordered import SEQ
 
-MAX_COLUMNS = 1_000
-
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """Non-NULL values by falling frequency; equal counts by value."""
@@ -29,23 +27,31 @@ def keep_most_frequent(df: DataFrame, column: str, max_categories: int) -> DataF
 
 
 def encode_onehot(
-    df: DataFrame, columns: str | Sequence[str], max_categories: int | None = None
+    df: DataFrame,
+    columns: str | Sequence[str],
+    max_categories: int | None = None,
+    max_columns: int | None = None,
 ) -> DataFrame:
     """Append one BOOLEAN ``<column>_<value>`` per value and ``<column>_nan``.
 
-    The values become columns, so their number is bounded by ``MAX_COLUMNS``; set
-    ``max_categories`` for anything wider.
+    The text ``nan`` counts as missing. Every value becomes a column: set ``max_categories`` for
+    columns of many values, or ``max_columns`` to get an error instead of more columns than that.
     """
     columns = [columns] if isinstance(columns, str) else columns
     for c in columns:
         if max_categories:
             df = keep_most_frequent(df, c, max_categories)
-        found = df.select(c).filter(F.col(c).isNotNull()).distinct().limit(MAX_COLUMNS + 1)
+        found = df.select(c).filter(F.col(c).isNotNull()).distinct()
+        if max_columns is not None:
+            found = found.limit(max_columns + 1)
         values = sorted(r[0] for r in found.collect())
-        if len(values) > MAX_COLUMNS:
-            raise ValueError(f"{c} has over {MAX_COLUMNS} values: set max_categories")
-        flags = [F.col(c).eqNullSafe(F.lit(v)).alias(f"{c}_{v}") for v in values]
-        df = df.select("*", *flags, F.col(c).isNull().alias(f"{c}_nan"))
+        if max_columns is not None and len(values) > max_columns:
+            raise ValueError(f"{c}: more than {max_columns} different values")
+        flags = [
+            F.col(c).eqNullSafe(F.lit(v)).alias(f"{c}_{v}") for v in values if str(v) != "nan"
+        ]
+        missing = F.col(c).isNull() | (F.col(c).cast("string") == "nan")
+        df = df.select("*", *flags, missing.alias(f"{c}_nan"))
     return df
 
 

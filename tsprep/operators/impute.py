@@ -207,18 +207,25 @@ def knn_impute(
     df: DataFrame,
     target: str,
     features: Sequence[str] | None = None,
-    key: str = "event_id",
+    key: str | Sequence[str] | None = None,
     k: int = 5,
     weights: str = "uniform",
 ) -> DataFrame:
     """Fill feature gaps, then target gaps, from the k nearest rows that have the value.
 
     Distances skip missing coordinates and are rescaled by the share present. Ties go to the
-    smaller ``key``. A row without any common coordinate gets the column mean. Each pattern of
+    smaller ``key``, then to the earlier row; without a key, ``event_id`` is used where there is one.
+    Rows stay as they are in number and order of columns, whatever their keys. A row without any common coordinate gets the column mean. Each pattern of
     present features among the gaps is a search of its own, so name the features that matter
     when a table has many columns with gaps.
     """
-    features = list(features or numeric_columns(df, exclude=(target, key)))
+    if key is None:
+        key = ("event_id",) if "event_id" in df.columns else ()
+    keys = [key] if isinstance(key, str) else list(key)
+    features = list(features or numeric_columns(df, exclude=(target, *keys)))
+    names, key = df.columns, "__row"
+    row = F.struct(*keys, F.monotonically_increasing_id().alias("__place"))
+    df = keep(df.withColumn(key, row))
     columns = [*features, target]
     groups = (
         df.groupBy(F.array(*[F.col(c).isNotNull() for c in columns]).alias("has"))
@@ -253,9 +260,9 @@ def knn_impute(
         table = keep(table)
     values = _knn_column(table, target, features, gaps, donors, means[target], key, k, weights)
     if values is None:
-        return df
+        return df.select(*names)
     rest = df.select(*[c for c in df.columns if c != target])
-    return rest.join(values, key).select(*df.columns)
+    return rest.join(values, key).select(*names)
 
 
 def _knn_column(
@@ -380,17 +387,20 @@ def model_impute(
     target: str,
     features: Sequence[str] | None = None,
     method: str = "knn",
-    key: str = "event_id",
+    key: str | Sequence[str] | None = None,
     **options: Any,
 ) -> DataFrame:
+    """Fill by a model; options that belong to the other model are left aside."""
     if method == "knn":
         k = options.get("n_neighbors", 5)
         return knn_impute(df, target, features, key, k, options.get("weights", "uniform"))
     if method == "rf":
         if features is None:
-            features = numeric_columns(df, exclude=(target, key))
-        return rf_impute(df, target, features, **options)
-    raise ValueError(f"Unknown imputation model: {method}")
+            keys = [key] if isinstance(key, str) else list(key or ("event_id",))
+            features = numeric_columns(df, exclude=(target, *keys))
+        own = ("n_estimators", "random_state", "max_depth")
+        return rf_impute(df, target, features, **{o: options[o] for o in own if o in options})
+    raise ValueError(f"no model is called {method!r}: knn and rf are")
 
 
 def apply_config_strategy(
@@ -398,14 +408,14 @@ def apply_config_strategy(
     column: str,
     config: Mapping[str, Mapping[str, Any]],
     features: Sequence[str] | None = None,
-    key: str = "event_id",
+    key: str | Sequence[str] | None = None,
     series_by: Sequence[str] = SERIES,
     order_by: Sequence[str] = ORDER,
     max_series_rows: int | Split = MAX_SERIES_ROWS,
 ) -> DataFrame:
     """Fill ``column`` as the configuration's ``missing_values`` section says."""
     if column not in config:
-        log.warning("No imputation strategy found for column: %s", column)
+        log.warning("the configuration has no rule for %s; it stays as it is", column)
         return df
     rule = config[column]
     ordered = dict(series_by=series_by, order_by=order_by, max_series_rows=max_series_rows)
@@ -425,7 +435,7 @@ def apply_config_strategy(
             if name in rule:
                 options.setdefault(name, rule[name])
         return model_impute(df, column, features, rule.get("method", "knn"), key, **options)
-    log.warning("Unknown imputation strategy: %s", strategy)
+    log.warning("%s: strategy %s is not known; the column stays as it is", column, strategy)
     return df
 
 

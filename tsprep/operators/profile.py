@@ -175,12 +175,12 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
 
 
 def summarize(
-    df: DataFrame, target: str | None = None, approximate: bool = True, categories: int = 50
+    df: DataFrame, target: str | None = None, approximate: bool = True, categories: int | None = None
 ) -> DataFrame:
     """The column profile in long form, with each column's association to ``target``.
 
     Numeric columns get their Pearson correlation with the target; text columns get the mean
-    target of each of their ``categories`` most frequent values.
+    target of each of their values, or of the ``categories`` most frequent ones if that is given.
     """
     parts = _long(profile_columns(df, approximate=approximate))
     if target is None:
@@ -207,12 +207,12 @@ def summarize(
             .groupBy("column", "v")
             .agg(F.count(F.lit(1)).alias("n"), F.avg("__y").alias("value"))
         )
-        w = Window.partitionBy("column").orderBy(F.desc("n"), "v")
-        means = means.withColumn("rank", F.row_number().over(w))
+        if categories is not None:
+            w = Window.partitionBy("column").orderBy(F.desc("n"), "v")
+            means = means.withColumn("rank", F.row_number().over(w))
+            means = means.filter(F.col("rank") <= categories)
         parts = parts.unionByName(
-            means.filter(F.col("rank") <= categories).select(
-                "column", F.concat(F.lit("target_mean:"), "v").alias("statistic"), "value"
-            )
+            means.select("column", F.concat(F.lit("target_mean:"), "v").alias("statistic"), "value")
         )
     return parts
 

@@ -25,7 +25,7 @@ def prepare(
     measures: Sequence[str] = MEASURES,
     window_sizes: Sequence[int] = (6, 12, 24),
     functions: Sequence[str] = features.FUNCTIONS,
-    key: str = "event_id",
+    key: str | Sequence[str] | None = None,
     series_by: Sequence[str] = ("id_line",),
     order_by: Sequence[str] = ("timestamp",),
     max_series_rows: int | Split = MAX_SERIES_ROWS,
@@ -44,19 +44,19 @@ def prepare(
         for c in gaps:
             others = [m for m in measures if m != c]
             df = impute.apply_config_strategy(df, c, rules, others, key, **ordered)
-        counts.append(("missing", len(gaps), f"Handled missing values in {len(gaps)} columns"))
+        counts.append(("missing", len(gaps), f"{len(gaps)} columns with gaps filled"))
     if detect_anomalies:
         threshold = config.get("anomaly_detection", {}).get("statistical", {})
         limit = threshold.get("z_score_threshold", 3)
         flagged = anomaly.detect_global(keep(df), measures, limit)
         removed = flagged.agg(F.count_if("is_anomaly")).first()[0]
         df = anomaly.remove_outliers(flagged).select(*df.columns)
-        counts.append(("anomalies", removed, f"Removed {removed} anomalous records"))
+        counts.append(("anomalies", removed, f"{removed} outlying rows left out"))
     if add_features:
         names = config.get("feature_engineering", {})
         df = features.window_agg(df, measures, window_sizes, functions, **ordered)
         df = features.add_time_features(df, order_by[0], config=names)
-        counts.append(("features", None, "Added time and window features"))
+        counts.append(("features", None, "calendar and window columns added"))
     report = df.sparkSession.createDataFrame(counts, "step string, count bigint, message string")
     return df, report
 

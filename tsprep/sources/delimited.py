@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import keep
+
 # fixed values: texts that mean "missing"
 NA_TOKENS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -20,6 +23,11 @@ MARKS = {"EFBBBF": "UTF-8", "FFFE": "UTF-16LE", "FEFF": "UTF-16BE"}
 _FALLBACK = "ISO-8859-1"
 
 
+def named(column: str) -> Column:
+    """The column of that very name, whatever characters are in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def detect_format(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """(path, encoding, delimiter) of every file, in one pass over their lines.
 
@@ -28,6 +36,11 @@ def detect_format(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     occurs most often in the first line. Files are split among tasks and combined by
     aggregates, so their size does not matter.
     """
+    return _formats(spark, path).select("path", "encoding", "delimiter")
+
+
+def _formats(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """The formats with the header line in hex, and whether a quoted text goes over a line's end."""
     lines = spark.read.text([path] if isinstance(path, str) else list(path)).select(
         F.col("_metadata.file_path").alias("path"),
         F.struct(
@@ -39,6 +52,7 @@ def detect_format(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     found = lines.groupBy("path").agg(
         F.min_by("value", "place").alias("first"),
         F.bool_and(F.is_valid_utf8("value")).alias("valid"),
+        F.bool_or(F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1).alias("broken"),
     )
     start = F.hex("first")
     encoding = F.when(F.col("valid"), "UTF-8").otherwise(_FALLBACK)
@@ -53,7 +67,11 @@ def detect_format(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
         for i, d in enumerate(DELIMITERS)
     ]
     return found.select(
-        "path", encoding.alias("encoding"), F.greatest(*counts)["delimiter"].alias("delimiter")
+        "path",
+        encoding.alias("encoding"),
+        F.greatest(*counts)["delimiter"].alias("delimiter"),
+        start.alias("header"),
+        "broken",
     )
 
 
@@ -61,7 +79,7 @@ def normalise_missing(df: DataFrame, tokens: Sequence[str] = NA_TOKENS) -> DataF
     """Missing tokens and NaN become NULL."""
     cleaned = []
     for f in df.schema.fields:
-        c = F.col(f.name)
+        c = named(f.name)
         if isinstance(f.dataType, T.StringType):
             c = F.when(~F.trim(c).isin(*tokens), c)
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
@@ -81,12 +99,12 @@ def infer_types(df: DataFrame) -> dict[str, str]:
     kinds = list(patterns)
 
     def fits(c: str, kind: str) -> Column:
-        text = F.trim(c)
+        text = F.trim(named(c))
         ok = F.when(text.rlike(patterns[kind]), text.try_cast(kind).isNotNull()).otherwise(False)
-        return F.bool_and(F.col(c).isNull() | ok).alias(f"{c}__{kind}")
+        return F.bool_and(named(c).isNull() | ok).alias(f"{c}__{kind}")
 
     checks = [fits(c, k) for c in df.columns for k in kinds]
-    known = [F.count(c).alias(f"{c}__n") for c in df.columns]
+    known = [F.count(named(c)).alias(f"{c}__n") for c in df.columns]
     row = df.agg(*checks, *known).first()
     types = {}
     for c in df.columns:
@@ -108,35 +126,40 @@ def load_csv(
 
     What is not given is detected: encoding and delimiter per file, types over all rows. Give
     ``schema`` for large inputs; values that do not fit it become NULL. A missing path raises.
-    Other options go to Spark's CSV reader.
+    Other options go to Spark's CSV reader and win over what is chosen here. Files are read
+    together if format and header line agree, and joined by the names of their columns. A quote
+    inside quoted text is doubled; text over several lines is found by lines with an odd number of
+    quotes, and such files are not split.
     """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     if encoding is None or delimiter is None:
-        found = detect_format(spark, path)
-        groups = (
-            found.groupBy("encoding", "delimiter")
-            .agg(F.collect_list("path").alias("paths"))
-            .collect()
-        )  # one entry per file, as any reader's file list
-        sources = [
-            (encoding or g.encoding, delimiter or g.delimiter, list(g.paths)) for g in groups
-        ]
+        alike = ["encoding", "delimiter", "header", "broken"]
+        found = keep(_formats(spark, path))
+        groups = found.groupBy(*alike).agg(F.min("path").alias("one")).collect()
+        sources = []
+        for g in groups:
+            paths = [path] if isinstance(path, str) else list(path)
+            if len(groups) > 1:  # one entry per file, as any reader's file list
+                same = [F.col(c).eqNullSafe(F.lit(g[c])) for c in alike]
+                paths = [r["path"] for r in found.where(reduce(Column.__and__, same)).collect()]
+            lines = g.broken or g.encoding.startswith("UTF-16")
+            sources.append((encoding or g.encoding, delimiter or g.delimiter, lines, paths))
     else:
-        sources = [(encoding, delimiter, [path] if isinstance(path, str) else list(path))]
+        paths = [path] if isinstance(path, str) else list(path)
+        sources = [(encoding, delimiter, encoding.startswith("UTF-16"), paths)]
     text = None
-    for enc, sep, paths in sources:
-        part = spark.read.options(
-            header=True, sep=sep, encoding=enc, multiLine=enc.startswith("UTF-16"), **options
-        ).csv(paths)
+    for enc, sep, lines, paths in sources:
+        chosen = {"header": True, "sep": sep, "encoding": enc, "multiLine": lines, "escape": '"'}
+        part = spark.read.options(**{**chosen, **options}).csv(paths)
         text = part if text is None else text.unionByName(part, allowMissingColumns=True)
     text = normalise_missing(text)
     types = infer_types(text) if schema is None else {f.name: f.dataType for f in schema.fields}
     types.update(dict.fromkeys(parse_dates, "timestamp_ntz"))
     trimmed = [
-        F.col(c).alias(c)
+        named(c).alias(c)
         if types[c] in ("string", T.StringType())
-        else F.trim(c).try_cast(types[c]).alias(c)
+        else F.trim(named(c)).try_cast(types[c]).alias(c)
         for c in text.columns
         if c in types
     ]

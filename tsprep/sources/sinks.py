@@ -28,7 +28,7 @@ def save_processed_data(
     if format == "csv":
         # all six decimals, where the default would keep three
         moments = dict.fromkeys(("timestampFormat", "timestampNTZFormat"), _MOMENT)
-        writer = writer.options(header=True, **moments)
+        writer = writer.options(header=True, escape='"', **moments)
     writer.format(format).save(path)
     return path
 
