@@ -13,6 +13,7 @@ import heapq
 import json
 import mmap
 import re
+import struct
 import uuid
 from functools import lru_cache
 
@@ -30,6 +31,8 @@ from tsprep.session import shared_folder
 #: Words in the lexicon; more of them only save merging.
 LEXICON = 20_000
 LONGEST_WORD = 40
+#: Words, and texts between spaces, that a Python worker remembers.
+MEMO = 400_000
 
 # Fixed value: how byte-level tokenizers of this kind cut text into words.
 _WORDS = regex.compile(
@@ -72,13 +75,19 @@ class Merger:
         parts = [self.base[b] for b in word]
         if len(parts) > 100:
             return self._merge_long(parts)
-        rank = self.rank
-        while len(parts) > 1:
-            best = min(((rank.get(p, _NEVER), i) for i, p in enumerate(zip(parts, parts[1:]))))
-            if best[0] is _NEVER:
+        get = self.rank.get
+        found = [get(p, _NEVER) for p in zip(parts, parts[1:])]
+        while found:
+            best = min(found)
+            if best is _NEVER:
                 break
-            i = best[1]
-            parts[i : i + 2] = [best[0][1]]
+            i = found.index(best)  # the first of equal pairs
+            parts[i : i + 2] = [best[1]]
+            del found[i]
+            if i:
+                found[i - 1] = get((parts[i - 1], parts[i]), _NEVER)
+            if i < len(found):
+                found[i] = get((parts[i], parts[i + 1]), _NEVER)
         return parts
 
     def _merge_long(self, parts: list[int]) -> list[int]:
@@ -217,8 +226,12 @@ def frequent_words(docs: DataFrame, text_col: str, count: int) -> list[str]:
 
 
 def publish_lexicon(spark: SparkSession, words: list[str], merger: Merger) -> str:
-    """Compile the words, each after a space, and hand the file to all executors; its name."""
-    entries = {f" {w}".encode(): merger.encode(f" {w}") for w in words}
+    """Compile the words, each after a space, and hand the file to all executors; its name.
+
+    What the tokenizer cuts off a word, such as a comma, is a word of its own.
+    """
+    cut = {part.encode("utf-8") for w in words for part in _WORDS.findall(f" {w}")}
+    entries = {part: merger.merge(part) for part in cut}
     block = compile_lexicon(entries)
     path = f"{shared_folder(spark)}/lexicon-{uuid.uuid4().hex}.bin"
     jvm = spark.sparkContext._jvm
@@ -236,14 +249,21 @@ class Codec:
 
     def __init__(self, merger: Merger, lexicon: Lexicon):
         self.merger, self.lexicon = merger, lexicon
-        self.after_space = Memo(lambda word: self._pack(f" {word}"))
-        self.spaced = Memo(self._pack)
+        self.after_space = Memo(lambda word: self._pack(f" {word}"), MEMO)
+        self.spaced = Memo(self._pack, MEMO)
+        self.word = Memo(self._ids, MEMO)
+
+    def _ids(self, word: str) -> list[int]:
+        raw = word.encode("utf-8")
+        ids = self.lexicon.get(raw)
+        return self.merger.merge(raw) if ids is None else ids
 
     def _pack(self, piece: str) -> tuple[bytes, str]:
-        ids = self.lexicon.get(piece.encode("utf-8"))
-        if ids is None:
+        if self.merger.cut and self.merger.cut.search(piece):
             ids = self.merger.encode(piece)
-        return np.array(ids, "<u4").tobytes(), ",".join(map(str, ids))
+        else:
+            ids = [i for word in _WORDS.findall(piece) for i in self.word[word]]
+        return struct.pack(f"<{len(ids)}I", *ids), ",".join(map(str, ids))
 
     def encode(self, text: str) -> tuple[np.ndarray, str]:
         """The ids, and them as decimals joined by commas."""
