@@ -21,18 +21,20 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import regex
+import tiktoken
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tsprep.llm.common import SPACE, SPACED_RUN, Memo, id_and_text, whole_text
-from tsprep.session import shared_folder
+from tsprep.session import keep, shared_folder
 
 #: Words in the lexicon; more of them only save merging.
 LEXICON = 20_000
 LONGEST_WORD = 40
-#: Words, and texts between spaces, that a Python worker remembers.
-MEMO = 400_000
+#: Texts between spaces, and words, that a Python worker remembers: about 200 MB.
+MEMO = 800_000
+WORD_MEMO = 200_000
 
 # Fixed value: how byte-level tokenizers of this kind cut text into words.
 _WORDS = regex.compile(
@@ -66,12 +68,32 @@ class Merger:
             self.rank.setdefault((vocab[a], vocab[b]), (i, vocab[a + b]))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         of = {c: i for i, c in enumerate(byte_letters())}
-        self.raw = {i: bytes(of[c] for c in token) for token, i in vocab.items()}
-        self.raw |= {i: t.encode() for t, i in self.special.items()}
+        raw = {i: bytes(of[c] for c in token) for token, i in vocab.items()}
+        raw |= {i: t.encode() for t, i in self.special.items()}
+        self.raw = [raw.get(i, b"") for i in range(max(raw) + 1)]
+        made = {new: i for i, new in self.rank.values()}
+        # Merging any two neighbours that spell a token is the same as merging by the list of
+        # pairs if each token comes from one pair and its own symbols merge to it.
+        if len(made) == len(self.rank) and all(self._pairwise(self.raw[t]) == [t] for t in made):
+            at = {i: n for n, i in enumerate([*self.base, *sorted(made, key=made.get)])}
+            self.token = list(at)
+            self.quick = tiktoken.Encoding(
+                "words", pat_str="(?s).+", special_tokens={},
+                mergeable_ranks={self.raw[i]: n for i, n in at.items()},
+            )
+        else:
+            self.quick = None
         names = sorted(self.special, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
 
-    def merge(self, word: bytes) -> list[int]:
+    def merge(self, word: str) -> list[int]:
+        """What merging pair by pair ends with."""
+        if self.quick:
+            return [self.token[n] for n in self.quick.encode_ordinary(word)]
+        return self._pairwise(word.encode("utf-8"))
+
+    def _pairwise(self, word: bytes) -> list[int]:
+        """The same by merging the first pair of the lowest rank again and again."""
         parts = [self.base[b] for b in word]
         if len(parts) > 100:
             return self._merge_long(parts)
@@ -125,11 +147,12 @@ class Merger:
                 out.append(self.special[piece])
             else:
                 for word in _WORDS.findall(piece):
-                    out += self.merge(word.encode("utf-8"))
+                    out += self.merge(word)
         return out
 
 
 _NEVER = (1 << 60, -1)
+_MARKS = frozenset(".,;:!?")
 
 
 def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
@@ -201,6 +224,11 @@ class Lexicon:
         self.labels = 4 * (at + self.where[words])
 
     def get(self, word: bytes) -> list[int] | None:
+        packed = self.packed(word)
+        return None if packed is None else np.frombuffer(packed, "<u4").tolist()
+
+    def packed(self, word: bytes) -> bytes | None:
+        """The word's ids as little-endian unsigned 32-bit numbers."""
         state, number, first, labels = self.root, 0, self.first, self.labels
         for i in range(len(word)):
             edge = self.block.find(
@@ -213,16 +241,29 @@ class Lexicon:
             state = self.targets[edge]
         if not self.ends[state]:
             return None
-        return self.ids[self.where[number] : self.where[number + 1]].tolist()
+        return self.ids[self.where[number] : self.where[number + 1]].tobytes()
 
 
 def frequent_words(docs: DataFrame, text_col: str, count: int) -> list[str]:
-    """The most frequent words between spaces of all documents, ties in alphabetical order."""
-    text = F.regexp_replace(whole_text(text_col), r"\s+", " ")
-    words = docs.select(F.explode(F.split(text, " ")).alias("word"))
+    """Frequent texts between spaces of all documents, at most ``count``.
+
+    Those in the highest classes of frequency that fit. Classes are fine steps of the logarithm, so
+    the driver gets one number a class, then only the words that are taken. Words seen once save nothing.
+    """
+    words = docs.select(F.explode(F.split(whole_text(text_col), " ")).alias("word"))
     words = words.where(F.length("word").between(1, LONGEST_WORD))
-    top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(count)
-    return [r["word"] for r in top.collect()]
+    counts = words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
+    kept = keep(counts.select("word", F.floor(F.log2("n") * 16).cast("int").alias("step")))
+    sizes = {r["step"]: r["n"] for r in kept.groupBy("step").agg(F.count("*").alias("n")).collect()}
+    taken, least = 0, None
+    for step in sorted(sizes, reverse=True):
+        taken += sizes[step]
+        if taken > count:
+            break
+        least = step
+    if least is None:
+        return []
+    return sorted(r["word"] for r in kept.where(F.col("step") >= least).select("word").collect())
 
 
 def publish_lexicon(spark: SparkSession, words: list[str], merger: Merger) -> str:
@@ -230,8 +271,8 @@ def publish_lexicon(spark: SparkSession, words: list[str], merger: Merger) -> st
 
     What the tokenizer cuts off a word, such as a comma, is a word of its own.
     """
-    cut = {part.encode("utf-8") for w in words for part in _WORDS.findall(f" {w}")}
-    entries = {part: merger.merge(part) for part in cut}
+    cut = {part for w in words for part in _WORDS.findall(f" {w}")}
+    entries = {part.encode("utf-8"): merger.merge(part) for part in cut}
     block = compile_lexicon(entries)
     path = f"{shared_folder(spark)}/lexicon-{uuid.uuid4().hex}.bin"
     jvm = spark.sparkContext._jvm
@@ -245,40 +286,60 @@ def publish_lexicon(spark: SparkSession, words: list[str], merger: Merger) -> st
 
 
 class Codec:
-    """Encodes whole texts; look-ups and merges of words are remembered."""
+    """Encodes whole texts; look-ups and merges of words are remembered, as packed ids."""
 
     def __init__(self, merger: Merger, lexicon: Lexicon):
         self.merger, self.lexicon = merger, lexicon
-        self.after_space = Memo(lambda word: self._pack(f" {word}"), MEMO)
-        self.spaced = Memo(self._pack, MEMO)
-        self.word = Memo(self._ids, MEMO)
-
-    def _ids(self, word: str) -> list[int]:
-        raw = word.encode("utf-8")
-        ids = self.lexicon.get(raw)
-        return self.merger.merge(raw) if ids is None else ids
-
-    def _pack(self, piece: str) -> tuple[bytes, str]:
-        if self.merger.cut and self.merger.cut.search(piece):
-            ids = self.merger.encode(piece)
-        else:
-            ids = [i for word in _WORDS.findall(piece) for i in self.word[word]]
-        return struct.pack(f"<{len(ids)}I", *ids), ",".join(map(str, ids))
-
-    def encode(self, text: str) -> tuple[np.ndarray, str]:
-        """The ids, and them as decimals joined by commas."""
+        self.after_space = Memo(self._after_space, MEMO)
+        self.spaced = Memo(self._pack, WORD_MEMO)
+        self.word = Memo(self._ids, WORD_MEMO)
+        self.decimal = [str(i) for i in range(len(merger.raw))]
+
+    def _ids(self, word: str) -> bytes:
+        packed = self.lexicon.packed(word.encode("utf-8"))
+        if packed is None:
+            ids = self.merger.merge(word)
+            packed = struct.pack(f"<{len(ids)}I", *ids)
+        return packed
+
+    def _pack(self, piece: str) -> bytes:
+        return b"".join(map(self.word.__getitem__, _WORDS.findall(piece)))
+
+    def _after_space(self, word: str) -> bytes:
+        """Latin letters are one word, a mark after them another; the rest is cut by pattern."""
+        if word.isalpha() and max(word) < "\u0250":
+            return self._ids(f" {word}")
+        stem, mark = word[:-1], word[-1:]
+        if mark in _MARKS and stem.isalpha() and max(stem) < "\u0250":
+            return self.after_space[stem] + self.word[mark]
+        return self._pack(f" {word}")
+
+    def _plain(self, text: str) -> list[bytes]:
+        """Packed ids, part by part, of a text without special strings."""
         if _UNEVEN.search(text):
-            found = [self.spaced[p] for p in SPACED_RUN.findall(text)]
+            return list(map(self.spaced.__getitem__, SPACED_RUN.findall(text)))
+        first, *rest = text.split(" ")
+        return [self._pack(first), *map(self.after_space.__getitem__, rest)]
+
+    def encode(self, text: str) -> np.ndarray:
+        cut, special = self.merger.cut, self.merger.special
+        if cut and cut.search(text):
+            found = []
+            for piece in cut.split(text):
+                if piece in special:
+                    found.append(struct.pack("<I", special[piece]))
+                else:
+                    found += self._plain(piece)
         else:
-            first, *rest = text.split(" ")
-            found = [self._pack(first)] if first else []
-            found += map(self.after_space.__getitem__, rest)
-        return np.frombuffer(b"".join([x for x, _ in found]), "<u4"), ",".join(
-            [x for _, x in found]
-        )
+            found = self._plain(text)
+        return np.frombuffer(b"".join(found), "<u4")
+
+    def listed(self, ids: list[int]) -> str:
+        """Ids as decimals joined by commas."""
+        return ",".join(map(self.decimal.__getitem__, ids))
 
-    def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.merger.raw.__getitem__, ids.tolist())).decode("utf-8", "replace")
+    def decode(self, ids: list[int]) -> str:
+        return b"".join(map(self.merger.raw.__getitem__, ids)).decode("utf-8", "replace")
 
 
 @lru_cache(1)
@@ -309,10 +370,11 @@ def encode_decode(
     def run(batch: pd.Series) -> pd.DataFrame:
         codec, rows = codec_for(path, name), []
         for text in batch:
-            ids, listed = codec.encode(text)
-            digest = hashlib.sha256(listed.encode()).hexdigest()
+            packed = codec.encode(text)
+            ids = packed.tolist()
+            digest = hashlib.sha256(codec.listed(ids).encode()).hexdigest()
             back = hashlib.sha256(codec.decode(ids).encode("utf-8")).hexdigest()
-            rows.append((len(ids), digest, back, *([ids.astype("i4")] if with_ids else ())))
+            rows.append((len(ids), digest, back, *([packed.astype("i4")] if with_ids else ())))
         return pd.DataFrame(rows, columns=names)
 
     schema = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"

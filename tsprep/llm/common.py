@@ -58,18 +58,23 @@ def latin_words(run: str) -> list[str] | None:
 
 
 class Memo(dict):
-    """Results by key, filled by ``make``; emptied when it holds ``limit`` of them.
+    """Results by key, filled by ``make``; at most ``limit`` of them are held.
 
-    Words follow a long-tailed distribution, so a bounded memo answers nearly every look-up.
-    The limit bounds memory only: a missing result is made again.
+    Words follow a long-tailed distribution, so a bounded memo answers nearly every look-up. When
+    half the limit is full, those results become the older half and the former older half goes;
+    what is asked for again moves back. The limit bounds memory only: a missing result is made again.
     """
 
     def __init__(self, make, limit: int = 300_000):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.half, self.older = make, max(1, limit // 2), {}
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
+        if len(self) >= self.half:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
