@@ -15,6 +15,7 @@ from checks.compare import connect, mismatch
 from tsprep.llm import queries
 from tsprep.llm.backoff_lm import backoff_scores
 from tsprep.llm.bpe_lexicon import Codec, Lexicon, Merger, compile_lexicon, encode_decode
+from tsprep.llm.common import Memo
 from tsprep.llm.components import connected_components
 from tsprep.llm.cross_polytope import nearest
 from tsprep.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
@@ -379,3 +380,13 @@ def test_pipeline_of_odd_rows(spark, sf, odd):
         before, odd = odd.columns, stage(spark, odd, sf)
         assert odd.count() > 0
         assert name == "packing" or odd.columns == before
+
+
+def test_merging_and_memo():
+    merger = Merger(public_tokenizers.path("byte_bpe_50k.json"))
+    for word in (" walking", "x" * 300, " schüä", "漢字", "=-=-=-" * 30, " ", "\U0001f600a"):
+        assert merger.merge(word) == merger._pairwise(word.encode())
+    made = []
+    memo = Memo(lambda key: made.append(key) or key * 2, 4)
+    assert [memo[k] for k in (1, 2, 3, 1, 4, 5, 6, 1, 3)] == [2, 4, 6, 2, 8, 10, 12, 2, 6]
+    assert made.count(2) == 1 and len(memo) + len(memo.older) <= 4
