@@ -359,6 +359,44 @@ def test_backoff_by_hand(spark, none):
     assert backoff_scores(none).count() == 0
 
 
+def brute_scores(rows, order, min_count=2, alpha=0.4):
+    grams, out, total = defaultdict(int), {}, 0
+    split = {i: words(t or "") for i, t in rows}
+    for ws in split.values():
+        total += len(ws)
+        for k in range(1, order + 1):
+            for i in range(len(ws) - k + 1):
+                grams[tuple(ws[i : i + k])] += 1
+    for doc, ws in split.items():
+        score = 0.0
+        for i in range(len(ws)):
+            k = min(order, i + 1)
+            while k > 1 and grams[tuple(ws[i + 1 - k : i + 1])] < min_count:
+                k, score = k - 1, score + np.log(alpha)
+            gram = tuple(ws[i + 1 - k : i + 1])
+            score += np.log(grams[gram] / (grams[gram[:-1]] if k > 1 else total))
+        out[doc] = (len(ws), 0, pytest.approx(score))
+    return out
+
+
+def test_backoff_over_all_words_and_orders(spark, sf):
+    docs = table(spark, sf, "documents").where("doc_id % 5 = 0")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    for order in (1, 2, 3):  # a few words numbered, the others met by hash
+        got = backoff_scores(docs, order=order, numbered=20, frequent=10).collect()
+        got = {r["doc_id"]: (r["n_words"], r["n_unknown"], r["log_score"]) for r in got}
+        assert got == brute_scores(rows, order)
+
+
+def test_backoff_has_no_word_limit(spark):
+    docs = spark.range(1000).selectExpr(
+        "id AS doc_id", "concat_ws(' ', transform(sequence(0, 69), i -> concat('w', id * 70 + i))) AS text"
+    )
+    got = backoff_scores(docs).agg(F.sum("n_unknown"), F.min("log_score")).first()
+    assert got[0] == 0
+    assert got[1] == pytest.approx(np.log(1 / 70_000) * 70 + np.log(0.4) * 69)
+
+
 def test_pipeline_by_brute_force(spark, sf):
     docs = table(spark, sf, "documents")
     good = corpus_pipeline.quality(spark, docs, sf)

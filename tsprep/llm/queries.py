@@ -56,7 +56,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = backoff_scores(table(spark, sf_dir, "documents"))
+    scores = backoff_scores(table(spark, sf_dir, "documents"), vocabulary=VOCABULARY)
     rounded = {c: F.round(c, 6) for c in ("log_score", "mean_log_score")}
     return scores.withColumns(rounded)
 
