@@ -256,6 +256,33 @@ def test_main_text(spark, sf):
         assert text and "<" not in text and "©" not in text and "track(" not in text
 
 
+def test_main_text_beside_unseen_and_wrapping_elements():
+    weights = fit_weights(labelled_pages())
+    article = "<article><h1>Title here</h1>{}<p>First part of it.</p></article>"
+    for unseen in (
+        '<svg class="i"/>', "<math/>", "<svg-icon></svg-icon>", "<select-box></select-box>", "<button-x/>",
+        "<p>a <button>Share</p>", "<div><select><option>No<option>Neither</div>", "<p><svg><g></p>",
+        "<textarea><div></p></article></textarea>", "<iframe></div></article></iframe>",
+        "<svg><title>No</title><style>p</style></svg>", "<p><textarea>open</p>", "<script>'</p>'</script >",
+    ):
+        got = extract(article.format(unseen), weights).replace("\na\n", "\n")
+        assert got == "Title here\nFirst part of it.", unseen
+    rest = "<nav><a>Menu</a></nav><div class=sidebar>Side <b>words</b></div>"
+    many = "<p>" + "word " * 30 + "</p>"
+    for before, after in (
+        ('<html><body class="no-sidebar">', "</body></html>"),
+        ('<html class="hidden js"><body class="page post content">', "</body></html>"),
+        ("<form id=search>", "</form>"),
+        ('<div class="layout sidebar-left header-top">', "</div>"),
+    ):
+        for inner in ("<article>" + many + "</article>", "<div>" + many + "</div>"):
+            page = before + rest + inner + "<footer>Foot</footer>" + after
+            assert extract(page, weights) == ("word " * 30).strip(), page
+    comments = "<section class=comments>" + "<p>I like this very much indeed</p>" * 50 + "</section>"
+    assert extract("<body><article>" + many + "</article>" + comments, weights) == ("word " * 30).strip()
+    assert extract("<nav><a>Menu</a></nav><footer>Foot</footer>", weights) == ""
+
+
 def test_quality(spark, sf, odd, none):
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
     chain = fit_quality(docs, labels)

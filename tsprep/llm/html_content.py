@@ -29,17 +29,27 @@ BLOCK = frozenset(
     "figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p "
     "pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-UNSEEN = "script style noscript template svg math iframe object select textarea button".split()
+# What is in them is not shown; without an end of their own they end with what they stand in.
+UNSEEN = frozenset(
+    "script style noscript template svg math iframe object select textarea button".split()
+)
+# Of these, where tags are text up to the end tag.
+ONLY_TEXT = ("iframe", "textarea")
+
+#: Weight from which a name marks content clearly.
+STRONG = 1.2
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{'|'.join(UNSEEN)})\b(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style)(?=[\s/>])(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+>"
+    r".*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<rest>(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)>"
     r"|<[!?][^>]*>"
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_END = re.compile(rf"</({'|'.join(ONLY_TEXT)})(?=[\s/>])", re.I)
 _PART = re.compile(r"[a-z]+")
 _MARK = re.compile(r"\bdata-main\s*=\s*[\"']?([01])", re.I)
 
@@ -55,10 +65,13 @@ class Weights:
 
 
 class _Element:
-    __slots__ = ("name", "keys", "score", "label")
+    __slots__ = ("name", "above", "own", "keys", "label", "unseen", "counted", "score", "good", "words", "near")
 
-    def __init__(self, name, keys, score, label):
-        self.name, self.keys, self.score, self.label = name, keys, score, label
+    def __init__(self, name: str, above: _Element | None, own: list[str], label: int | None):
+        self.name, self.above, self.own, self.label = name, above, own, label
+        self.keys = (*above.keys, *own) if above else ()
+        self.unseen = above is not None and (above.unseen or name in UNSEEN)
+        self.words = 0
 
 
 def keys_of(name: str, rest: str) -> list[str]:
@@ -69,26 +82,31 @@ def keys_of(name: str, rest: str) -> list[str]:
     return list(dict.fromkeys(keys))
 
 
-def walk(page: str, weights: Weights | None) -> Iterator[tuple[str, str, _Element]]:
-    """``("text", text, element)`` and ``("tag", name, element)`` in page order."""
-    base = weights.base if weights else 0.0
-    around = weights.around if weights else {}
-    root = _Element("", (), base, None)
+def walk(page: str, made: list[_Element], labelled: bool = False) -> Iterator[tuple[str, str, _Element]]:
+    """``("text", text, element)`` and ``("tag", name, element)`` in page order; ``made`` gets the elements."""
+    root = _Element("", None, [], None)
+    made.append(root)
     open_: list[_Element] = [root]
+    last_end = {m[1].lower(): m.start() for m in _END.finditer(page)}
     for token in _TOKEN.finditer(page):
         text, name = token["text"], token["name"]
+        above = open_[-1]
         if text is not None:
-            yield "text", text, open_[-1]
+            if not above.unseen:
+                yield "text", text, above
         elif name is not None:
             name = name.lower()
+            if above.name in last_end and token.start() <= last_end[above.name]:
+                if not (token["close"] and name == above.name):
+                    continue
             if token["close"]:
-                yield "tag", name, open_[-1]
-                for i in range(len(open_) - 1, 0, -1):
-                    if open_[i].name == name:
-                        del open_[i:]
-                        break
+                at = next((i for i in range(len(open_) - 1, 0, -1) if open_[i].name == name), 0)
+                if not above.unseen or at and not open_[at].unseen:
+                    yield "tag", name, above
+                if at:
+                    del open_[at:]
                 continue
-            if name in BLOCK and name != "br":
+            if name in BLOCK and name != "br" and not above.unseen:
                 # a paragraph, and what is open in it, ends where the next block starts
                 for i in range(len(open_) - 1, 0, -1):
                     if open_[i].name == "p":
@@ -97,22 +115,53 @@ def walk(page: str, weights: Weights | None) -> Iterator[tuple[str, str, _Elemen
                     if open_[i].name in BLOCK:
                         break
             above = open_[-1]
-            yield "tag", name, above
+            if not above.unseen and name not in UNSEEN:
+                yield "tag", name, above
             rest = token["rest"]
             if name in VOID or rest.endswith("/"):
                 continue
-            keys = keys_of(name, rest)
-            score = above.score + sum(around.get(k, 0.0) for k in keys if k not in above.keys)
-            mark = _MARK.search(rest) if weights is None else None
+            mark = _MARK.search(rest) if labelled else None
             label = int(mark[1]) if mark else above.label
-            open_.append(_Element(name, (*above.keys, *keys), score, label))
+            open_.append(_Element(name, above, keys_of(name, rest), label))
+            made.append(open_[-1])
+
+
+def _score(made: list[_Element], weights: Weights) -> None:
+    """Sets the score of every element, whose ``words`` are those right in it.
+
+    A name of ``html`` or ``body`` says nothing about a part of the page. What speaks against an
+    element does not count if it holds most of the words and most of those that something in the
+    page marks as content: then it is around the content and the rest alike.
+    """
+    around = weights.around
+    root = made[0]
+    for least in (STRONG, 1.0):  # without a clear mark of content, paragraphs are it
+        for e in made:
+            e.near = e.above is not None and (e.above.near or any(around.get(k, 0.0) >= least for k in e.own))
+            e.good = e.words if e.near else 0
+        for e in reversed(made[1:]):
+            e.above.good += e.good
+        if root.good:
+            break
+    for e in reversed(made[1:]):
+        e.above.words += e.words
+    root.score, root.counted = weights.base, ()
+    for e in made[1:]:
+        own = e.own
+        if e.name in ("html", "body"):
+            own = [k for k in own if k[0] == "<"]
+        elif 2 * e.words > root.words and 2 * e.good > root.good:
+            own = [k for k in own if around.get(k, 0.0) > -1.0]
+        own = [k for k in own if k not in e.above.counted]
+        e.counted = (*e.above.counted, *own)
+        e.score = e.above.score + sum(around.get(k, 0.0) for k in own)
 
 
 def fit_weights(pages: Iterable[str]) -> Weights:
     """Count words and tags in and outside of content on pages with ``data-main="0"`` or ``"1"``."""
     words, around, tags = Counter(), {0: Counter(), 1: Counter()}, {0: Counter(), 1: Counter()}
     for page in pages:
-        for kind, value, element in walk(page, None):
+        for kind, value, element in walk(page, [], labelled=True):
             label = element.label or 0
             if kind == "tag":
                 tags[label][value] += 1
@@ -137,9 +186,15 @@ def fit_weights(pages: Iterable[str]) -> Weights:
 
 def extract(page: str, weights: Weights) -> str:
     """The main text: blocks of the best region, joined by line ends."""
+    made: list[_Element] = []
+    found = list(walk(page, made))
+    for kind, value, element in found:
+        if kind == "text":
+            element.words += len(value.split())
+    _score(made, weights)
     items: list[tuple[str, str, float]] = []
     best, best_from, best_to, total, start = 0.0, 0, 0, 0.0, 0
-    for kind, value, element in walk(page, weights):
+    for kind, value, element in found:
         if kind == "text":
             weight = min(1.0, element.score)
             n = len(value.split())
