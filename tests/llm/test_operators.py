@@ -20,7 +20,7 @@ from tsprep.llm.components import connected_components
 from tsprep.llm.cross_polytope import nearest
 from tsprep.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from tsprep.llm.html_content import extract, fit_weights, labelled_pages, main_text
-from tsprep.llm.license_scan import scan_licenses
+from tsprep.llm.license_scan import TEMPLATES, scan_licenses
 from tsprep.llm.minhash import near_duplicates, shingles, words
 from tsprep.llm.packing import fill, pack
 from tsprep.llm.quality_crf import Chain, FEATURES, fit_quality, marginals, score_quality
@@ -369,6 +369,23 @@ def test_licenses_odd_rows(spark, odd, none):
     assert scan_licenses(odd).count() == 0 and scan_licenses(none).count() == 0
 
 
+def test_licenses_interrupted_anywhere(spark):
+    header = TEMPLATES["apache-2.0-header"].split()
+    rows, want = [], {}
+    for n in (1, 17, 40, 400):
+        for at in (10, 20, 30):
+            filler = [f"x{i}" for i in range(n)]
+            rows.append((len(rows), " ".join(filler + header[:at] + filler + header[at:] + filler)))
+            want[rows[-1][0]] = (31, 35)
+    text = TEMPLATES["mit"]
+    rows += [(1000 + n, "x " * (n % 40) + f"y{n} z{n} {text} u{n} v{n}") for n in range(20_000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = scan_licenses(df).collect()
+    assert {r["doc_id"]: (r["shared"], r["shingles"]) for r in got if r["license"] == "apache-2.0-header"} == want
+    assert sum(r["license"] == "mit" for r in got) == 20_000
+    assert scan_licenses(df.where("doc_id < 0"), {}).count() == 0
+
+
 def test_backoff_by_hand(spark, none):
     rows = [(1, "a b a b"), (2, "A b c"), (3, None), (4, "c")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n", F.lit(1))

@@ -1,15 +1,14 @@
 """Licence notices in documents, on DataFrame functions alone.
 
-Documents and templates are cut into overlapping windows of words. A window's signature holds the
-smallest value of its word triples under each of ``HASHES`` permutations, and each value is a band of
-its own. A notice of five words has three triples, and some window of six triples holds them all, so
-that it is met with probability 1 - (1/2)**12 = 0.9998; a longer notice is met more often. Whoever meets a
-template is then measured by the exact share of its five-word shingles.
+A text that holds one five-word shingle of a template holds the three word triples in it. So the
+triples of all templates, looked up among those of a text, find every template that can be there; then
+its shingles are looked for in the whole text.
 """
 
 from __future__ import annotations
 
-import random
+import json
+from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,17 +16,12 @@ from pyspark.sql import functions as F
 from tsprep.llm.common import column, whole_text
 
 SHINGLE = 5
-#: Words that are hashed together, and such runs that start in a block; a window is two blocks.
+#: Words that are hashed together.
 RUN = 3
-STRIDE = 3
-HASHES = 12
 PERCENT = 75
 #: Templates travel to every task, so their number is bounded.
 MOST_TEMPLATES = 2_000
 
-_PRIME = 2**31 - 1
-_SEED = 71
-
 # The notices that are looked for.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -76,73 +70,21 @@ def shingles_of(words: Column) -> Column:
     return F.when(last >= 1, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
-def smallest_of_blocks(words: Column) -> Column:
-    """For every block of ``STRIDE`` words its smallest value under each permutation, as a key.
-
-    A run of words across a border belongs to the block it starts in.
-    """
-    rng = random.Random(_SEED)
-    maps = [(rng.randrange(1, _PRIME), rng.randrange(_PRIME)) for _ in range(HASHES)]
-
-    def permuted(a: int, b: int):
-        return lambda x: (x * a + b) % _PRIME
-
-    def smallest(runs: Column) -> Column:
-        lows = (F.array_min(F.transform(runs, permuted(a, b))) for a, b in maps)
-        return F.array(*(low * HASHES + k for k, low in enumerate(lows)))
-
-    def runs_from(at: Column) -> Column:
-        starts = F.sequence(at, F.least(at + STRIDE, F.size(words) - (RUN - 1)) - 1)
-        return F.transform(
-            starts,
-            lambda i: F.pmod(F.xxhash64(*(F.get(words, i + k) for k in range(RUN))), F.lit(_PRIME)),
-        )
-
-    firsts = F.sequence(F.lit(0), F.size(words) - RUN, F.lit(STRIDE))
-    # one-element arrays hand the runs on, so that they are hashed once
-    lows = F.transform(
-        firsts, lambda at: F.element_at(F.transform(F.array(runs_from(at)), smallest), 1)
-    )
-    none = F.array().cast("array<array<bigint>>")
-    return F.when(F.size(words) >= RUN, lows).otherwise(none)
-
-
-def with_bands(df: DataFrame, wanted: list[int] | None = None) -> DataFrame:
-    """Rows of df, which has ``words``, once for each window and key, with ``at`` and ``key``.
-
-    A window is a block and the next one; ``at`` is its first word, counted from 0. Given wanted
-    keys, others are left out before anything is copied.
-    """
-    names = df.columns
-    lows = df.select("*", smallest_of_blocks(F.col("words")).alias("lows"))
-    following = F.concat(F.expr("slice(lows, 2, size(lows))"), F.slice("lows", -1, 1))
-    windows = lows.select(
-        *names,
-        F.zip_with("lows", following, lambda x, y: F.zip_with(x, y, lambda a, b: F.least(a, b))).alias("windows"),
-    )
+def runs_of(words: Column) -> Column:
+    """A number for each run of ``RUN`` words."""
+    firsts = F.sequence(F.lit(0), F.size(words) - RUN)
+    runs = F.transform(firsts, lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(RUN))))
+    return F.when(F.size(words) >= RUN, runs).otherwise(F.array().cast("array<bigint>"))
 
-    def part(keys: Column, i: Column) -> Column:
-        some = keys if wanted is None else F.filter(keys, lambda k: k.isin(wanted))
-        return F.struct((i * STRIDE).alias("at"), some.alias("keys"))
 
-    marked = F.filter(F.transform("windows", part), lambda w: F.size(w["keys"]) > 0)
-    hits = windows.select(*names, F.explode(marked).alias("w"))
-    return hits.select(*names, F.col("w.at").alias("at"), F.explode("w.keys").alias("key"))
-
-
-def template_bands(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """``key, license, t_words, t_shingles, t_at``: the bands of every window of every template."""
+def template_shingles(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
+    """``license, t_shingles, t_runs`` of every template of five words or more."""
     if len(templates) > MOST_TEMPLATES:
         raise ValueError(f"at most {MOST_TEMPLATES} templates")
     rows = spark.createDataFrame(sorted(templates.items()), "license string, body string")
     rows = rows.select("license", words_of(F.col("body")).alias("words"))
-    rows = rows.where(F.size("words") >= SHINGLE)
-    return with_bands(rows).select(
-        "license",
-        F.size("words").alias("t_words"),
-        shingles_of(F.col("words")).alias("t_shingles"),
-        F.col("at").alias("t_at"),
-        "key",
+    return rows.where(F.size("words") >= SHINGLE).select(
+        "license", shingles_of(F.col("words")).alias("t_shingles"), runs_of(F.col("words")).alias("t_runs")
     )
 
 
@@ -155,26 +97,42 @@ def scan_licenses(
 ) -> DataFrame:
     """One row per document and licence found: ``doc_id, license, shared, shingles, containment``.
 
-    A notice is found where the surroundings of a window hold at least ``percent`` of the
-    template's distinct five-word shingles. Templates of fewer than five words are never found.
+    A notice is found where the text holds at least ``percent`` of the template's distinct
+    five-word shingles, wherever they are. Templates of fewer than five words are never found.
     NULL and short texts hold nothing. Rows that share an id count as one document.
     """
     spark = docs.sparkSession
-    bands = template_bands(spark, TEMPLATES if templates is None else templates)
-    bands = spark.createDataFrame(bands.collect(), bands.schema)
-    wanted = [r["key"] for r in bands.select("key").distinct().collect()]
+    made = template_shingles(spark, TEMPLATES if templates is None else templates).collect()
+    numbered = [(i, r["license"], r["t_shingles"]) for i, r in enumerate(made)]
+    looked_for = spark.createDataFrame(numbered, "t int, license string, t_shingles array<string>")
+    holders = defaultdict(set)
+    for i, r in enumerate(made):
+        for run in r["t_runs"]:
+            holders[run].add(i)
+    entries = json.dumps([{"k": k, "v": sorted(v)} for k, v in holders.items()])
+    held_by = F.map_from_entries(F.from_json(F.lit(entries), "array<struct<k:bigint,v:array<int>>>"))
+
     kept = docs.select(column(id_col).alias("doc_id"), words_of(whole_text(text_col)).alias("words"))
-    met = with_bands(kept, wanted).join(F.broadcast(bands), "key")
-    first = F.greatest(F.col("at") - F.col("t_at") - 4 * STRIDE, F.lit(0)) + 1
-    region = F.slice(F.col("words"), first, F.col("t_words") + 8 * STRIDE)
+    known = F.array_distinct(F.filter(runs_of(F.col("words")), lambda run: run.isin(list(holders))))
+    candidates = F.array_distinct(F.flatten(F.transform(known, lambda run: F.element_at(held_by, run))))
+    # outer, as else a test for emptiness would work out the candidates a second time
+    met = kept.select(
+        "doc_id",
+        F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("body"),
+        F.explode_outer(candidates).alias("t"),
+    ).join(F.broadcast(looked_for), "t")
+
+    def is_there(shingle: Column) -> Column:
+        return F.contains(F.col("body"), F.concat(F.lit(" "), shingle, F.lit(" ")))
+
     found = met.select(
         "doc_id",
         "license",
         F.size("t_shingles").cast("bigint").alias("shingles"),
-        F.size(F.array_intersect("t_shingles", shingles_of(region))).cast("bigint").alias("shared"),
-    )
+        F.size(F.filter("t_shingles", is_there)).cast("bigint").alias("shared"),
+    ).where((F.col("shared") > 0) & (F.col("shared") * 100 >= F.col("shingles") * percent))
     best = found.groupBy("doc_id", "license", "shingles").agg(F.max("shared").alias("shared"))
-    return best.where(F.col("shared") * 100 >= F.col("shingles") * percent).select(
+    return best.select(
         "doc_id", "license", "shared", "shingles", (F.col("shared") / F.col("shingles")).alias("containment")
     )
 
