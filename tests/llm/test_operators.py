@@ -24,7 +24,9 @@ from tsprep.llm.license_scan import TEMPLATES, scan_licenses
 from tsprep.llm.minhash import near_duplicates, shingles, words
 from tsprep.llm.packing import fill, pack
 from tsprep.llm.quality_crf import Chain, FEATURES, fit_quality, marginals, score_quality
-from tsprep.llm.token_counts import PrefixCounts, count_tokens, token_prefixes, tokens_before, truncate
+from tsprep.llm.token_counts import (
+    PrefixCounts, count_tokens, longest_cut, token_prefixes, tokens_at, tokens_before, truncate,
+)
 
 LONG = " ".join(f"word{i % 977}" for i in range(30_000))
 ODD = [
@@ -204,6 +206,32 @@ def test_token_counts_and_prefixes(spark, sf, odd, none):
     assert {(r["n"], r["z"]) for r in kept.where("doc_id = 1").collect()} == {(count("The quick bro"[:9]), 0)}
 
 
+CUT = [
+    "漢字かな交じり文は空白なしで続く。次の文", "aGVsbG8gd29ybGQhIHRoaXMgaXMgYmFzZTY0Cg==",
+    "  they'll we've you're don't 'll !!'s x'rex ", "ab<|endoftext|>cd!!<|endoftext|>", "Ünï ΣΑΣ e\u0301te\u0301 İstanbul",
+    "하나 \u1112\u1161\u11ab naïve\n\ttabs", "\U0001f600\U0001f468\u200d\U0001f469 ok", "ﬁne ½ x²", "", " \n",
+    "a <|endoftext|><|endoftext|>b",
+]
+
+
+def test_token_counts_at_every_character(spark):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    count = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids)
+    df = spark.createDataFrame(list(enumerate(CUT)), "doc_id bigint, text string")
+    kept = token_prefixes(df).join(df, "doc_id")
+    for r in kept.select("text", "inside", *(tokens_at(F.lit(n)).alias(f"n{n}") for n in (0, 3, 99))).collect():
+        text = r["text"]
+        assert r["inside"] == [count(text[:n]) for n in range(1, len(text) + 1)], text
+        assert [r["n0"], r["n3"], r["n99"]] == [0, count(text[:3]), count(text)]
+    for budget in (-1, 0, 3, 7):
+        cuts = {r["doc_id"]: r["n"] for r in kept.select("doc_id", longest_cut(F.lit(budget)).alias("n")).collect()}
+        for i, text in enumerate(CUT):
+            fit = [n for n in range(len(text) + 1) if count(text[:n]) <= budget]
+            assert cuts[i] == max(fit, default=0), (text, budget)
+        whole = {r["doc_id"]: len(r["text"]) for r in truncate(df, budget).collect()}
+        assert all(whole[i] == cuts[i] for i, text in enumerate(CUT) if budget >= 0)
+
+
 def test_lexicon_is_minimal_and_exact(tmp_path):
     merger = Merger(public_tokenizers.path("byte_bpe_50k.json"))
     entries = {w.encode(): merger.encode(w) for w in (" walking", " talking", " talk", " wal", " a")}

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
@@ -27,6 +28,8 @@ LIMIT = 2048
 MEMO = 400_000
 
 _LETTERS = dict(enumerate(byte_letters()))
+# Fixed value: words of three letters that the tokenizer parts when their last one is missing.
+_PARTED = frozenset(("'re", "'ve", "'ll"))
 
 
 class PrefixCounts:
@@ -58,6 +61,7 @@ class PrefixCounts:
         self.beside = Memo(lambda pair: self.stands(*pair))
         self.of_word = Memo(self._count_word, MEMO)
         self.of_run = Memo(self._count_run, MEMO)
+        self.of_prefixes = Memo(self._word_prefixes, 20_000)
 
     def stands(self, left: str, right: str) -> bool:
         """Whether merging both tokens' symbols ends with just these two tokens."""
@@ -132,6 +136,52 @@ class PrefixCounts:
         pieces = [p for p in self.cut.split(run) if p]
         return sum(1 if p in self.special else self._count_run(p) for p in pieces)
 
+    def _word_prefixes(self, word: str) -> list[int]:
+        if word in _PARTED:  # cut short, the apostrophe is a word of its own
+            mark = self.of_word["'"]
+            return [0, mark, mark + self.of_word[word[1]], self.of_word[word]]
+        return self.prefixes(word)
+
+    def inside(self, run: str) -> list[int]:
+        """Tokens of each prefix of a run without white space, from length 0 on."""
+        if self.cut.search(run):
+            out, total, before = [0], 0, ""
+            for piece in filter(None, self.cut.split(run)):
+                if piece in self.special:  # any shorter cut of it is plain text and joins what is before
+                    without = total - (self._count_run(before) if before else 0)
+                    out += [without + self._count_run(before + piece[:n]) for n in range(1, len(piece))]
+                    total, before = total + 1, ""
+                    out.append(total)
+                else:
+                    out += [total + n for n in self.inside(piece)[1:]]
+                    total, before = out[-1], piece
+            return out
+        normal = self.tokenizer.normalizer.normalize_str
+        letters = [normal(c).encode().decode("latin-1").translate(_LETTERS) for c in run]
+        words = self.words(run)
+        if "".join(letters) != "".join(words) or any(map(unicodedata.combining, run)):
+            # characters change each other here, so every cut is a text of its own
+            return [0, *(self._count_run(run[:n]) for n in range(1, len(run) + 1))]
+        by_letter, total = [0], 0
+        for word in words:
+            by_letter += [total + n for n in self.of_prefixes[word][1:]]
+            total = by_letter[-1]
+        out, at = [0], 0
+        for part in letters:
+            at += len(part)
+            out.append(by_letter[at])
+        return out
+
+    def everywhere(self, text: str) -> list[int]:
+        """Tokens of the text cut after each of its characters."""
+        out, total = [], 0
+        for run in space_split(text):
+            start = text.index(run, len(out))
+            out += [total] * (start - len(out))
+            out += [total + n for n in self.inside(run)[1:]]
+            total = out[-1]
+        return out + [total] * (len(text) - len(out))
+
     def count(self, text: str) -> int:
         return sum(map(self.of_run.__getitem__, space_split(text)))
 
@@ -158,9 +208,8 @@ class PrefixCounts:
             if total + self.of_run[run] <= budget:
                 total, fit = total + self.of_run[run], at
                 continue
-            inside = [
-                n for n in range(1, len(run)) if total + self._count_run(run[:n]) <= budget
-            ]
+            cuts = self.inside(run)
+            inside = [n for n in range(1, len(run)) if total + cuts[n] <= budget]
             return start + inside[-1] if inside else (start if total <= budget and budget >= 0 else fit)
         return len(text)
 
@@ -200,9 +249,10 @@ def token_prefixes(
     text_col: str = "text",
     tokenizer: str = "word_bpe_49k.json",
 ) -> DataFrame:
-    """``doc_id, ends, counts``: tokens up to each place (in characters) where a run of text ends.
+    """``doc_id, ends, counts, inside``: tokens up to each place where a run ends, and after each character.
 
-    Store it once: ``tokens_before`` answers from it how long any cut text is.
+    Store it once: ``tokens_at`` and ``longest_cut`` answer from it how long any cut text is and where
+    to cut for a budget, ``tokens_before`` how long it is cut between runs only.
     """
     path = public_tokenizers.path(tokenizer)
     texts = id_and_text(docs, id_col, text_col)
@@ -213,9 +263,22 @@ def token_prefixes(
         for batch in batches:
             found = [counts.runs(t) for t in batch["text"]]
             ends, totals = [e for e, _ in found], [c for _, c in found]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ends": ends, "counts": totals})
+            inside = [counts.everywhere(t) for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "ends": ends, "counts": totals, "inside": inside})
+
+    return texts.mapInPandas(run, f"doc_id {kind}, ends array<int>, counts array<bigint>, inside array<int>")
+
+
+def tokens_at(place: Column) -> Column:
+    """Tokens of the text cut after ``place`` characters, within a run too, from stored prefixes."""
+    last = F.least(place, F.size("inside"))
+    return F.when(last > 0, F.get("inside", last - 1)).otherwise(F.lit(0)).cast("bigint")
+
 
-    return texts.mapInPandas(run, f"doc_id {kind}, ends array<int>, counts array<bigint>")
+def longest_cut(budget: Column) -> Column:
+    """Characters of the longest prefix of at most ``budget`` tokens, from stored prefixes."""
+    fits = F.transform("inside", lambda n, i: F.when(n <= budget, i + 1))
+    return F.coalesce(F.array_max(fits), F.lit(0))
 
 
 def tokens_before(place: Column) -> Column:
