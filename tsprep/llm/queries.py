@@ -11,6 +11,7 @@ from tsprep.llm.common import table
 from tsprep.llm.cross_polytope import nearest
 from tsprep.llm.exact_dedup import exact_duplicates
 from tsprep.llm.html_content import main_text
+from tsprep.llm import line_dedup
 from tsprep.llm.license_scan import TEMPLATES, oracle_sql, scan_licenses
 from tsprep.llm.minhash import near_duplicates
 from tsprep.llm.packing import pack
@@ -61,6 +62,10 @@ def op9_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.withColumns(rounded)
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -74,11 +79,13 @@ QUERIES = {
         op8_cross_polytope_neighbours,
         op9_backoff_lm,
         op10_bpe_codec,
+        op12_line_dedup,
     )
 }
 
 ORACLE = {
     "op2_license_scan": oracle_sql(TEMPLATES),
+    "op12_line_dedup": line_dedup.oracle_sql(),
     "op9_backoff_lm": f"""
 WITH w AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(
                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
