@@ -17,6 +17,7 @@ from tsprep.llm.minhash import near_duplicates
 from tsprep.llm.packing import pack
 from tsprep.llm.quality_crf import fit_quality, score_quality
 from tsprep.llm.token_counts import count_tokens
+from tsprep.llm.whitening import whiten
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +67,10 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -80,6 +85,7 @@ QUERIES = {
         op9_backoff_lm,
         op10_bpe_codec,
         op12_line_dedup,
+        op13_embedding_whitening,
     )
 }
 
