@@ -11,13 +11,14 @@ from tsprep.llm.common import table
 from tsprep.llm.cross_polytope import nearest
 from tsprep.llm.exact_dedup import exact_duplicates
 from tsprep.llm.html_content import main_text
-from tsprep.llm import line_dedup
+from tsprep.llm import line_dedup, prefix_trie
 from tsprep.llm.license_scan import TEMPLATES, oracle_sql, scan_licenses
 from tsprep.llm.minhash import near_duplicates
 from tsprep.llm.packing import pack
 from tsprep.llm.quality_crf import fit_quality, score_quality
 from tsprep.llm.token_counts import count_tokens
 from tsprep.llm.whitening import whiten
+from tsprep.session import keep
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +64,12 @@ def op9_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.withColumns(rounded)
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turns_in_order(table(spark, sf_dir, "conversations"))
+    rebuilt = prefix_trie.rebuild(keep(turns))
+    return prefix_trie.prefix_trie(rebuilt).drop("enter", "exit")
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(table(spark, sf_dir, "documents"))
 
@@ -84,6 +91,7 @@ QUERIES = {
         op8_cross_polytope_neighbours,
         op9_backoff_lm,
         op10_bpe_codec,
+        op11_conversation_trie,
         op12_line_dedup,
         op13_embedding_whitening,
     )
@@ -91,6 +99,7 @@ QUERIES = {
 
 ORACLE = {
     "op2_license_scan": oracle_sql(TEMPLATES),
+    "op11_conversation_trie": prefix_trie.oracle_sql(),
     "op12_line_dedup": line_dedup.oracle_sql(),
     "op9_backoff_lm": f"""
 WITH w AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(
