@@ -17,27 +17,35 @@ from tsprep.session import keep
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
+    """Documents that the classifier accepts.
+
+    NULL and empty texts are scored like any other, on whole texts of any length; each row is judged
+    by itself, so repeated rows share their fate. No documents or no labels: no or all-alike scores.
+    """
     chain = fit_quality(docs, table(spark, sf_dir, "labels"))
     return docs.where(quality_score(chain)(F.col("text").cast("string")) >= THRESHOLD)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id."""
+    """Of equal texts the document with the largest id; NULL and empty texts are equal.
+
+    Of rows that repeat both id and text one stays.
+    """
     return drop_exact_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id.
 
-    A document without an id belongs to no group and stays.
+    A document without an id belongs to no group and stays; so do all texts without words. Rows that
+    share an id are one document: if it goes, all of them go.
     """
     others = near_duplicates(docs).where("NOT kept").select("doc_id")
     return docs.join(others, "doc_id", "left_anti").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences."""
+    """Pieces of sequences; a NULL or empty text is its end token alone, a long one many pieces."""
     return pack(docs)
 
 

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tsprep.llm.common import id_and_text
@@ -25,8 +25,9 @@ WORDS_PER_SHINGLE = 5
 ROWS = 5
 BANDS = 40
 SEED = 20_240_501
-#: Members of one bucket that meet in one task when an unsettled bucket is searched through.
-BLOCK = 1_024
+#: Members of one bucket that meet in one task when an unsettled bucket is searched through, and bytes
+#: of their shingle hashes.
+BLOCK, BLOCK_BYTES = 1_024, 8 * 2**20
 #: Signature entries of the sketches that are compared there.
 SKETCH = 1_024
 
@@ -150,8 +151,9 @@ def near_duplicates(
     a pair of similarity s is found with probability ``1 - (1 - s**rows)**bands``: 0.99998 at 0.75.
 
     Documents of the same words are one node, so copies are never paired. In a bucket all
-    nodes meet its smallest one first; only buckets that still hold several components are then
-    searched through, in blocks. A NULL text is empty; a text without words has no shingles and is
+    nodes meet its smallest one first, and in further rounds another one, as long as that
+    halves what is open. Buckets that still hold several components are then searched through in
+    blocks, whose tasks return no more links than they join components. A NULL text is empty; a text without words has no shingles and is
     linked with nothing. Rows that share an id are one node. A NULL id is linked with nothing,
     its ``component_id`` is NULL and it is kept.
     """
@@ -172,10 +174,21 @@ def near_duplicates(
         confirm(pairs, texts, percent, shingle_words).unionByName(_one_id(same))
     )
     roots = connected_components(links)
-    rest = keep(_unsettled(shared, roots, texts, percent, shingle_words))
-    rest = keep(rest.join(pairs, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        links = links.unionByName(keep(confirm(rest, texts, percent, shingle_words)))
+    open_rows = keep(_open_buckets(shared, roots))
+    left, turn = open_rows.count(), 0
+    while left:
+        turn += 1
+        tried = keep(_meet_pivot(open_rows, turn).join(pairs, ["a", "b"], "left_anti"))
+        pairs = pairs.unionByName(tried)
+        links = links.unionByName(keep(confirm(tried, texts, percent, shingle_words)))
+        roots = connected_components(links)
+        open_rows = keep(_open_buckets(shared, roots))
+        before, left = left, open_rows.count()
+        if 2 * left > before:
+            break
+    if left:
+        rest = keep(_search_blocks(open_rows, texts, percent, scheme))
+        links = links.unionByName(keep(confirm(rest.distinct(), texts, percent, shingle_words)))
         roots = connected_components(links)
     roots = roots.withColumnRenamed("node", "_node")
     mine = (
@@ -215,75 +228,121 @@ def _one_id(same: DataFrame) -> DataFrame:
     )
 
 
-def _sketches(texts: DataFrame, size: int) -> DataFrame:
-    """``node, sketch``: the last byte of each of ``SKETCH`` signature entries."""
-    scheme = MinMax(2, SKETCH // 2, size)
+def _open_buckets(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """``key, node, root`` for the members of buckets that hold several components."""
+    at = shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    ends = at.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high"))
+    return at.join(ends.where("_low < _high").select("key"), "key")
+
+
+def _meet_pivot(open_rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs ``(a, b)``, a > b, of each member and its bucket's pivot in another component.
+
+    The pivot comes first by a hash that changes with ``turn`` but not with the bucket, so the buckets
+    of one group share a few pivots.
+    """
+    pivot = F.min_by(F.struct("node", "root"), F.xxhash64(F.lit(turn), "node")).alias("_pivot")
+    met = open_rows.join(open_rows.groupBy("key").agg(pivot), "key").where("root <> _pivot.root")
+    return met.select(
+        F.greatest("node", "_pivot.node").alias("a"), F.least("node", "_pivot.node").alias("b")
+    ).distinct()
+
+
+def _sketches(texts: DataFrame, scheme: MinMax) -> DataFrame:
+    """``node, sketch, prints``: the last byte of each of ``SKETCH`` signature entries, and the sorted
+    hashes of all shingles."""
+    fine = MinMax(2, SKETCH // 2, scheme.size)
     kind = texts.schema["node"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [scheme.signature(scheme.fingerprints(words(t))) for t in batch["text"]]
-            sketches = [x.astype(np.uint8).tobytes() for x in found]
-            yield pd.DataFrame({"node": batch["node"], "sketch": sketches})
+            prints = [fine.fingerprints(words(t)) for t in batch["text"]]
+            sketches = [fine.signature(p).astype(np.uint8).tobytes() for p in prints]
+            yield pd.DataFrame(
+                {"node": batch["node"], "sketch": sketches, "prints": [p.tobytes() for p in prints]}
+            )
 
-    return texts.mapInPandas(run, f"node {kind}, sketch binary")
+    return texts.mapInPandas(run, f"node {kind}, sketch binary, prints binary")
 
 
-def _unsettled(
-    shared: DataFrame, roots: DataFrame, texts: DataFrame, percent: int, size: int
-) -> DataFrame:
-    """Pairs ``(a, b)`` in one bucket but in different components, unless their sketches rule it out.
+def _search_blocks(open_rows: DataFrame, texts: DataFrame, percent: int, scheme: MinMax) -> DataFrame:
+    """Links ``(a, b)``, a > b, that join all linked components inside each bucket.
 
-    The members of an open bucket are dealt into blocks and every two blocks meet in a task, where
-    sketches are compared; only pairs with enough equal entries leave it. The bar lies five
-    standard deviations below the wanted similarity: a pair right at it is lost once in 3 million.
+    Members outside a bucket's largest component are dealt into blocks i, all members into blocks j,
+    and every i meets every j in a task: a large component with a few strangers costs its own
+    size. There sketches rule most pairs out. Their bar lies five standard deviations below the wanted
+    similarity: a pair right at it is lost once in 3 million. Full sets of hashes decide about the
+    others, and a link is returned only if it joins two components within the task, so a task
+    returns fewer links than it has members.
     """
     share = percent / 100
     least = share - 5 * (share * (1 - share) / SKETCH) ** 0.5
-    at = shared.join(roots, "node", "left").select(
-        "key", "node", F.coalesce("root", "node").alias("root")
+    members = texts.join(open_rows.select("node").distinct(), "node", "left_semi")
+    sketches = keep(_sketches(members, scheme))
+    sizes = open_rows.join(sketches.select("node", F.octet_length("prints").alias("bytes")), "node")
+    parts = sizes.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    buckets = parts.groupBy("key").agg(
+        F.max_by("root", F.struct("n", "root")).alias("main"),
+        *(F.sum(c).alias(f"all_{c}") for c in ("n", "bytes")),
+        *((F.sum(c) - F.max_by(c, F.struct("n", "root"))).alias(f"few_{c}") for c in ("n", "bytes")),
     )
-    open_keys = (
-        at.groupBy("key")
-        .agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("_n"))
-        .where("_low < _high")
-        .select("key", F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks"))
-    )
-    left = keep(at.join(open_keys, "key"))
-    open_texts = texts.join(left.select("node").distinct(), "node", "left_semi")
-    left = left.join(keep(_sketches(open_texts, size)), "node")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    left = left.withColumn("own", own).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    )
-    left = left.select(
-        "key",
-        F.least("own", "other").alias("i"),
-        F.greatest("own", "other").alias("j"),
-        "own",
-        "node",
-        "root",
-        "sketch",
+
+    def blocks(which: str) -> Column:
+        by_rows, by_bytes = F.col(f"{which}_n") / BLOCK, F.col(f"{which}_bytes") / BLOCK_BYTES
+        return F.ceil(F.greatest(by_rows, by_bytes)).cast("int")
+
+    buckets = buckets.select("key", "main", blocks("few").alias("rows"), blocks("all").alias("columns"))
+    at = open_rows.join(keep(buckets), "key")
+
+    def dealt(n: str) -> Column:
+        return F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    few = at.where("root <> main").withColumn("i", dealt("rows")).withColumn("j", every("columns"))
+    many = at.withColumn("j", dealt("columns")).withColumn("i", every("rows"))
+    names = ["key", "i", "j", "node", "root", "main"]
+    both = few.withColumn("few", F.lit(True)).select(*names, "few").unionByName(
+        many.withColumn("few", F.lit(False)).select(*names, "few")
     )
-    left = left.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-    kind = shared.schema["node"].dataType.simpleString()
+    both = both.join(sketches, "node")
+    both = both.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    kind = open_rows.schema["node"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in runs_of(batches, ["key", "i", "j"]):
-            first = group["own"].to_numpy() == group["i"].iloc[0]
-            second = group["own"].to_numpy() == group["j"].iloc[0]
-            node, root = group["node"].to_numpy(), group["root"].to_numpy()
-            sketch = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), -1)
-            places, roots_there, sketches = np.flatnonzero(second), root[second], sketch[second]
-            out_a, out_b = [], []
-            for x in np.flatnonzero(first):
-                near = (sketches == sketch[x]).mean(axis=1) >= least
-                for y in places[near & (roots_there != root[x])]:
-                    out_a.append(max(node[x], node[y]))
-                    out_b.append(min(node[x], node[y]))
-            yield pd.DataFrame({"a": out_a, "b": out_b}).drop_duplicates()
-
-    return left.mapInPandas(run, f"a {kind}, b {kind}").distinct()
+            a, b = spanning_links(group, least, percent)
+            yield pd.DataFrame({"a": a, "b": b})
+
+    return both.mapInPandas(run, f"a {kind}, b {kind}")
+
+
+def spanning_links(group: pd.DataFrame, least: float, percent: int) -> tuple[list, list]:
+    """Links between ``few`` and other rows of different roots, without those that join nothing new."""
+    few = group["few"].to_numpy()
+    node, root = group["node"].to_numpy(), group["root"].to_numpy()
+    sketch = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), -1)
+    prints = [np.frombuffer(p, np.uint64) for p in group["prints"]]
+    size = np.fromiter(map(len, prints), np.int64, len(group))
+    names, part = np.unique(root, return_inverse=True)
+    others, sketches = np.flatnonzero(~few), sketch[~few]
+    from_few = (root != group["main"].to_numpy())[others]
+    out_a, out_b = [], []
+    for x in np.flatnonzero(few):
+        small, large = np.minimum(size[others], size[x]), np.maximum(size[others], size[x])
+        # a pair of two of the few meets in both orders of their blocks: look at it once
+        fit = (part[others] != part[x]) & (100 * small >= percent * large) & (~from_few | (node[others] < node[x]))
+        fit[fit] = (sketches[fit] == sketch[x]).mean(axis=1) >= least
+        for y in others[fit]:
+            if part[x] == part[y]:
+                continue
+            shared = len(np.intersect1d(prints[x], prints[y], assume_unique=True))
+            if 100 * shared >= percent * (size[x] + size[y] - shared):
+                part[part == part[y]] = part[x]
+                out_a.append(max(node[x], node[y]))
+                out_b.append(min(node[x], node[y]))
+    return out_a, out_b
 
 
 def runs_of(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
