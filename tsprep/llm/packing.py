@@ -126,7 +126,10 @@ class WordIds:
         self.end = b"" if end_id is None else np.uint32(end_id).tobytes()
         self.runs: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self.memo = memo
+        # what was remembered before the last time a half was full; what is met again moves back
+        self.older_runs: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
+        self.half = max(1, memo // 2)
 
     def __call__(self, texts: Iterable[str]) -> Iterator[bytes]:
         for text in texts:
@@ -135,10 +138,12 @@ class WordIds:
             yield b"".join(map(self.runs.__getitem__, parts)) + self.end
 
     def learn(self, parts: list[str]) -> None:
-        new = list(set(parts).difference(self.runs))
-        if len(self.runs) + len(new) > self.memo:
-            self.runs = {}
-            new = list(set(parts))
+        new = set(parts).difference(self.runs)
+        if len(self.runs) + len(new) > self.half:
+            self.older_runs, self.runs, new = self.runs, {}, set(parts)
+        again = new & self.older_runs.keys()
+        self.runs.update(zip(again, map(self.older_runs.__getitem__, again)))
+        new -= again
         cut = {}
         for run in new:
             found = None if any(t in run for t in self.special) else latin_words(run)
@@ -148,9 +153,13 @@ class WordIds:
             else:
                 cut[run] = found
         unknown = {w for found in cut.values() for w in found}
-        if len(self.words) + len(unknown) > self.memo:
-            self.words = {}
-        self._learn_words([w for w in unknown if w not in self.words])
+        unknown = unknown.difference(self.words)
+        if len(self.words) + len(unknown) > self.half:
+            self.older_words, self.words = self.words, {}
+            unknown = {w for found in cut.values() for w in found}
+        again = unknown & self.older_words.keys()
+        self.words.update(zip(again, map(self.older_words.__getitem__, again)))
+        self._learn_words(list(unknown - again))
         for run, found in cut.items():
             self.runs[run] = b"".join(map(self.words.__getitem__, found))
 
