@@ -88,6 +88,45 @@ def load_mixed_csv(spark: SparkSession, sf: str) -> DataFrame:
     return df.groupBy("c_custkey", "c_name", "c_acctbal").agg(F.count(F.lit(1)).alias("copies"))
 
 
+#: Code page, separator, and the name and first word of a column of texts in it.
+PAGES = {
+    "windows-1251": (";", "линия, место", "Север №"),
+    "windows-1252": (";", "línea; área", "Año – €"),
+    "ISO-8859-1": ("\t", "línea, área", "Señal"),
+    "Shift_JIS": (",", "装置,場所", "これは装置"),
+    "GB18030": (",", "线路,位置", "这是线路"),
+    "EUC-KR": ("|", "라인|위치", "한국어"),
+    "UTF-8": (";", "линия; место", "север"),
+}
+
+
+def _paged_files(spark: SparkSession, sf: str) -> dict[str, str]:
+    """Customers in seven code pages; the header holds separators inside quotes."""
+    base, df = shared_folder(spark), table(spark, sf, "customer")
+    spark.conf.set(delimited.ALL_PAGES, "true")
+    for page, (sep, name, word) in PAGES.items():
+        part = df.select(F.concat(F.lit(f"{word} "), "c_name").alias(name), "c_custkey", "c_acctbal")
+        part.write.options(header=True, sep=sep, encoding=page).csv(f"{base}/folder={page}")
+    return {page: f"{base}/folder={page}" for page in PAGES}
+
+
+def detect_csv_code_pages(spark: SparkSession, sf: str) -> DataFrame:
+    found = delimited.detect_format(spark, list(_paged_files(spark, sf).values()))
+    folder = F.regexp_extract("path", "folder=([^/]+)", 1)
+    return found.select(folder.alias("folder"), "encoding", "delimiter").distinct()
+
+
+def load_csv_code_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Each folder loaded by itself; names of columns and texts as they were before writing."""
+    out = None
+    for path in _paged_files(spark, sf).values():
+        df = delimited.load_csv(spark, path)
+        name = next(c for c in df.columns if c not in ("c_custkey", "c_acctbal"))
+        df = df.select(F.lit(name).alias("header"), delimited.named(name).alias("label"), "c_custkey", "c_acctbal")
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
 def text_timestamps(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "orders").select(
         "o_orderkey", F.coalesce(F.col("o_orderdate").cast("string"), F.lit("never")).alias("day")
@@ -212,6 +251,8 @@ QUERIES = {
     "load_csv_header_order": load_csv_header_order,
     "load_csv_quoted": load_csv_quoted,
     "detect_csv_format": detect_csv_format,
+    "detect_csv_code_pages": detect_csv_code_pages,
+    "load_csv_code_pages": load_csv_code_pages,
     "load_mixed_csv": load_mixed_csv,
     "text_timestamps": text_timestamps,
     "scalers_saved": scalers_saved,
@@ -266,6 +307,13 @@ ORACLE = {
       SELECT * FROM f WHERE EXISTS (SELECT 1 FROM customer)""",
     "load_mixed_csv": """SELECT c_custkey, c_name, c_acctbal, CAST(2 AS BIGINT) AS copies FROM customer
       UNION ALL SELECT c_custkey, 'Renée ' || c_name, c_acctbal, 2 FROM customer""",
+    "detect_csv_code_pages": f"""SELECT folder, folder AS encoding, delimiter
+      FROM (VALUES {", ".join(f"('{p}', '{sep}')" for p, (sep, _, _) in PAGES.items())}) f(folder, delimiter)
+      WHERE EXISTS (SELECT 1 FROM customer)""",
+    "load_csv_code_pages": " UNION ALL ".join(
+        f"SELECT '{name}' AS header, '{word} ' || c_name AS label, c_custkey, c_acctbal FROM customer"
+        for _, name, word in PAGES.values()
+    ),
     "text_timestamps": "SELECT o_orderkey, o_orderdate AS day FROM orders",
     "scalers_saved": f"""WITH {READINGS} SELECT event_id,
       {settled("(voltage - avg(voltage) OVER ()) / stddev_pop(voltage) OVER ()")} AS voltage_scaled,

@@ -5,7 +5,7 @@ from pyspark.errors import AnalysisException
 
 from tsprep.operators import quality, scale
 from tsprep.plans.prepare import compare_mean_filled, prepare
-from tsprep.sources import delimited, sinks
+from tsprep.sources import codepages, delimited, sinks
 from tsprep.sources.telemetry import sample_telemetry
 
 
@@ -29,6 +29,57 @@ def test_formats_are_detected_per_file(spark, tmp_path):
     }
 
 
+WORDS = {
+    "windows-1252": ["tensión", "año", "Müller – „größer“", "élève déjà"],
+    "ISO-8859-1": ["tensión", "año", "Müller größer", "élève déjà"],
+    "windows-1251": ["напряжение", "ток", "Линия №5 «Север»", "МОСКВА и область"],
+    "windows-1253": ["τάση", "ρεύμα", "Καλημέρα κόσμε", "γραμμή"],
+    "KOI8-R": ["напряжение", "ток", "Привет, мир", "линия"],
+    "Shift_JIS": ["電圧", "電流", "これは日本語です", "ソース表"],
+    "EUC-JP": ["電圧", "電流", "これは日本語です", "ライン"],
+    "GB18030": ["电压", "电流", "这是中文文本", "线路一"],
+    "EUC-KR": ["전압", "전류", "한국어 텍스트", "라인"],
+    "Big5": ["電壓", "電流", "這是中文文本", "線路"],
+    "UTF-8": ["напряжение", "電流", "Müller", "線路"],
+}
+
+
+def test_code_pages(spark, tmp_path):
+    """Names and texts come out right whatever the file was written in."""
+    for page, (a, b, *texts) in WORDS.items():
+        (tmp_path / page).mkdir()
+        rows = "\n".join(f'"{t}; x";{i}' for i, t in enumerate(texts))
+        _write(tmp_path / page / "f.csv", f"{a};{b}\n{rows}\nplain;9\n", page)
+    found = delimited.detect_format(spark, [str(tmp_path / p) for p in WORDS]).collect()
+    assert {r.path.rsplit("/", 2)[1]: (r.encoding, r.delimiter) for r in found} == {p: (p, ";") for p in WORDS}
+    for page, (a, b, *texts) in WORDS.items():
+        df = delimited.load_csv(spark, str(tmp_path / page))
+        assert df.columns == [a, b]
+        assert {tuple(r) for r in df.collect()} == {("plain", 9), *((f"{t}; x", i) for i, t in enumerate(texts))}
+
+
+def test_separators_inside_quotes(spark, tmp_path):
+    """The first lines decide by their fields outside quotes, after decoding."""
+    cases = {
+        "a": ('"volts, low, high, peak";amps\n"1,5";2\n', "utf-8", ";", ["volts, low, high, peak", "amps"]),
+        "b": ("tensión;año;línea\n1;2;3\n", "iso-8859-1", ";", ["tensión", "año", "línea"]),
+        "c": ("a, b|c;d|e\n1|2|3\n", "utf-16", "|", ["a, b", "c;d", "e"]),
+        "d": ("only\n1,5\n", "utf-8", ",", ["only"]),
+        "e": ("x;y,z\n1;2,5\n3;4\n", "utf-8", ";", ["x", "y,z"]),
+    }
+    for name, (text, encoding, delimiter, columns) in cases.items():
+        path = _write(tmp_path / f"{name}.csv", text, encoding)
+        assert delimited.detect_format(spark, path).first().delimiter == delimiter, name
+        assert delimited.load_csv(spark, path).columns == columns, name
+
+
+def test_fields_are_counted_outside_quotes():
+    text = 'a,b\n"x, ""y"", z",1\n"over\ntwo lines",2\n5" pipe,3\n"cut off'
+    assert codepages.field_counts(text, ",") == [2, 2, 2, 2]
+    assert codepages.field_counts("", ",") == [] and codepages.choose_delimiter("") == ","
+    assert codepages.field_counts('"one, not closed', ",") == [1]
+
+
 def test_types_and_missing_tokens(spark, tmp_path):
     path = _write(
         tmp_path / "t.csv",
