@@ -47,6 +47,25 @@ def _rolling_hours(**options):
     return run
 
 
+SPIKES = {50: 1e9, 3_000: 1e12, 5_000: -1e9}
+
+
+def _spiked(columns: dict[int, float]) -> str:
+    cases = " ".join(f"WHEN event_id = {k} THEN CAST({v} AS double)" for k, v in columns.items())
+    return f"CASE {cases} ELSE voltage END"
+
+
+def _rolling_spikes(**options):
+    """Spikes of very different size: frames without one must not feel it."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        df = readings(spark, sf).withColumn("voltage", F.expr(_spiked(SPIKES)))
+        df = anomaly.detect_rolling(df, ["voltage"], 3.0, hours=24, **AXIS, **options)
+        return df.select("event_id", "voltage_anomaly", "is_anomaly")
+
+    return run
+
+
 def anomaly_details(spark: SparkSession, sf: str) -> DataFrame:
     flagged = anomaly.detect_global(readings(spark, sf), MEASURES, 3.0)
     df = anomaly.anomaly_details(flagged, MEASURES, 3.0)
@@ -85,6 +104,8 @@ QUERIES = {
     "zscore_rolling_whole": zscore_rolling_whole,
     "zscore_rolling_hours": _rolling_hours(),
     "zscore_rolling_hours_cut": _rolling_hours(max_series_rows=100),
+    "zscore_rolling_spikes": _rolling_spikes(),
+    "zscore_rolling_spikes_cut": _rolling_spikes(max_series_rows=100),
     "anomaly_details": anomaly_details,
     "remove_outliers": remove_outliers,
     "removed_count": removed_count,
@@ -113,7 +134,12 @@ def _flags_sql(over: str) -> str:
 
 _HOURS = "(PARTITION BY id_line ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW)"
 
+_SPIKED = f"""WITH {READINGS}, spiked AS (SELECT event_id, ts, id_line, {_spiked(SPIKES)} AS voltage FROM readings)
+  SELECT event_id, {_z("voltage", _HOURS)} AS voltage_anomaly, voltage_anomaly AS is_anomaly FROM spiked"""
+
 ORACLE = {
+    "zscore_rolling_spikes": _SPIKED,
+    "zscore_rolling_spikes_cut": _SPIKED,
     "zscore_global": _flags_sql("()"),
     "zscore_per_line": _flags_sql("(PARTITION BY id_line)"),
     "zscore_rolling": _flags_sql(f"({LINE} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)"),

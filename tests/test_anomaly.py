@@ -97,3 +97,43 @@ def test_span_frames_of_a_burst(spark):
         for cut in (1_000_000, 4)
     ]
     assert results[0] == results[1] and any(results[0])
+
+
+def _span_by_hand(rows, hours, threshold):
+    """Two passes over each frame, in whole numbers of hours."""
+    flags = []
+    for t, x in rows:
+        frame = [v for u, v in rows if t - hours <= u <= t and v is not None]
+        std = np.std(frame, ddof=1) if len(frame) > 1 else 0
+        flags.append(bool(x is not None and std > 0 and abs(x - np.mean(frame)) > threshold * std))
+    return flags
+
+
+@pytest.mark.parametrize("spike", [1e9, 1e12, None])
+@pytest.mark.parametrize("max_rows", [250_000, 64])
+def test_span_frames_forget_spikes(spark, spike, max_rows):
+    """An outlier long after a huge one is found as if the huge one had never been."""
+    rng = np.random.default_rng(4)
+    values = [float(v) for v in rng.normal(230, 2, 600)]
+    values[450], values[300] = 260.0, None
+    if spike:
+        values[10] = spike
+    rows = [(i // 2 if 100 <= i < 140 else i, v) for i, v in enumerate(values)]
+    rows.sort(key=lambda r: r[0])
+    data = [("a", t, v, i) for i, (t, v) in enumerate(rows)]
+    df = spark.createDataFrame(data, "id_line string, hour int, x double, n int").selectExpr(
+        "id_line", "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, hour) AS timestamp", "x", "n"
+    )
+    found = anomaly.detect_rolling(df, ["x"], 3.0, hours=24, max_series_rows=max_rows)
+    got = [r["x_anomaly"] for r in found.orderBy("n").collect()]
+    assert got == _span_by_hand(rows, 24, 3.0) and got[next(i for i, r in enumerate(rows) if r[1] == 260.0)]
+
+
+def test_summaries_merge_like_one_pass():
+    rng = np.random.default_rng(5)
+    x = rng.normal(1e6, 1, (40, 2))
+    part = np.repeat([0, 1, 2], [7, 30, 3])
+    n, m, q = anomaly.merge_forward(np.ones_like(x), x, np.zeros_like(x), part)
+    for i in range(40):
+        held = x[: i + 1][part[: i + 1] == part[i]]
+        assert np.allclose([n[i], m[i], q[i]], [[len(held)] * 2, held.mean(0), held.var(0) * len(held)])

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.timing import micros
@@ -13,12 +15,13 @@ from ..session import keep
 from .nearest import nearest
 from .ordered import (
     MAX_SERIES_ROWS,
+    SEQ,
     Split,
     carry,
     choose_split,
+    number_rows,
     over_rows,
     positioned,
-    running_sum,
 )
 from .quantiles import exact_quantiles
 
@@ -112,60 +115,63 @@ def _over_span(
     order_by: Sequence[str],
     max_series_rows: int | Split,
 ) -> DataFrame:
-    """Frames of a time span, from running sums.
+    """Frames of a time span, merged from summaries of their two halves.
 
-    A frame's sums are the running sums at its end minus those just before its start, so the
-    work does not grow with the number of rows a span holds. Values are centred by the global
-    mean and variance, which keeps the running sums near zero and the differences precise.
+    Time is cut into blocks as long as the span, so a frame is the end of one block and the start of
+    the next. Both are summaries of count, mean and squared deviations, built up inside the
+    block by merging; nothing is ever subtracted, so an extreme value cannot harm frames
+    that do not hold it, and the work does not grow with the number of rows a span holds.
     """
     span = int(hours * 3_600_000_000)
     split = choose_split(df, series_by, max_series_rows)
-    fit = df.agg(
-        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
-        *[F.var_samp(c).alias(f"v{i}") for i, c in enumerate(columns)],
-    ).first()
-    mean = [F.lit(fit[f"m{i}"] or 0.0) for i in range(len(columns))]
-    variance = [F.lit(fit[f"v{i}"] or 0.0) for i in range(len(columns))]
-    sums = {}
-    for i, c in enumerate(columns):
-        d = F.col(c).cast("double") - mean[i]
-        sums[f"n{i}"] = F.count(c)
-        sums[f"s{i}"] = F.coalesce(F.sum(d), F.lit(0.0))
-        sums[f"q{i}"] = F.coalesce(F.sum(d * d - variance[i]), F.lit(0.0))
+    series = list(series_by)
     timed = df.withColumn("__us", micros(df, order_by[0]))
-    moments = timed.groupBy(*series_by, "__us").agg(
-        *[s.alias(f"__{n}") for n, s in sums.items()]
+    at_time = timed.groupBy(*series, "__us").agg(
+        *[F.count(c).cast("double").alias(f"n{i}") for i, c in enumerate(columns)],
+        *[F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0)).alias(f"m{i}") for i, c in enumerate(columns)],
+        *[
+            F.coalesce(F.var_pop(F.col(c).cast("double")) * F.count(c), F.lit(0.0)).alias(f"q{i}")
+            for i, c in enumerate(columns)
+        ],
+    )
+    at_time = at_time.where("__us IS NOT NULL")
+    block = F.floor(F.col("__us") / F.lit(span)).alias("__block")
+    if split.long:
+        at_time = number_rows(at_time, series, ["__us"])
+        chunk = F.floor(F.col(SEQ) / split.rows)
+    else:
+        chunk = F.lit(0).cast("bigint")
+    at_time = keep(at_time.select("*", block, chunk.alias("__piece")).drop(SEQ))
+    halves = keep(block_summaries(at_time, series, len(columns), split.rows))
+    if split.long:
+        halves = keep(_across_pieces(halves, series, len(columns)))
+    ends = halves.select(
+        *series, "__us", F.lit(1).alias("__kind"), F.struct("__block", "__upper").alias("__later")
     )
-    running = running_sum(moments, {n: f"__{n}" for n in sums}, series_by, ("__us",), split)
-    upto = F.struct(*sums)
-    ends = running.select(*series_by, "__us", F.lit(0).alias("__kind"), upto.alias("__sums"))
-    starts = running.select(
-        *series_by,
-        (F.col("__us") - span - 1).alias("__us"),
-        F.lit(1).alias("__kind"),
+    starts = halves.select(
+        *series,
+        (F.col("__us") - span).alias("__us"),
+        F.lit(0).alias("__kind"),
         F.col("__us").alias("__end_us"),
-        upto.alias("__end"),
+        (F.col("__block") - 1).alias("__wanted"),
+        "__lower",
     )
-    both = ends.unionByName(starts, allowMissingColumns=True)
+    both = starts.unionByName(ends, allowMissingColumns=True)
     order = ("__us", "__kind")
     rows = carry(
         positioned(both, series_by, order, split),
-        {"__start": F.col("__sums")}, {}, series_by, order, split,
-    )
+        {}, {"__first": F.col("__later")}, series_by, order, split,
+    ).filter("__kind = 0")
+    inside = F.when(F.col("__first.__block") == F.col("__wanted"), F.col("__first.__upper"))
+    rows = rows.withColumn("__before", inside)
     flags = []
-    for i, c in enumerate(columns):
-        n, s, q = (
-            F.col(f"__end.{x}{i}") - F.coalesce(F.col(f"__start.{x}{i}"), F.lit(0)) for x in "nsq"
-        )
-        spread = q + n * variance[i] - F.try_divide(s * s, n)
-        std = F.sqrt(F.greatest(F.try_divide(spread, n - 1), F.lit(0.0)))
-        flags += [(mean[i] + F.try_divide(s, n)).alias(f"__m{i}"), std.alias(f"__d{i}")]
-    frames = rows.filter("__kind = 1").select(
-        *[F.col(c).alias(f"__s_{c}") for c in series_by], "__end_us", *flags
-    )
+    for i in range(len(columns)):
+        n, m, q = _merged(F.col("__before"), F.col("__lower"), i)
+        flags += [m.alias(f"__m{i}"), F.sqrt(F.try_divide(q, F.when(n > 1, n - 1))).alias(f"__d{i}")]
+    frames = rows.select(*[F.col(c).alias(f"__s_{c}") for c in series], "__end_us", *flags)
     same = reduce(
         lambda a, b: a & b,
-        [timed[c].eqNullSafe(frames[f"__s_{c}"]) for c in series_by],
+        [timed[c].eqNullSafe(frames[f"__s_{c}"]) for c in series],
         timed["__us"] == frames["__end_us"],
     )
     return timed.join(frames, same, "left").select(
@@ -177,6 +183,92 @@ def _over_span(
     )
 
 
+def _merged(a: Column, b: Column, i: int) -> tuple[Column, Column, Column]:
+    """Count, mean and squared deviations of two summaries; NULL is the empty one."""
+    (n1, m1, q1), (n2, m2, q2) = (
+        tuple(F.coalesce(F.get(x[name], F.lit(i)), F.lit(0.0)) for name in "nmq") for x in (a, b)
+    )
+    n, apart = n1 + n2, m2 - m1
+    share = F.coalesce(F.try_divide(n2, n), F.lit(0.0))
+    return n, m1 + apart * share, q1 + q2 + apart * apart * n1 * share
+
+
+def merge_forward(n: np.ndarray, m: np.ndarray, q: np.ndarray, part: np.ndarray) -> list[np.ndarray]:
+    """For each row the merged summary of the rows of its part up to it, by doubling.
+
+    Rows hold counts, means and squared deviations of several columns; parts are runs.
+    """
+    n, m, q = n.copy(), m.copy(), q.copy()
+    step = 1
+    while step < len(part):
+        to = np.flatnonzero(part[step:] == part[:-step]) + step
+        if not len(to):
+            break
+        n1, m1, q1, n2, m2, q2 = (x[i] for i in (to - step, to) for x in (n, m, q))
+        total, apart = n1 + n2, m2 - m1
+        share = np.divide(n2, total, out=np.zeros_like(n2), where=total > 0)
+        n[to], m[to], q[to] = total, m1 + apart * share, q1 + q2 + apart * apart * n1 * share
+        step *= 2
+    return [n, m, q]
+
+
+_SUMMARY = "struct<n: array<double>, m: array<double>, q: array<double>>"
+
+
+def block_summaries(at_time: DataFrame, series: Sequence[str], width: int, rows: int) -> DataFrame:
+    """Add ``__lower`` and ``__upper``: the summaries of the rows of the same block and piece up to this
+    row, and from it on.
+
+    Pieces are dealt into groups of about ``rows`` rows, each of which is one call on arrays.
+    """
+    size = at_time.agg(F.count(F.lit(1))).first()[0]
+    groups = max(1, -(-size // rows))
+    group = F.pmod(F.xxhash64(*series, "__piece"), F.lit(groups)).alias("__group")
+    names = [[f"{x}{i}" for i in range(width)] for x in "nmq"]
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        keys = [*series, "__piece", "__block"]
+        df = df.assign(__part=df.groupby(keys, dropna=False, sort=False).ngroup())
+        df = df.sort_values(["__part", "__us"], ignore_index=True)
+        part, parts = df["__part"].to_numpy(), [df[x].to_numpy() for x in names]
+        lower = merge_forward(*parts, part)
+        upper = [x[::-1] for x in merge_forward(*(x[::-1] for x in parts), part[::-1])]
+        out = df[[*series, "__us", "__piece", "__block"]].copy()
+        for name, found in (("__lower", lower), ("__upper", upper)):
+            out[name] = [dict(zip("nmq", row)) for row in zip(*(x.tolist() for x in found))]
+        return out
+
+    kinds = [f"`{c}` {at_time.schema[c].dataType.simpleString()}" for c in (*series, "__us", "__piece", "__block")]
+    shape = ", ".join([*kinds, f"__lower {_SUMMARY}", f"__upper {_SUMMARY}"])
+    return at_time.withColumn("__group", group).groupBy("__group").applyInPandas(run, shape)
+
+
+def _across_pieces(halves: DataFrame, series: Sequence[str], width: int) -> DataFrame:
+    """Extend summaries over the pieces that a block was cut into; a table of one row a piece carries them."""
+    key = [*series, "__block", "__piece"]
+    whole = halves.groupBy(*key).agg(F.max_by("__lower", "__us").alias("__all"))
+    w = Window.partitionBy(*series, "__block").orderBy("__piece")
+
+    def fold(frame: WindowSpec) -> Column:
+        return F.aggregate(F.collect_list("__all").over(frame), F.lit(None).cast(_SUMMARY), _both)
+
+    def _both(a: Column, b: Column) -> Column:
+        merged = [_merged(a, b, i) for i in range(width)]
+        return F.struct(*[F.array(*[x[j] for x in merged]).alias(name) for j, name in enumerate("nmq")])
+
+    carried = whole.select(
+        *[F.col(c).alias(f"__k_{c}") for c in key],
+        fold(w.rowsBetween(Window.unboundedPreceding, -1)).alias("__earlier"),
+        fold(w.rowsBetween(1, Window.unboundedFollowing)).alias("__rest"),
+    )
+    same = reduce(lambda a, b: a & b, [halves[c].eqNullSafe(carried[f"__k_{c}"]) for c in key])
+    return halves.join(carried, same).select(
+        *series, "__us", "__block",
+        _both(F.col("__earlier"), F.col("__lower")).alias("__lower"),
+        _both(F.col("__upper"), F.col("__rest")).alias("__upper"),
+    )
+
+
 def anomaly_details(flagged: DataFrame, columns: Sequence[str], threshold: float = 3.0) -> DataFrame:
     """One row per column: flagged count, rate, smallest and largest flagged value."""
     aggregates = []
