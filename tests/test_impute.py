@@ -241,7 +241,7 @@ def test_copies_are_cut_before_the_shuffle(spark):
     from tsprep.operators.nearest import _points
 
     item = F.struct(F.col("id").alias("key"), F.lit(1).alias("payload")).alias("item")
-    rows = spark.range(1000).select((F.col("id") % 3).cast("double").alias("__x0"), item)
+    rows = spark.range(1000).select(F.lit(0).alias("__g"), (F.col("id") % 3).cast("double").alias("__x0"), item)
     points = _points(rows, ["__x0"], 4)
     plan = points._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -278,51 +279,63 @@ def _knn_column(
 ) -> DataFrame | None:
     """(key, target) with every NULL of ``target`` filled; None when there is none.
 
-    ``gaps_have`` and ``donors_have`` list which coordinates are present together. Each pair
-    of such patterns is a plain search in the coordinates both have.
+    ``gaps_have`` and ``donors_have`` list which coordinates are present together. A gap meets the donors
+    of each pattern in the coordinates both have. All pairs of patterns are groups of one search, in which
+    the other coordinates are 0 on both sides.
     """
     if not gaps_have:
         return None
-    found = None
-    for has in sorted(gaps_have):
-        shared: dict[tuple, list] = {}
-        for d in sorted(donors_have):
-            common = tuple(a and b for a, b in zip(has, d))
-            if any(common):
-                shared.setdefault(common, []).append(d)
-        for common, donor_patterns in shared.items():
-            use = [c for c, present in zip(coords, common) if present]
-            gaps = df.filter(F.col(target).isNull() & _has(coords, [has]))
-            donors = df.filter(F.col(target).isNotNull() & _has(coords, donor_patterns))
-            scale = ((len(coords) + 1) / len(use)) ** 0.5
-            hits = nearest(gaps.select(key, *use), donors, use, k, key, F.col(target))
-            hits = hits.select(key, _rescaled("neighbours", scale).alias("near"))
-            found = hits if found is None else found.unionByName(hits)
-    if found is None:
+    groups: dict[tuple[int, int], int] = {}
+    of_gap: dict[int, list[int]] = {}
+    of_donor: dict[int, list[int]] = {}
+    for has in map(_mask, sorted(gaps_have)):
+        for d in map(_mask, sorted(donors_have)):
+            if has & d:
+                number = groups.setdefault((has, has & d), len(groups))
+                of_donor.setdefault(d, []).append(number)
+                if number not in of_gap.setdefault(has, []):
+                    of_gap[has].append(number)
+    if not groups:
         return df.select(key, F.coalesce(target, F.lit(mean)).alias(target))
+    common = [c for _, c in groups]
+    present = reduce(
+        Column.__add__, [F.col(c).isNotNull().cast("int") * (1 << i) for i, c in enumerate(coords)]
+    )
+    spread = df.withColumn("__gap", F.col(target).isNull()).withColumn("__mask", present)
+
+    def rows(side: Column, numbers: dict[int, list[int]], *more: str) -> DataFrame:
+        of = F.create_map(*[F.lit(x) for m, ns in numbers.items() for x in (m, ns)])
+        some = spread.filter(side).withColumn("__group", F.explode(F.try_element_at(of, F.col("__mask"))))
+        used = F.get(F.array(*[F.lit(c) for c in common]), F.col("__group"))
+        at = [
+            F.when(used.bitwiseAND(F.lit(1 << i)) != 0, F.col(c).cast("double")).otherwise(0.0).alias(f"__c{i}")
+            for i, c in enumerate(coords)
+        ]
+        return some.select(key, "__group", *at, *more)
+
+    axes = [f"__c{i}" for i in range(len(coords))]
+    gaps, donors = rows(F.col("__gap"), of_gap), rows(~F.col("__gap"), of_donor, target)
+    hits = nearest(gaps, donors, axes, k, key, F.col(target), "__group")
+    scales = [((len(coords) + 1) / c.bit_count()) ** 0.5 for c in common]
+    scale = F.get(F.array(*[F.lit(x) for x in scales]), F.col("__group"))
+    hits = hits.select(key, _rescaled("neighbours", scale).alias("near")).filter("near IS NOT NULL")
     # one row per gap and donor pattern: at most 2 ** len(coords) lists of k
     near = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)
-    found = found.groupBy(key).agg(near.alias("near"))
+    found = hits.groupBy(key).agg(near.alias("near"))
     found = found.select(F.col(key).alias("__key"), _weighted("near", weights).alias("__value"))
     return df.join(found, df[key] == found["__key"], "left").select(
         key, F.coalesce(target, "__value", F.lit(mean)).alias(target)
     )
 
 
-def _rescaled(neighbours: str, scale: float) -> Column:
-    return F.transform(
-        neighbours,
-        lambda n: F.struct(
-            (n["distance"] * F.lit(scale)).alias("d"),
-            n["key"].alias("key"),
-            n["payload"].alias("v"),
-        ),
-    )
+def _mask(pattern: Sequence[bool]) -> int:
+    return sum(1 << i for i, present in enumerate(pattern) if present)
 
 
-def _has(coords: Sequence[str], patterns: Sequence[Sequence[bool]]) -> Column:
-    return F.array(*[F.col(c).isNotNull() for c in coords]).isin(
-        *[F.array(*[F.lit(x) for x in p]) for p in patterns]
+def _rescaled(neighbours: str, scale: Column) -> Column:
+    return F.transform(
+        neighbours,
+        lambda n: F.struct((n["distance"] * scale).alias("d"), n["key"].alias("key"), n["payload"].alias("v")),
     )
 
 
