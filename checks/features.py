@@ -56,6 +56,20 @@ def onehot_capped(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("p_partkey", "p_type", names.alias("flags_set"))
 
 
+def onehot_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """A vector of as many places as there are customers with an order, from a column of ids."""
+    orders = table(spark, sf, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderkey") % 7 > 0, F.col("o_custkey")).alias("customer")
+    )
+    df = encode.encode_onehot_sparse(orders, "customer", max_series_rows=100)
+    parts = F.from_json(
+        F.to_json(F.struct("customer_onehot")),
+        "customer_onehot struct<size: bigint, indices: array<bigint>, values: array<double>>",
+    )["customer_onehot"]
+    return df.select("o_orderkey", "customer", parts["size"].alias("size"), parts["indices"][0].alias("place"),
+                     F.size(parts["indices"]).cast("bigint").alias("set"), parts["values"][0].alias("value"))
+
+
 def label_encode(spark: SparkSession, sf: str) -> DataFrame:
     df = encode.encode_label(readings(spark, sf), "status", ORDER)
     return df.select("event_id", "status", "status_encoded")
@@ -132,6 +146,7 @@ QUERIES = {
     "scaler_parameters": scaler_parameters,
     "onehot": onehot,
     "onehot_capped": onehot_capped,
+    "onehot_wide": onehot_wide,
     "label_encode": label_encode,
     "label_encode_many": label_encode_many,
     "time_features": time_features,
@@ -215,6 +230,13 @@ ORACLE = {
         CASE WHEN p_type IN (SELECT p_type FROM top) THEN p_type ELSE 'Other' END AS p_type
         FROM part)
       SELECT p_partkey, p_type, 'p_type_' || p_type AS flags_set FROM capped""",
+    "onehot_wide": """WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 > 0 THEN o_custkey END AS customer
+        FROM orders),
+      codes AS (SELECT customer, row_number() OVER (ORDER BY customer) - 1 AS place
+        FROM (SELECT DISTINCT customer FROM o WHERE customer IS NOT NULL)),
+      n AS (SELECT count(*) AS n FROM codes)
+      SELECT o_orderkey, customer, n + 1 AS size, coalesce(place, n) AS place,
+        CAST(1 AS BIGINT) AS set, CAST(1 AS DOUBLE) AS value FROM n, o LEFT JOIN codes USING (customer)""",
     "label_encode": f"""WITH {READINGS},
       seen AS (SELECT status, min((ts, event_id)) AS first FROM readings GROUP BY status),
       codes AS (SELECT status, row_number() OVER (ORDER BY first) - 1 AS code FROM seen)

@@ -89,7 +89,7 @@ def removed_count(spark: SparkSession, sf: str) -> DataFrame:
 
 def lof(spark: SparkSession, sf: str) -> DataFrame:
     df = anomaly.local_outlier_factor(readings(spark, sf), ["voltage", "current"], "event_id", 20)
-    return df.select("event_id", F.round("lof", 4).alias("lof"))
+    return df.select("event_id", F.round("lof", 4).alias("lof"), "is_anomaly")
 
 
 def isolation_forest(spark: SparkSession, sf: str) -> DataFrame:
@@ -174,6 +174,8 @@ ORACLE = {
               FROM flat f JOIN kd ON kd.event_id = f.o GROUP BY f.event_id),
       factor AS (SELECT f.event_id, avg(o.lrd) / any_value(m.lrd) AS lof
                  FROM flat f JOIN lrd o ON o.event_id = f.o JOIN lrd m ON m.event_id = f.event_id
-                 GROUP BY f.event_id)
-      SELECT event_id, round(lof, 4) AS lof FROM readings LEFT JOIN factor USING (event_id)""",
+                 GROUP BY f.event_id),
+      cut AS (SELECT quantile_cont(lof, 0.9) AS q FROM readings LEFT JOIN factor USING (event_id))
+      SELECT event_id, round(lof, 4) AS lof, coalesce(lof > q, false) AS is_anomaly
+      FROM cut, readings LEFT JOIN factor USING (event_id)""",
 }

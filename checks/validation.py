@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tsprep.operators import quality
 from tsprep.plans import quality_gate
+from tsprep.session import shared_folder
 from tsprep.sources.readings import readings
 
 from .common import READINGS, settled, settled_column
@@ -138,7 +139,19 @@ def gate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gate_verdict(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.verdict(quality.validate_ranges(telemetry(spark, sf), RULES))
+    """All rules at once, on rows that keep them and on rows that break most."""
+    found = [quality.validate_with_expectations(t(spark, sf), RULES) for t in (telemetry, defective)]
+    verdicts = [quality.verdict(f).withColumn("rows", F.lit(n)) for n, f in zip(("clean", "defective"), found)]
+    return verdicts[0].unionByName(verdicts[1])
+
+
+def gate_five_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """The gate on timestamp, voltage, current, power and id_line alone, with no key."""
+    # written in order of arrival, as rows without a key have no other
+    path = shared_folder(spark)
+    rows = telemetry(spark, sf).coalesce(1).sortWithinPartitions("event_id").select(*_FIVE)
+    rows.write.parquet(path)
+    return _out(quality_gate.quality_gate(spark.read.parquet(path), RULES), "run")
 
 
 QUERIES = {
@@ -158,6 +171,7 @@ QUERIES = {
     "validate_gaps": validate_gaps,
     "gap_violations": gap_violations,
     "quality_gate": gate,
+    "quality_gate_five_columns": gate_five_columns,
     "quality_verdict": gate_verdict,
 }
 
@@ -261,6 +275,11 @@ def _named(run: str, rows: list[str]) -> str:
     return f"SELECT *, '{run}' AS run FROM (" + " UNION ALL ".join(rows) + ")"
 
 
+def _rules(source: str) -> list[str]:
+    return [*_ranges(source), _not_null("timestamp", source), _power(source), _unique(source), _increasing(source)]
+
+
+_FIVE = ["timestamp", "voltage", "current", "power", "id_line"]
 _COLUMNS = ["event_id", "timestamp", "id_line", "voltage", "current", "power", "status"]
 
 ORACLE = {
@@ -304,8 +323,7 @@ ORACLE = {
             _named("schema", _schema("d", ["event_id", "status"])),
             _named(
                 "expectations",
-                [*_ranges("d"), _not_null("timestamp", "d"), _power("d"), _unique("d"),
-                 _increasing("d")],
+                _rules("d"),
             ),
             _named(
                 "missing_values",
@@ -314,8 +332,24 @@ ORACLE = {
             _named("time_continuity", [_gap("d", _BY_LINE, 3_600_000_000)]),
         ],
     ),
+    "quality_gate_five_columns": _all(
+        _T,
+        [
+            _named("schema", _schema("t", [])),
+            _named("expectations", _rules("t")),
+            _named(
+                "missing_values",
+                [_missing(f'"{c}"', "t", 0.1).replace(f"'\"{c}\"'", f"'{c}'") for c in _FIVE],
+            ),
+            _named("time_continuity", [_gap("t", _BY_LINE, 3_600_000_000)]),
+        ],
+    ),
     "quality_verdict": _all(
-        _T, [f"""SELECT bool_and(is_valid) AS is_valid, count(*) AS checks,
-        count(*) FILTER (NOT is_valid) AS failed FROM ({" UNION ALL ".join(_ranges("t"))})"""]
+        _DEFECTS,
+        [
+            f"""SELECT '{name}' AS rows, bool_and(is_valid) AS is_valid, count(*) AS checks,
+            count(*) FILTER (NOT is_valid) AS failed FROM ({" UNION ALL ".join(_rules(source))})"""
+            for name, source in (("clean", "t"), ("defective", "d"))
+        ],
     ),
 }

@@ -165,3 +165,30 @@ def test_text_nan_is_missing(spark):
     out = encode.encode_onehot(df, "c")
     assert out.columns == ["c", "c_a", "c_nan"]
     assert sorted(r.c_nan for r in out.collect()) == [False, True, True]
+
+
+def test_sparse_onehot(spark):
+    from tsprep.operators.encode import encode_onehot_sparse
+
+    rows = [(1, "b"), (2, None), (3, "a"), (4, "nan"), (5, "b"), (6, "c")]
+    df = spark.createDataFrame(rows, "id int, s string")
+    got = {r["id"]: r["s_onehot"] for r in encode_onehot_sparse(df, "s", 2).collect()}
+    assert {i: (v.size, list(v.indices)) for i, v in got.items()} == {
+        1: (4, [1]), 2: (4, [3]), 3: (4, [0]), 4: (4, [3]), 5: (4, [1]), 6: (4, [2]),
+    }
+    none = encode_onehot_sparse(df.limit(0), "s")
+    assert none.collect() == [] and none.columns == ["id", "s", "s_onehot"]
+    only_missing = encode_onehot_sparse(df.where("s IS NULL"), "s").collect()
+    assert [(r["s_onehot"].size, list(r["s_onehot"].indices)) for r in only_missing] == [(1, [0])]
+
+
+def test_copies_by_fingerprint(spark):
+    from tsprep.operators.profile import profile_table
+
+    nan = float("nan")
+    rows = [(0.0, "x"), (-0.0, "x"), (nan, None), (nan, None), (None, None), (1.0, "")] + [(2.0, "y")] * 5
+    df = spark.createDataFrame(rows, "d double, s string")
+    assert tuple(profile_table(df).first()) == (11, 2, 4, 6)
+    assert tuple(profile_table(df.limit(0)).first()) == (0, 2, 0, 0)
+    plan = profile_table(df)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan

@@ -308,18 +308,24 @@ def flag_top_share(scored: DataFrame, score: str, contamination: float) -> DataF
 def local_outlier_factor(
     df: DataFrame,
     columns: Sequence[str],
-    key: str = "event_id",
+    key: str | None = None,
     k: int = 20,
     contamination: float = 0.1,
 ) -> DataFrame:
     """Append ``lof`` and ``is_anomaly``. Rows with a NULL coordinate get NULL and no flag.
 
+    Of equally distant neighbours those with the smaller ``key`` count; without one it is ``event_id``
+    where there is one, else the smaller place.
+
     Rows at the same place have the same factor, so all steps run on distinct places; a
     place with many copies counts as that many neighbours without ever pairing them.
     """
     complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
     at = F.struct(*[F.col(c).cast("double").alias(c) for c in columns])
-    found = nearest(None, df.filter(complete), columns, k + 1, key, at)
+    if key is None:
+        key = "event_id" if "event_id" in df.columns else "__place"
+    donors = df.filter(complete).withColumn("__place", at)
+    found = nearest(None, donors, columns, k + 1, key, F.col("__place"))
     # the nearest entry is the row itself, or a copy of it, which counts the same
     others = F.slice("neighbours", 2, k)
     graph = keep(

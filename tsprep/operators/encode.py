@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import keep
 from .ordered import MAX_SERIES_ROWS, Split, choose_split, positioned
 from .ordered import SEQ
 
@@ -35,7 +37,8 @@ def encode_onehot(
     """Append one BOOLEAN ``<column>_<value>`` per value and ``<column>_nan``.
 
     The text ``nan`` counts as missing. Every value becomes a column: set ``max_categories`` for
-    columns of many values, or ``max_columns`` to get an error instead of more columns than that.
+    columns of many values, or ``max_columns`` to get an error instead of more columns than that. For
+    columns without a bound use :func:`encode_onehot_sparse`.
     """
     columns = [columns] if isinstance(columns, str) else columns
     for c in columns:
@@ -55,6 +58,44 @@ def encode_onehot(
     return df
 
 
+def categories(
+    df: DataFrame, column: str, max_series_rows: int | Split = MAX_SERIES_ROWS
+) -> DataFrame:
+    """``value, code`` of every value, numbered in their order from 0; NULL and ``nan`` come last."""
+    value = F.when(F.col(column).cast("string") != "nan", F.col(column))
+    values = df.select(value.alias("value")).distinct()
+    known = values.where("value IS NOT NULL")
+    known = positioned(known, (), ["value"], choose_split(known, (), max_series_rows))
+    known = keep(known.select("value", F.col(SEQ).alias("code")))
+    missing = df.sparkSession.range(1).select(
+        F.lit(None).cast(df.schema[column].dataType).alias("value"), F.lit(known.count()).cast("bigint").alias("code")
+    )
+    return known.unionByName(missing)
+
+
+def encode_onehot_sparse(
+    df: DataFrame, columns: str | Sequence[str], max_series_rows: int | Split = MAX_SERIES_ROWS
+) -> DataFrame:
+    """Append a sparse vector ``<column>_onehot`` of as many places as the column has values, and one more
+    for missing ones.
+
+    Codes come from :func:`categories` and are joined, so values never meet on the driver, however many
+    there are; a row costs one number, not one column per value.
+    """
+    columns = [columns] if isinstance(columns, str) else columns
+    for c in columns:
+        codes = keep(categories(df, c, max_series_rows))
+        size = codes.count()
+        known = codes.where("value IS NOT NULL")
+        code = F.coalesce("code", F.lit(size - 1)).cast("double").alias("__code")
+        coded = df.join(known, df[c] == known["value"], "left").select(*[df[n] for n in df.columns], code)
+        # fitting only looks for the largest code: one row holds it, as the size is known
+        largest = df.sparkSession.range(1).select(F.lit(float(size - 1)).alias("__code"))
+        encoder = OneHotEncoder(inputCol="__code", outputCol=f"{c}_onehot", dropLast=False).fit(largest)
+        df = encoder.transform(coded).drop("__code")
+    return df
+
+
 def encode_label(
     df: DataFrame,
     columns: str | Sequence[str],

@@ -184,7 +184,7 @@ def not_null_violations(df: DataFrame, column: str = "timestamp") -> DataFrame:
 def increasing_violations(
     df: DataFrame,
     column: str,
-    arrival: Sequence[str],
+    arrival: Sequence[str] | None = None,
     series_by: Sequence[str] = (),
     max_series_rows: int | Split = MAX_SERIES_ROWS,
 ) -> DataFrame:
@@ -196,10 +196,13 @@ def increasing_violations(
 def _steps(
     df: DataFrame,
     column: str,
-    arrival: Sequence[str],
+    arrival: Sequence[str] | None,
     series_by: Sequence[str],
     max_series_rows: int | Split,
 ) -> DataFrame:
+    if arrival is None and "event_id" not in df.columns:
+        df, arrival = df.withColumn("__place", F.monotonically_increasing_id()), ("__place",)
+    arrival = list(arrival or ("event_id",))
     slim = df.select(*dict.fromkeys([*series_by, *arrival, column]))
     return over_rows(
         slim.filter(F.col(column).isNotNull()),
@@ -214,11 +217,15 @@ def _steps(
 def validate_increasing(
     df: DataFrame,
     column: str = "timestamp",
-    arrival: Sequence[str] = ("event_id",),
+    arrival: Sequence[str] | None = None,
     series_by: Sequence[str] = (),
     max_series_rows: int | Split = MAX_SERIES_ROWS,
 ) -> DataFrame:
-    """Each value is at least the one that arrived before it."""
+    """Each value is at least the one that arrived before it.
+
+    ``arrival`` names the columns that tell the order of arrival. Without it that is ``event_id`` where
+    there is one, else the order in which Spark reads the rows, that is of files and of rows in them.
+    """
     stepped = _steps(df, column, arrival, series_by, max_series_rows)
     bad = F.count_if(F.col(column) < F.col("previous"))
     result = _result("increasing", column, F.count(F.lit(1)), bad, bad == 0, _none())
@@ -309,7 +316,7 @@ def validate_with_expectations(
     df: DataFrame,
     config: Mapping[str, Any],
     timestamp: str = "timestamp",
-    arrival: Sequence[str] = ("event_id",),
+    arrival: Sequence[str] | None = None,
     series: str = "id_line",
     max_series_rows: int | Split = MAX_SERIES_ROWS,
 ) -> DataFrame:

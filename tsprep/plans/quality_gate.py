@@ -17,7 +17,7 @@ def quality_gate(
     schema: Mapping[str, tuple] = quality.TELEMETRY_SCHEMA,
     timestamp: str = "timestamp",
     series: str = "id_line",
-    arrival: Sequence[str] = ("event_id",),
+    arrival: Sequence[str] | None = None,
     tie: Sequence[str] = (),
     missing_threshold: float = 0.1,
     max_gap_seconds: float = 3600.0,
@@ -25,6 +25,9 @@ def quality_gate(
 ) -> DataFrame:
     """Schema, rule set, missing shares and time continuity: one row per check and run.
 
+    No key is needed: without ``arrival`` rows arrive as :func:`~tsprep.operators.quality.validate_increasing`
+    says.
+
     The row-wise checks are aggregates over a pruned scan, so ``df`` is not cached: re-reading
     a few columns is cheaper than holding the table.
     """
