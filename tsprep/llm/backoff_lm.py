@@ -14,15 +14,13 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tsprep.llm.common import Memo, id_and_text, whole_text
 from tsprep.llm.minhash import words
 from tsprep.session import keep
 
-#: The vocabulary that the SQL of the registered query names.
-VOCABULARY = 65_536
 #: Words that get small numbers and whose counts every task gets; rarer ones are met by shuffle.
 NUMBERED = 65_536
 #: N-grams of this many most frequent words (fewer above order 2) are counted in one bounded table
@@ -40,6 +38,25 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return found.groupBy("word").agg(F.count("*").alias("n"))
 
 
+def frequent_words(counts: DataFrame, most: int) -> list[Row]:
+    """Words and counts of the highest classes of frequency that hold at most ``most`` words, falling.
+
+    Classes are fine steps of the logarithm, so the driver gets one number a class, then only the words
+    that are taken.
+    """
+    stepped = counts.withColumn("step", F.floor(F.log2("n") * 16).cast("int"))
+    sizes = {r["step"]: r["n"] for r in stepped.groupBy("step").agg(F.count("*").alias("n")).collect()}
+    taken, least = 0, None
+    for step in sorted(sizes, reverse=True):
+        if taken + sizes[step] > most:
+            break
+        taken, least = taken + sizes[step], step
+    if least is None:
+        return []
+    found = stepped.where(F.col("step") >= least).select("word", "n").collect()
+    return sorted(found, key=lambda r: (-r["n"], r["word"]))
+
+
 def _hashed(word: bytes) -> int:
     """A negative number of 63 bits; two words share one with probability 2**-63."""
     return -1 - (int.from_bytes(blake2b(word, digest_size=8).digest(), "little") >> 1)
@@ -178,7 +195,10 @@ def backoff_scores(
     counts = keep(word_counts(docs, text_col))
     total = counts.agg(F.sum("n")).first()[0] or 0
     whole = vocabulary is None
-    top = counts.orderBy(F.desc("n"), "word").limit(numbered if whole else vocabulary).collect()
+    if whole:
+        top = frequent_words(counts, numbered)
+    else:
+        top = counts.orderBy(F.desc("n"), "word").limit(vocabulary).collect()
     model = Words([r["word"] for r in top], whole)
     known = [r["n"] for r in top]
     one = docs.sparkSession.createDataFrame(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsprep.llm.backoff_lm import ALPHA, MIN_COUNT, VOCABULARY, backoff_scores
+from tsprep.llm.backoff_lm import ALPHA, MIN_COUNT, backoff_scores
 from tsprep.llm.bpe_lexicon import encode_decode
 from tsprep.llm.common import table
 from tsprep.llm.cross_polytope import nearest
@@ -59,7 +59,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = backoff_scores(table(spark, sf_dir, "documents"), vocabulary=VOCABULARY)
+    scores = backoff_scores(table(spark, sf_dir, "documents"))
     rounded = {c: F.round(c, 6) for c in ("log_score", "mean_log_score")}
     return scores.withColumns(rounded)
 
@@ -106,9 +106,7 @@ WITH w AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(
                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                          'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+') IF x <> ''] AS ws
            FROM documents),
-p AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM w),
-v AS (SELECT word, count(*) AS n FROM p GROUP BY word ORDER BY n DESC, word LIMIT {VOCABULARY}),
-k AS (SELECT doc_id, i, coalesce(v.word, '') AS word FROM p LEFT JOIN v USING (word)),
+k AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM w),
 one AS (SELECT word, count(*) AS n FROM k GROUP BY word),
 g AS (SELECT doc_id, i, word, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM k),
 two AS (SELECT before, word, count(*) AS n FROM g WHERE before IS NOT NULL GROUP BY before, word),
@@ -118,9 +116,8 @@ s AS (SELECT g.doc_id, g.word,
                   ELSE ln({ALPHA} * a.n / (SELECT count(*) FROM k)) END AS x
       FROM g JOIN one a ON g.word = a.word LEFT JOIN one b ON g.before = b.word
       LEFT JOIN two ON g.before = two.before AND g.word = two.word),
-t AS (SELECT doc_id, count(*) AS n, count(*) FILTER (word = '') AS u, sum(x) AS score
-      FROM s GROUP BY doc_id)
-SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(u, 0) AS n_unknown,
+t AS (SELECT doc_id, count(*) AS n, sum(x) AS score FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_words, CAST(0 AS BIGINT) AS n_unknown,
        round(coalesce(score, 0), 6) AS log_score, round(score / n, 6) AS mean_log_score
 FROM documents LEFT JOIN t USING (doc_id)""",
     "op5_exact_dedup": """
