@@ -1,5 +1,6 @@
 """The operators on small tables: odd rows, brute force, the tokenizers' own results, and SQL."""
 
+import random
 import hashlib
 import zlib
 from collections import defaultdict
@@ -414,6 +415,47 @@ def test_licenses_interrupted_anywhere(spark):
     assert scan_licenses(df.where("doc_id < 0"), {}).count() == 0
 
 
+def test_licenses_bands_meet_damaged_notices(spark):
+    """Full texts from a table, with words put in, changed and left out: no notice is missed."""
+    rng = random.Random(3)
+    vocabulary = [f"t{i}" for i in range(400)]
+    bodies = {f"long{i}": rng.choices(vocabulary, k=n) for i, n in enumerate([12, 13, 20, 60, 300, 2_000])}
+    templates = spark.createDataFrame([(k, " ".join(v)) for k, v in bodies.items()], "license string, body string")
+
+    def runs(ws):
+        return {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
+
+    rows, want = [], set()
+    for n in range(1_500):
+        name = rng.choice(sorted(bodies))
+        ws = [w for w in bodies[name]]
+        for _ in range(rng.randint(0, max(1, len(ws) // 16))):
+            at = rng.randrange(len(ws))
+            ws[at : at + rng.randint(0, 1)] = [f"x{rng.random()}"] * rng.randint(0, 2)
+        text = [f"y{n}"] * rng.randint(0, 9) + ws + [f"z{n}"] * rng.randint(0, 9)
+        rows.append((n, " ".join(text).replace(".", "d")))
+        held = runs(rows[-1][1].split())
+        for k, v in bodies.items():
+            shared, whole = len(runs(v) & held), len(runs(v))
+            if shared * 100 >= 75 * whole:
+                want.add((n, k, shared, whole))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = scan_licenses(df, templates).collect()
+    assert {(r["doc_id"], r["license"], r["shared"], r["shingles"]) for r in got} == want
+    assert len(want) > 700
+
+
+def test_licenses_shingles_that_stand_apart(spark):
+    """Six of eight shingles, each by itself, in any order: found more often than the docstring's bound."""
+    body = [f"t{i}" for i in range(12)]
+    rng, rows = random.Random(5), []
+    for n in range(2_000):
+        some = rng.sample(range(8), 6)
+        rows.append((n, " ".join(f"x{n} " + " ".join(body[i : i + 5]) + f" y{n}" for i in some)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert scan_licenses(df, {"a": " ".join(body)}).count() > 0.97 * len(rows)
+
+
 def test_backoff_by_hand(spark, none):
     rows = [(1, "a b a b"), (2, "A b c"), (3, None), (4, "c")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n", F.lit(1))

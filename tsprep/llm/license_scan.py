@@ -1,26 +1,34 @@
 """Licence notices in documents, on DataFrame functions alone.
 
-A text that holds one five-word shingle of a template holds the three word triples in it. So the
-triples of all templates, looked up among those of a text, find every template that can be there; then
-its shingles are looked for in the whole text.
+Templates and texts are cut into overlapping windows of four five-word shingles, one window at each
+word. A window's MinHash signature has ``BANDS`` entries, each a band of its own: of the window's
+shingles, the smallest under one permutation of their hashes. A text and a template that share a band
+are a candidate, and the template's shingles are then counted in the whole text.
+
+Two equal windows share all bands, so a notice that keeps four shingles (eight words) in a row is
+always met. Windows with one shingle in common share a band with a probability of at least 1/7, so six
+shingles that all stand apart are missed with a probability below (6/7) ** (6 * BANDS), which is 0.03.
+Templates of fewer than ``LONG`` shingles are looked for by windows of one shingle, where a band is
+the shingle itself and every common shingle is met.
 """
 
 from __future__ import annotations
 
-import json
-from collections import defaultdict
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsprep.llm.common import column, whole_text
+from tsprep.llm.common import id_and_text, whole_text
+from tsprep.session import keep
 
 SHINGLE = 5
-#: Words that are hashed together.
-RUN = 3
+#: Shingles in a window.
+WINDOW = 4
+BANDS = 4
+#: Templates of at least so many shingles are looked for by windows of several shingles.
+LONG = 8
 PERCENT = 75
-#: Templates travel to every task, so their number is bounded.
-MOST_TEMPLATES = 2_000
+#: Exclusive or with each permutes the order of hashes.
+MASKS = [0x1B873593A5C96F21, 0x5E2D58D8B3BCDEF7, -0x3A9D1E64C2F0B58B, -0x71C4E9A86D3B1F05]
 
 # The notices that are looked for.
 TEMPLATES = {
@@ -70,68 +78,83 @@ def shingles_of(words: Column) -> Column:
     return F.when(last >= 1, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
-def runs_of(words: Column) -> Column:
-    """A number for each run of ``RUN`` words."""
-    firsts = F.sequence(F.lit(0), F.size(words) - RUN)
-    runs = F.transform(firsts, lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(RUN))))
-    return F.when(F.size(words) >= RUN, runs).otherwise(F.array().cast("array<bigint>"))
+def hashes_of(words: Column) -> Column:
+    """A number for each run of five words, in the order of the text."""
+    firsts = F.sequence(F.lit(0), F.size(words) - SHINGLE)
+    runs = F.transform(firsts, lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(SHINGLE))))
+    return F.when(F.size(words) >= SHINGLE, runs).otherwise(F.array().cast("array<bigint>"))
+
+
+def band(hashes: Column, mask: int) -> Column:
+    """The smallest hash of each window under one permutation; a short text is one window."""
+    firsts = F.sequence(F.lit(0), F.greatest(F.size(hashes) - WINDOW, F.lit(0)))
+    window = lambda i: F.least(*(F.get(hashes, i + k).bitwiseXOR(F.lit(mask)) for k in range(WINDOW)))
+    return F.array_distinct(F.filter(F.transform(firsts, window), F.isnotnull))
+
+
+def keys_of(hashed: DataFrame, long: Column, short: Column) -> DataFrame:
+    """A row for each distinct ``band, key`` of a row with ``hashes``: of its long windows, its short ones."""
+    nothing = F.array().cast("array<bigint>")
+    bands = [F.when(long, band(F.col("hashes"), mask)).otherwise(nothing) for mask in MASKS[:BANDS]]
+    bands.append(F.when(short, F.array_distinct("hashes")).otherwise(nothing))
+    others = [c for c in hashed.columns if c != "hashes"]
+    # no filter on the hashes here: pushed to the scan, it would split the text anew at each word
+    each = hashed.select(*others, F.posexplode(F.array(*bands)).alias("band", "ks"))
+    return each.select(*others, "band", F.explode("ks").alias("key"))
 
 
-def template_shingles(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """``license, t_shingles, t_runs`` of every template of five words or more."""
-    if len(templates) > MOST_TEMPLATES:
-        raise ValueError(f"at most {MOST_TEMPLATES} templates")
-    rows = spark.createDataFrame(sorted(templates.items()), "license string, body string")
-    rows = rows.select("license", words_of(F.col("body")).alias("words"))
+def template_shingles(spark: SparkSession, templates: DataFrame | dict[str, str]) -> DataFrame:
+    """``license, hashes, t_shingles`` of every template of five words or more."""
+    if isinstance(templates, dict):
+        templates = spark.createDataFrame(sorted(templates.items()), "license string, body string")
+    rows = templates.select("license", words_of(whole_text("body")).alias("words"))
     return rows.where(F.size("words") >= SHINGLE).select(
-        "license", shingles_of(F.col("words")).alias("t_shingles"), runs_of(F.col("words")).alias("t_runs")
+        "license", hashes_of(F.col("words")).alias("hashes"), shingles_of(F.col("words")).alias("t_shingles")
     )
 
 
 def scan_licenses(
     docs: DataFrame,
-    templates: dict[str, str] | None = None,
+    templates: DataFrame | dict[str, str] | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
     percent: int = PERCENT,
 ) -> DataFrame:
     """One row per document and licence found: ``doc_id, license, shared, shingles, containment``.
 
+    ``templates`` is a table of ``license, body`` with texts of any number and length, or a dictionary.
     A notice is found where the text holds at least ``percent`` of the template's distinct
-    five-word shingles, wherever they are. Templates of fewer than five words are never found.
+    five-word shingles, wherever they are. Templates of fewer than five words are never found, a
+    licence with several bodies has a row for each that differs in size.
     NULL and short texts hold nothing. Rows that share an id count as one document.
+
+    Whether candidates and templates travel to the texts or are shuffled with them, Spark decides by
+    the sizes of the tables written here.
     """
     spark = docs.sparkSession
-    made = template_shingles(spark, TEMPLATES if templates is None else templates).collect()
-    numbered = [(i, r["license"], r["t_shingles"]) for i, r in enumerate(made)]
-    looked_for = spark.createDataFrame(numbered, "t int, license string, t_shingles array<string>")
-    holders = defaultdict(set)
-    for i, r in enumerate(made):
-        for run in r["t_runs"]:
-            holders[run].add(i)
-    entries = json.dumps([{"k": k, "v": sorted(v)} for k, v in holders.items()])
-    held_by = F.map_from_entries(F.from_json(F.lit(entries), "array<struct<k:bigint,v:array<int>>>"))
-
-    kept = docs.select(column(id_col).alias("doc_id"), words_of(whole_text(text_col)).alias("words"))
-    known = F.array_distinct(F.filter(runs_of(F.col("words")), lambda run: run.isin(list(holders))))
-    candidates = F.array_distinct(F.flatten(F.transform(known, lambda run: F.element_at(held_by, run))))
-    # outer, as else a test for emptiness would work out the candidates a second time
-    met = kept.select(
-        "doc_id",
-        F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("body"),
-        F.explode_outer(candidates).alias("t"),
-    ).join(F.broadcast(looked_for), "t")
-
-    def is_there(shingle: Column) -> Column:
-        return F.contains(F.col("body"), F.concat(F.lit(" "), shingle, F.lit(" ")))
-
-    found = met.select(
+    made = template_shingles(spark, TEMPLATES if templates is None else templates).select(
+        "*", F.xxhash64("license", "t_shingles").alias("t")
+    )
+    made = keep(made.dropDuplicates(["t"]))
+    is_long = F.size("t_shingles") >= LONG
+    asked = keep(keys_of(made.select("t", "t_shingles", "hashes"), is_long, ~is_long).select("t", "band", "key"))
+
+    texts = id_and_text(docs, id_col, text_col)
+    words = texts.select("doc_id", words_of(F.col("text")).alias("words"))
+    hashed = words.select("doc_id", hashes_of(F.col("words")).alias("hashes"))
+    met = keys_of(hashed, F.lit(True), F.lit(True)).join(asked, ["band", "key"])
+    met = keep(met.select(F.col("doc_id").alias("id"), "t").distinct())
+
+    near = texts.join(met, F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "t", words_of(F.col("text")).alias("words"))
+    near = near.select("doc_id", "t", shingles_of(F.col("words")).alias("held"))
+    found = near.join(made.select("t", "license", "t_shingles"), "t").select(
         "doc_id",
         "license",
+        "t",
         F.size("t_shingles").cast("bigint").alias("shingles"),
-        F.size(F.filter("t_shingles", is_there)).cast("bigint").alias("shared"),
+        F.size(F.array_intersect("t_shingles", "held")).cast("bigint").alias("shared"),
     ).where((F.col("shared") > 0) & (F.col("shared") * 100 >= F.col("shingles") * percent))
-    best = found.groupBy("doc_id", "license", "shingles").agg(F.max("shared").alias("shared"))
+    best = found.groupBy("doc_id", "license", "t", "shingles").agg(F.max("shared").alias("shared"))
     return best.select(
         "doc_id", "license", "shared", "shingles", (F.col("shared") / F.col("shingles")).alias("containment")
     )
