@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,14 +105,14 @@ def train_predict(spark: SparkSession, sf: str) -> DataFrame:
 def training_history(spark: SparkSession, sf: str) -> DataFrame:
     samples = _samples(spark, sf)
     parts = [
-        modeling.training_history(modeling.train_model(samples, name, settings), samples, name)
-        for name, settings in (("linear", {"solver": "l-bfgs"}), ("boosted", None))
+        modeling.training_history(modeling.train_model(samples, name), samples, name)
+        for name in modeling.MODELS
     ]
-    return parts[0].unionByName(parts[1])
+    return reduce(DataFrame.unionByName, parts)
 
 
 def hyperparameter_search(spark: SparkSession, sf: str) -> DataFrame:
-    return modeling.search(_samples(spark, sf), "linear", n_trials=6)
+    return modeling.search(_samples(spark, sf), "linear")
 
 
 def model_leaderboard(spark: SparkSession, sf: str) -> DataFrame:

@@ -75,6 +75,31 @@ def test_models_beat_the_mean(spark, samples, tmp_path):
     assert spark.read.json(saved).count() == history.count()
 
 
+def test_history_of_a_forest_is_that_of_its_first_trees(samples):
+    model = modeling.train_model(samples, "forest", {"numTrees": 5})
+    got = {(r["split"], r["step"]): r["value"] for r in modeling.training_history(model, samples, "forest").collect()}
+    usable = samples.filter("features IS NOT NULL AND target IS NOT NULL")
+    for split in ("train", "val"):
+        rows = usable.filter(F.col("split") == split).select("features", "target").collect()
+        each = np.array([[tree.predict(r.features) for tree in model.trees] for r in rows])
+        target = np.array([r.target for r in rows])
+        for step in range(5):
+            want = np.mean((target - each[:, : step + 1].mean(axis=1)) ** 2)
+            assert got[split, step] == pytest.approx(want)
+    assert len(got) == 10
+    default = modeling.training_history(modeling.train_model(samples, "linear"), samples, "linear")
+    assert default.count() > 1
+
+
+@pytest.mark.parametrize("name", ["linear", "forest", "boosted"])
+def test_search_gives_the_loss_of_each_trial(samples, name):
+    for row in modeling.search(samples, name, 2, seed=3).collect():
+        settings = modeling.draw_settings(name, 2, 3)[row.trial]
+        assert row.settings == {k: str(v) for k, v in settings.items()} and row.model == name
+        model = modeling.train_model(samples, name, settings, seed=3)
+        assert row.loss == pytest.approx(modeling.evaluate(model, samples, "val").first().penalised_loss)
+
+
 def test_search_is_repeatable_and_updates_the_settings(samples):
     trials = modeling.search(samples, "linear", 3, seed=7)
     rows = trials.collect()

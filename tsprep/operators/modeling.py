@@ -17,6 +17,7 @@ from pyspark.ml.regression import (
     GBTRegressor,
     LinearRegression,
     LinearRegressionModel,
+    RandomForestRegressionModel,
     RandomForestRegressor,
 )
 from pyspark.sql import DataFrame, SparkSession
@@ -26,10 +27,10 @@ from ..functions.metrics import regression_metrics
 
 log = logging.getLogger(__name__)
 
-# model name: estimator settings. The normal solver reads the samples once; give solver="l-bfgs"
-# for a history of steps. Early stop of the boosted trees comes from validationTol.
+# model name: estimator settings. L-BFGS leaves a history of steps; solver="normal" reads the
+# samples once and leaves none. Early stop of the boosted trees comes from validationTol.
 MODELS: dict[str, dict[str, Any]] = {
-    "linear": {"regParam": 1e-5, "elasticNetParam": 0.0, "maxIter": 50, "solver": "normal"},
+    "linear": {"regParam": 1e-5, "elasticNetParam": 0.0, "maxIter": 50, "solver": "l-bfgs"},
     "forest": {"numTrees": 20, "maxDepth": 6},
     "boosted": {"maxIter": 20, "maxDepth": 4, "stepSize": 0.1, "validationTol": 0.01},
 }
@@ -103,14 +104,49 @@ def evaluate(model: Model, assembled: DataFrame, split: str = "test") -> DataFra
     return regression_metrics(predict(model, assembled, split), "actual", "predicted")
 
 
+def predictions(models: Sequence[Model], assembled: DataFrame) -> DataFrame:
+    """Add ``predictions``, what each model gives for a row; NULL where a feature is missing.
+
+    All models read a row in the same pass.
+    """
+    rows, names = assembled, [f"__p{i}" for i in range(len(models))]
+    blank = F.lit(None).cast("array<double>")
+    for model, name in zip(models, names):
+        rows = model.copy().setFeaturesCol("features").setPredictionCol(name).transform(rows)
+    return rows.withColumn(
+        "predictions", F.when(F.col("features").isNotNull(), F.array(*names)).otherwise(blank)
+    ).drop(*names)
+
+
+def _staged_errors(model: RandomForestRegressionModel, assembled: DataFrame) -> DataFrame:
+    """(step, split, value): the squared error of the forest's first trees, for each number of trees."""
+    rows = _usable(assembled).filter(F.col("split").isin("train", "val"))
+    sums = F.aggregate(
+        "predictions",
+        F.array().cast("array<double>"),
+        lambda done, x: F.array_append(
+            done, x + F.coalesce(F.get(done, F.size(done) - 1), F.lit(0.0))
+        ),
+    )
+    staged = predictions(model.trees, rows).select("split", "target", F.posexplode(sums).alias("step", "sum"))
+    error = F.col("target") - F.col("sum") / (F.col("step") + 1)
+    return staged.groupBy("step", "split").agg(F.avg(error * error).alias("value"))
+
+
 def training_history(model: Model, assembled: DataFrame, name: str) -> DataFrame:
-    """(model, step, split, metric, value) per training step."""
+    """(model, step, split, metric, value) per training step.
+
+    Steps are the trees of boosted trees and forests, and the iterations of a linear model.
+    """
     rows: list[tuple] = []
     if isinstance(model, GBTRegressionModel):
         for split in ("train", "val"):
             part = _usable(assembled).filter(F.col("split") == split).select("features", "target")
             losses = model.evaluateEachIteration(part, "squared")
             rows += [(name, i, split, "mse", float(v)) for i, v in enumerate(losses)]
+    elif isinstance(model, RandomForestRegressionModel):
+        errors = _staged_errors(model, assembled).orderBy("split", "step").collect()
+        rows += [(name, r["step"], r["split"], "mse", r["value"]) for r in errors]
     elif isinstance(model, LinearRegressionModel) and model.hasSummary:
         steps = model.summary.objectiveHistory
         rows += [(name, i, "train", "objective", float(v)) for i, v in enumerate(steps)]
@@ -141,27 +177,32 @@ def search(
     seed: int = 42,
     loss: str = "penalised_loss",
 ) -> DataFrame:
-    """Random search: one row per trial with its settings and validation loss, best first."""
+    """Random search: one row per trial with its settings and validation loss, best first.
+
+    The models of all trials are scored in one pass over the validation rows.
+    """
+    spark = assembled.sparkSession
     estimator = make_estimator(name, seed=seed)
     trials = draw_settings(name, n_trials, seed)
     maps = [{estimator.getParam(k): v for k, v in t.items()} for t in trials]
-    scored = None
-    for i, model in estimator.fitMultiple(_training_rows(assembled, name), maps):
-        row = evaluate(model, assembled, "val").select(
-            F.lit(name).alias("model"),
-            F.lit(i).alias("trial"),
-            F.create_map(
-                *[x for k, v in trials[i].items() for x in (F.lit(k), F.lit(str(v)))]
-            ).alias("settings"),
-            F.col(loss).alias("loss"),
-        )
-        scored = row if scored is None else scored.unionByName(row)
-    return scored.orderBy("loss", "trial")
+    models = dict(estimator.fitMultiple(_training_rows(assembled, name), maps))
+    rows = _usable(assembled).filter(F.col("split") == "val").select("features", "target")
+    scored = predictions([models[i] for i in range(n_trials)], rows).select(
+        F.col("target").alias("actual"), F.posexplode("predictions").alias("trial", "predicted")
+    )
+    losses = regression_metrics(scored, "actual", "predicted", by=["trial"]).select(
+        "trial", F.col(loss).alias("loss")
+    )
+    drawn = [(name, i, {k: str(v) for k, v in t.items()}) for i, t in enumerate(trials)]
+    settings = spark.createDataFrame(drawn, "model string, trial int, settings map<string,string>")
+    return settings.join(losses, "trial", "left").select("model", "trial", "settings", "loss").orderBy(
+        F.asc_nulls_last("loss"), "trial"
+    )
 
 
 def best_settings(trials: DataFrame, name: str) -> dict[str, Any]:
     """The model's base settings updated with the best trial's."""
-    best = trials.orderBy("loss", "trial").first()
+    best = trials.orderBy(F.asc_nulls_last("loss"), "trial").first()
     kinds = {k: kind for k, (kind, _, _) in SEARCH_SPACE[name].items()}
     found = {k: int(v) if kinds[k] == "int" else float(v) for k, v in best.settings.items()}
     return {**MODELS[name], **found}
