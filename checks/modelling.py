@@ -112,7 +112,7 @@ def training_history(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hyperparameter_search(spark: SparkSession, sf: str) -> DataFrame:
-    return modeling.search(_samples(spark, sf), "linear")
+    return modeling.search(_samples(spark, sf), "linear", config={"solver": "normal"})
 
 
 def model_leaderboard(spark: SparkSession, sf: str) -> DataFrame:

@@ -176,13 +176,15 @@ def search(
     n_trials: int = 50,
     seed: int = 42,
     loss: str = "penalised_loss",
+    config: Mapping[str, Any] | None = None,
 ) -> DataFrame:
     """Random search: one row per trial with its settings and validation loss, best first.
 
-    The models of all trials are scored in one pass over the validation rows.
+    The models of all trials are scored in one pass over the validation rows. ``config`` holds for
+    every trial, such as the linear solver "normal", which reads the samples once for each.
     """
     spark = assembled.sparkSession
-    estimator = make_estimator(name, seed=seed)
+    estimator = make_estimator(name, config, seed)
     trials = draw_settings(name, n_trials, seed)
     maps = [{estimator.getParam(k): v for k, v in t.items()} for t in trials]
     models = dict(estimator.fitMultiple(_training_rows(assembled, name), maps))
