@@ -37,6 +37,20 @@ def profile_columns(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def profile_default(spark: SparkSession, sf: str) -> DataFrame:
+    """Every column of the readings and a yes-or-no one, by sketches; what the sketches estimate is left out."""
+    df = readings(spark, sf).withColumn("high.current", F.col("current") > 50)
+    out = profile.profile_columns(df)
+    moment = "yyyy-MM-dd HH:mm:ss"
+    return out.select(
+        "column", "count", "missing", "zeros", "negatives", "min_length", "max_length",
+        *[settled_column(c) for c in ("mean", "std", "min", "max")],
+        F.date_format("earliest", moment).alias("earliest"),
+        F.date_format("latest", moment).alias("latest"),
+        F.array_join("top_values", ";").alias("top_values"),
+    )
+
+
 def profile_minimal(spark: SparkSession, sf: str) -> DataFrame:
     df = table(spark, sf, "customer").select("c_acctbal", "c_mktsegment")
     out = profile.profile_columns(df, minimal=True)
@@ -96,6 +110,7 @@ def _spearman(**options):
 QUERIES = {
     "profile_table": profile_table,
     "profile_columns": profile_columns,
+    "profile_default": profile_default,
     "profile_minimal": profile_minimal,
     "describe": describe,
     "histogram": histogram,
@@ -157,6 +172,35 @@ def _pair_rank(a: str, b: str) -> str:
             FROM readings WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"""
 
 
+def _profile_default(c: str, kind: str) -> str:
+    """Values that hold a thousandth of the known rows have exact counts."""
+    none, moment = "CAST(NULL AS DOUBLE)", "CAST(NULL AS VARCHAR)"
+    x = {"number": c, "flag": f"CAST({c} AS INT)"}.get(kind, none)
+    text = f"CAST({c} AS VARCHAR)"
+    length = f"length({c})" if kind == "text" else "CAST(NULL AS BIGINT)"
+    first, last = (
+        (f"strftime({f}({c}), '%Y-%m-%d %H:%M:%S')" if kind == "moment" else moment) for f in ("min", "max")
+    )
+    moments = ", ".join(
+        settled(f"{f}({x})") + f" AS {n}"
+        for n, f in {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max"}.items()
+    )
+    return f"""SELECT '{c.strip('"')}' AS column, s.*,
+      (SELECT string_agg(v || '=' || n, ';' ORDER BY n DESC, v) FROM (
+        SELECT {text} AS v, count(*) AS n FROM flagged WHERE {c} IS NOT NULL GROUP BY 1
+        HAVING count(*) >= CAST(0.001 AS DOUBLE) * (SELECT count({c}) FROM flagged)
+        ORDER BY n DESC, v LIMIT 5)) AS top_values
+      FROM (SELECT count({c}) AS count, count(*) - count({c}) AS missing,
+        count(*) FILTER ({x} = 0) AS zeros, count(*) FILTER ({x} < 0) AS negatives,
+        min({length}) AS min_length, max({length}) AS max_length, {moments},
+        {first} AS earliest, {last} AS latest FROM flagged) s"""
+
+
+_PROFILED = {
+    "event_id": "number", "ts": "moment", "id_line": "text", "voltage": "number", "current": "number",
+    "power": "number", "status": "text", '"high.current"': "flag",
+}
+
 _PAIRS = [(a, b) for a in MEASURES for b in MEASURES]
 _SPEARMAN = f"WITH {READINGS} " + " UNION ALL ".join(_pair_rank(a, b) for a, b in _PAIRS)
 
@@ -190,6 +234,9 @@ ORACLE = {
     + " UNION ALL BY NAME ".join(
         [*[_profile_numeric(c) for c in MEASURES], *[_profile_text(c) for c in ("id_line", "status")]]
     ),
+    "profile_default": f"""WITH {READINGS}, flagged AS (
+        SELECT *, current > 50 AS "high.current" FROM readings) """
+    + " UNION ALL BY NAME ".join(_profile_default(c, kind) for c, kind in _PROFILED.items()),
     "profile_minimal": f"""SELECT 'c_acctbal' AS column, count(*) AS count, CAST(0 AS BIGINT) AS missing,
         {settled("avg(c_acctbal)")} AS mean, {settled("stddev_samp(c_acctbal)")} AS std,
         min(c_acctbal) AS min, max(c_acctbal) AS max,
