@@ -11,6 +11,8 @@ from tsprep.functions.metrics import regression_metrics as metrics
 from tsprep.operators import modeling, sequences as op
 from tsprep.operators.ordered import over_rows
 from tsprep.plans import training
+from tsprep.session import shared_folder
+from tsprep.sources import sinks
 from tsprep.sources.readings import MEASURES, ORDER, SERIES, readings
 
 from .common import LINE, READINGS, WHOLE, settled, settled_column
@@ -119,6 +121,85 @@ def model_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
     return modeling.leaderboard(_samples(spark, sf))
 
 
+#: Least squares without a penalty, which SQL can compute too.
+PLAIN = {"regParam": 0.0, "solver": "normal"}
+
+
+def _voltage_samples(spark: SparkSession, sf: str) -> DataFrame:
+    return training.make_samples(readings(spark, sf), 24, "voltage", ["voltage"], **AXIS)
+
+
+def train_predict_linear(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions of least squares on window features, for the rows of all splits."""
+    samples = _voltage_samples(spark, sf)
+    model = modeling.train_model(samples, "linear", PLAIN)
+    predicted = modeling.predict(model, samples, None)
+    # two ways of solving differ by about 1e-7
+    return predicted.select("event_id", "split", settled_column("predicted", 2))
+
+
+def train_and_evaluate(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole chain from readings to test metrics."""
+    _, found, _ = training.train_and_evaluate(
+        readings(spark, sf), "linear", PLAIN, 24, "voltage", ["voltage"], **AXIS
+    )
+    return found.select("rows", "skipped", *[settled_column(m, 3) for m in METRICS])
+
+
+def comparison_saved(spark: SparkSession, sf: str) -> DataFrame:
+    """A comparison of models, saved and read again."""
+    board = modeling.leaderboard(_voltage_samples(spark, sf), ["linear"], {"linear": PLAIN})
+    path = sinks.save_comparison(board, shared_folder(spark))
+    found = spark.read.schema(board.schema).json(path)
+    return found.select("model", "rows", "skipped", *[settled_column(m, 3) for m in METRICS])
+
+
+def model_registry(spark: SparkSession, sf: str) -> DataFrame:
+    """Test rows with whether the best registered model gives them what the lowest loss gave before saving."""
+    samples, base = _voltage_samples(spark, sf), shared_folder(spark)
+    names = ["linear", "forest"]
+    entries = modeling.train_and_register(samples, base, "first", names, {"linear": PLAIN})
+    sinks.register_model(
+        spark, base, "second", "linear", modeling.train_model(samples, "linear", PLAIN), -1.0
+    )
+    name, loaded = sinks.load_best_model(spark, base, "first")
+    lowest = entries.orderBy("loss").first()["model"]
+    before = modeling.predict(
+        modeling.train_model(samples, lowest, PLAIN if lowest == "linear" else None), samples
+    )
+    after = modeling.predict(loaded, samples)
+    both = before.select("event_id", "predicted").join(
+        after.select("event_id", F.col("predicted").alias("again")), "event_id"
+    )
+    near = F.abs(F.col("predicted") - F.col("again")) < 1e-6
+    same = F.when(F.col("predicted").isNull(), F.col("again").isNull()).otherwise(near)
+    return both.select(
+        "event_id", (same & F.lit(name == lowest)).alias("same"),
+        F.lit(entries.count()).cast("bigint").alias("models"),
+    )
+
+
+def history_saved(spark: SparkSession, sf: str) -> DataFrame:
+    """History of a forest, saved and read again; its last step is the error of the whole forest."""
+    samples = _voltage_samples(spark, sf)
+    model = modeling.train_model(samples, "forest")
+    history = modeling.training_history(model, samples, "forest")
+    found = spark.read.schema(history.schema).json(
+        sinks.export_training_history(history, shared_folder(spark))
+    )
+    whole = reduce(
+        DataFrame.unionByName,
+        [
+            modeling.evaluate(model, samples, s).select(F.lit(s).alias("split"), F.col("mse").alias("whole"))
+            for s in ("train", "val")
+        ],
+    )
+    last = F.max_by("value", "step")
+    steps = found.groupBy("model", "split").agg(F.count("*").alias("steps"), last.alias("last"))
+    near = F.abs(F.col("last") - F.col("whole")) < 1e-6 * F.col("whole")
+    return steps.join(whole, "split").select("model", "split", "steps", near.alias("last_is_whole"))
+
+
 QUERIES = {
     "sequences": sequence_windows,
     "sequences_whole": sequence_windows_whole,
@@ -130,6 +211,11 @@ QUERIES = {
     "regression_metrics_per_line": regression_metrics_per_line,
     "penalised_loss": penalised_loss,
     "train_predict": train_predict,
+    "train_predict_linear": train_predict_linear,
+    "train_and_evaluate": train_and_evaluate,
+    "comparison_saved": comparison_saved,
+    "model_registry": model_registry,
+    "history_saved": history_saved,
     "training_history": training_history,
     "hyperparameter_search": hyperparameter_search,
     "model_leaderboard": model_leaderboard,
@@ -184,7 +270,60 @@ def _metrics_sql(y: str, low: float, high: float, weight: float, by: str) -> str
       FROM k {group}"""
 
 
+def _least_squares_sql() -> str:
+    """``fitted``: samples with the prediction of least squares, found by making features orthogonal one by one."""
+    w = f"({LINE} ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)"
+    names = ["f0", "f1", "f2", "f3"]
+    made = ", ".join(
+        f"{f}(voltage) OVER {w} AS {n}" for f, n in zip(("avg", "stddev_samp", "min", "max"), names)
+    )
+    fits = "split = 'train' AND y IS NOT NULL AND f0 IS NOT NULL AND f1 IS NOT NULL"
+    share = "floor(CAST(0.8 AS DOUBLE) * n)"
+    steps = [
+        f"""WITH {READINGS}, s AS (SELECT event_id, ts, id_line, voltage AS y, {made},
+          row_number() OVER ({LINE}) AS r FROM readings),
+        i AS (SELECT *, row_number() OVER ({LINE}) - 1 AS i, count(*) OVER (PARTITION BY id_line) AS n
+              FROM s WHERE r > 24),
+        p AS (SELECT *, CASE WHEN i < {share} THEN 'train'
+                WHEN i < {share} + floor(CAST(0.1 AS DOUBLE) * n) THEN 'val' ELSE 'test' END AS split FROM i),
+        g0 AS (SELECT event_id, split, y, ({fits}) AS fit, avg(y) FILTER ({fits}) OVER () AS predicted, """
+        + ", ".join(f"{n} - avg({n}) FILTER ({fits}) OVER () AS {n}" for n in names)
+        + " FROM p)"
+    ]
+    for k, now in enumerate(names):
+        square = f"sum({now} * {now}) FILTER (fit) OVER ()"
+        later = "".join(
+            f", {n} - {now} * sum({now} * {n}) FILTER (fit) OVER () / {square} AS {n}" for n in names[k + 1 :]
+        )
+        steps.append(
+            f"""g{k + 1} AS (SELECT event_id, split, y, fit,
+            predicted + {now} * sum({now} * y) FILTER (fit) OVER () / {square} AS predicted{later} FROM g{k})"""
+        )
+    return ", ".join([*steps, "fitted AS (SELECT * FROM g4)"])
+
+
+def _fitted_metrics_sql(more: str = "") -> str:
+    both = "y IS NOT NULL AND p IS NOT NULL"
+    low = "avg(greatest(0, 180 - p) + greatest(0, p - 260)) FILTER (p IS NOT NULL)"
+    return f"""{_least_squares_sql()}, k AS (SELECT CASE WHEN {both} THEN y END AS y, CASE WHEN {both} THEN p END AS p
+        FROM (SELECT y, predicted AS p FROM fitted WHERE split = 'test'))
+      SELECT {more}count(y) AS rows, count(*) - count(y) AS skipped,
+        {settled("avg(abs(y - p))", 3)} AS mae, {settled("avg((y - p) * (y - p))", 3)} AS mse,
+        {settled("sqrt(avg((y - p) * (y - p)))", 3)} AS rmse,
+        {settled("avg(abs((y - p) / nullif(y, 0))) * 100", 3)} AS mape,
+        {settled("1 - sum((y - p) * (y - p)) / nullif(var_pop(y) * count(y), 0)", 3)} AS r2,
+        {settled(f"avg((y - p) * (y - p)) + CAST(0.1 AS DOUBLE) * {low}", 3)} AS penalised_loss FROM k"""
+
+
 ORACLE = {
+    "train_predict_linear": f"""{_least_squares_sql()}
+      SELECT event_id, split, {settled("predicted", 2)} AS predicted FROM fitted""",
+    "train_and_evaluate": _fitted_metrics_sql(),
+    "comparison_saved": _fitted_metrics_sql("'linear' AS model, "),
+    "model_registry": f"""{_least_squares_sql()}
+      SELECT event_id, true AS same, CAST(2 AS BIGINT) AS models FROM fitted WHERE split = 'test'""",
+    "history_saved": """SELECT 'forest' AS model, unnest(['train', 'val']) AS split,
+      CAST(20 AS BIGINT) AS steps, true AS last_is_whole""",
     "sequences": _sequence_sql(LINE),
     "sequences_whole": _sequence_sql(WHOLE),
     "chronological_split": _split_sql(LINE, "PARTITION BY id_line"),

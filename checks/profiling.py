@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tsprep.operators import impute, profile
 from tsprep.operators.encode import value_counts as counted
+from tsprep.session import shared_folder
+from tsprep.sources import sinks
 from tsprep.sources.readings import MEASURES, readings, table
 
 from .common import READINGS, settled, settled_column
@@ -51,9 +53,7 @@ def profile_default(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def profile_minimal(spark: SparkSession, sf: str) -> DataFrame:
-    df = table(spark, sf, "customer").select("c_acctbal", "c_mktsegment")
-    out = profile.profile_columns(df, minimal=True)
+def _minimal(out: DataFrame) -> DataFrame:
     return out.select(
         "column", "count", "missing", settled_column("mean"), settled_column("std"),
         "min", "max", "zeros", "negatives", "min_length", settled_column("mean_length"),
@@ -61,6 +61,11 @@ def profile_minimal(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def profile_minimal(spark: SparkSession, sf: str) -> DataFrame:
+    df = table(spark, sf, "customer").select("c_acctbal", "c_mktsegment")
+    return _minimal(profile.profile_columns(df, minimal=True))
+
+
 def describe(spark: SparkSession, sf: str) -> DataFrame:
     out = profile.describe(table(spark, sf, "lineitem"), LINE_COLUMNS)
     names = [c for c in out.columns if c not in ("column", "count")]
@@ -107,7 +112,28 @@ def _spearman(**options):
     return run
 
 
+def profile_saved(spark: SparkSession, sf: str) -> DataFrame:
+    """A profile saved as JSON and read again."""
+    df = table(spark, sf, "customer").select("c_acctbal", "c_mktsegment")
+    made = profile.profile_columns(df, minimal=True)
+    out = spark.read.schema(made.schema).json(sinks.save_profile(made, shared_folder(spark)))
+    return _minimal(out)
+
+
+def correlation_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns that do not follow from each other, by values and by ranks."""
+    df = table(spark, sf, "lineitem").select(*LINE_COLUMNS)
+    parts = {"pearson": profile.correlation_pearson(df), "spearman": profile.correlation_spearman(df)}
+    made = [
+        p.select(F.lit(n).alias("method"), "column_a", "column_b", settled_column("correlation"))
+        for n, p in parts.items()
+    ]
+    return made[0].unionByName(made[1])
+
+
 QUERIES = {
+    "profile_saved": profile_saved,
+    "correlation_lines": correlation_lines,
     "profile_table": profile_table,
     "profile_columns": profile_columns,
     "profile_default": profile_default,
@@ -290,6 +316,19 @@ ORACLE = {
         f" {settled(f'corr({a}, {b})')} AS correlation FROM readings"
         for a, b in _PAIRS
     ),
+    "correlation_lines": " UNION ALL ".join(
+        f"SELECT '{m}' AS method, '{a}' AS column_a, '{b}' AS column_b, {settled('corr(x, y)')} AS correlation FROM "
+        + (
+            f"(SELECT {a} AS x, {b} AS y FROM lineitem)"
+            if m == "pearson"
+            else f"(SELECT rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a}) - 1) / 2 AS x,"
+            f" rank() OVER (ORDER BY {b}) + (count(*) OVER (PARTITION BY {b}) - 1) / 2 AS y FROM lineitem)"
+        )
+        for m in ("pearson", "spearman")
+        for a in LINE_COLUMNS
+        for b in LINE_COLUMNS
+    ),
     "correlation_spearman": _SPEARMAN,
     "correlation_spearman_cut": _SPEARMAN,
 }
+ORACLE["profile_saved"] = ORACLE["profile_minimal"]

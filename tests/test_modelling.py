@@ -117,3 +117,26 @@ def test_train_and_evaluate(spark):
     assert metrics.first().rows > 0 and history.count() > 1
     with pytest.raises(ValueError):
         training.train_and_evaluate(df, "transformer")
+
+
+def test_registry_gives_back_the_best_model(spark, samples, tmp_path):
+    base = str(tmp_path)
+    entries = modeling.train_and_register(samples, base, "a", ["linear", "boosted"])
+    best = entries.orderBy("loss").first()["model"]
+    model = modeling.train_model(samples, best)
+    for loss in (None, float("nan")):
+        sinks.register_model(spark, base, "b", best, model, loss)
+    with pytest.raises(ValueError):
+        sinks.load_best_model(spark, base, "b")
+    name, loaded = sinks.load_best_model(spark, base)
+    assert name == best and sinks.registered_models(spark, base).count() == 4
+    rows = [modeling.predict(m, samples).orderBy("timestamp").collect() for m in (model, loaded)]
+    assert [r["predicted"] for r in rows[0]] == pytest.approx([r["predicted"] for r in rows[1]], nan_ok=True)
+
+
+def test_equal_losses_go_to_the_first_name(spark, samples, tmp_path):
+    model = modeling.train_model(samples, "linear")
+    for name in ("b", "a"):
+        sinks.register_model(spark, str(tmp_path), "x", name, model, 1.0)
+    saved = sinks.registered_models(spark, str(tmp_path)).orderBy("saved_at", "model").first()
+    assert sinks.load_best_model(spark, str(tmp_path))[0] == saved["model"]

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.metrics import regression_metrics
+from ..sources.sinks import register_model, registered_models
 
 log = logging.getLogger(__name__)
 
@@ -230,6 +231,26 @@ def leaderboard(
     return reduce(DataFrame.unionByName, parts).orderBy(loss)
 
 
+def train_and_register(
+    assembled: DataFrame,
+    base: str,
+    experiment: str,
+    names: Sequence[str] | None = None,
+    configs: Mapping[str, Mapping[str, Any]] | None = None,
+    loss: str = "penalised_loss",
+) -> DataFrame:
+    """Train each named model and register it under ``base`` with its validation loss.
+
+    Returns the experiment's entries; ``load_best_model`` gives the best one back, in any session.
+    """
+    spark = assembled.sparkSession
+    for name in names or list(MODELS):
+        model = train_model(assembled, name, (configs or {}).get(name))
+        value = evaluate(model, assembled, "val").first()[loss]
+        register_model(spark, base, experiment, name, model, value)
+    return registered_models(spark, base).where(F.col("experiment") == experiment)
+
+
 def train_best(
     assembled: DataFrame,
     names: Sequence[str] | None = None,

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Sequence
 
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+MODEL_TABLE = "experiment string, model string, loss double, path string, saved_at timestamp_ntz"
 _MOMENT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
@@ -81,5 +84,41 @@ def load_model(spark: SparkSession, path: str) -> Model:
     return DefaultParamsReader.loadParamsInstance(path, spark)
 
 
+def register_model(
+    spark: SparkSession, base: str, experiment: str, name: str, model: Model, loss: float | None
+) -> str:
+    """Save a fitted model under ``base`` and add it to the table of models there; returns its path.
+
+    The row is written after the model, so whatever the table names can be loaded. Several writers may
+    add to one table, and no entry is ever changed.
+    """
+    path = save_model(model, f"{base.rstrip('/')}/models/{name}-{uuid.uuid4().hex}")
+    now = dt.datetime.now().replace(microsecond=0)
+    entry = spark.createDataFrame([(experiment, name, loss, path, now)], MODEL_TABLE)
+    entry.coalesce(1).write.mode("append").parquet(f"{base.rstrip('/')}/entries")
+    return path
+
+
+def registered_models(spark: SparkSession, base: str) -> DataFrame:
+    """(experiment, model, loss, path, saved_at) of every model registered under ``base``."""
+    return spark.read.schema(MODEL_TABLE).parquet(f"{base.rstrip('/')}/entries")
+
+
+def load_best_model(
+    spark: SparkSession, base: str, experiment: str | None = None
+) -> tuple[str, Model]:
+    """Name and model with the smallest loss; of equal ones the first saved, then by name and path.
+
+    Models without a loss, or with NaN, are never the best.
+    """
+    known = registered_models(spark, base).where("loss IS NOT NULL AND NOT isnan(loss)")
+    if experiment is not None:
+        known = known.where(F.col("experiment") == experiment)
+    best = known.orderBy("loss", "saved_at", "model", "path").first()
+    if best is None:
+        raise ValueError("no registered model has a loss")
+    return best["model"], load_model(spark, best["path"])
+
+
 def append_run_log(log: DataFrame, path: str) -> None:
     log.write.mode("append").parquet(path)
