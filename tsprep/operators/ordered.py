@@ -8,7 +8,7 @@ when there is no series key at all. The functions here look at the longest serie
 * long series: rows get their exact position by a range shuffle (which balances any key or
   time distribution), and windows run over equally long chunks of that position. Rows near a
   chunk border are copied to the neighbouring chunk, and unlimited look-backs pass through a
-  table with one row per chunk.
+  table with one row per chunk, which is scanned in blocks and then block by block.
 
 Both ways return the same rows.
 """
@@ -27,9 +27,13 @@ from ..session import keep
 # a longer series is cut; small chunks spread it well, and there is one carry row per chunk
 MAX_SERIES_ROWS = 250_000
 CHUNK_ROWS = 50_000
+# chunks are scanned in blocks of this many, then the blocks: a scan over all of a table without a
+# series key sees one row per 200 million
+BLOCK_CHUNKS = 4_096
 
 SEQ = "__seq"
 _PART, _POS, _AT, _CHUNK, _HOME = "__part", "__pos", "__at", "__chunk", "__home"
+_BLOCK = "__block"
 
 
 class Split(NamedTuple):
@@ -169,16 +173,7 @@ def carry(
         *[F.max_by(c, F.when(c.isNotNull(), F.col(SEQ))).alias(n) for n, c in forward.items()],
         *[F.min_by(c, F.when(c.isNotNull(), F.col(SEQ))).alias(n) for n, c in backward.items()],
     )
-    others = (Window.unboundedPreceding, -1)
-    w = Window.partitionBy(*series_by)
-    asc = w.orderBy(_CHUNK).rowsBetween(*others)
-    desc = w.orderBy(F.col(_CHUNK).desc()).rowsBetween(*others)
-    edges = edges.select(
-        *[F.col(c).alias(f"__s_{c}") for c in series_by],
-        F.col(_CHUNK).alias("__c"),
-        *[F.last(n, True).over(asc).alias(f"__out_{n}") for n in forward],
-        *[F.last(n, True).over(desc).alias(f"__out_{n}") for n in backward],
-    )
+    edges = _carried(edges, list(forward), list(backward), series_by)
     return _beside(inside, edges, series_by).select(
         *df.columns,
         *[F.coalesce(f"__in_{n}", f"__out_{n}").alias(n) for n in [*forward, *backward]],
@@ -204,27 +199,86 @@ def running_sum(
     )
     w = Window.partitionBy(*series_by, _CHUNK).orderBy(SEQ).rowsBetween(*up_to_here)
     inside = chunked.select("*", *[F.sum(v).over(w).alias(f"__in_{n}") for n, v in sums.items()])
-    w = Window.partitionBy(*series_by).orderBy(_CHUNK)
-    others = w.rowsBetween(Window.unboundedPreceding, -1)
-    edges = (
-        chunked.groupBy(*series_by, _CHUNK)
-        .agg(*[F.sum(v).alias(n) for n, v in sums.items()])
-        .select(
-            *[F.col(c).alias(f"__s_{c}") for c in series_by],
-            F.col(_CHUNK).alias("__c"),
-            *[F.coalesce(F.sum(n).over(others), F.lit(0)).alias(f"__out_{n}") for n in sums],
-        )
-    )
+    edges = chunked.groupBy(*series_by, _CHUNK).agg(*[F.sum(v).alias(n) for n, v in sums.items()])
+    edges = _summed(edges, list(sums), series_by)
     return _beside(inside, edges, series_by).select(
         *df.columns, *[(F.col(f"__in_{n}") + F.col(f"__out_{n}")).alias(n) for n in sums]
     )
 
 
-def _beside(rows: DataFrame, edges: DataFrame, series_by: Sequence[str]) -> DataFrame:
-    """Join each row to the edge row of its chunk; NULL series keys count as equal."""
+def _carried(
+    edges: DataFrame, forward: Sequence[str], backward: Sequence[str], series_by: Sequence[str]
+) -> DataFrame:
+    """Of one row per chunk, the nearest non-NULL values of the chunks before and after it."""
+    others = (Window.unboundedPreceding, -1)
+
+    def scan(rows: DataFrame, at: str, *within: str) -> DataFrame:
+        w = Window.partitionBy(*series_by, *within)
+        asc = w.orderBy(at).rowsBetween(*others)
+        desc = w.orderBy(F.col(at).desc()).rowsBetween(*others)
+        return rows.select(
+            *series_by, at, *within,
+            *[F.last(n, True).over(asc).alias(n) for n in forward],
+            *[F.last(n, True).over(desc).alias(n) for n in backward],
+        )
+
+    edges = edges.withColumn(_BLOCK, F.floor(F.col(_CHUNK) / BLOCK_CHUNKS))
+    where = {n: F.when(F.col(n).isNotNull(), F.col(_CHUNK)) for n in (*forward, *backward)}
+    blocks = edges.groupBy(*series_by, _BLOCK).agg(
+        *[F.max_by(n, where[n]).alias(n) for n in forward],
+        *[F.min_by(n, where[n]).alias(n) for n in backward],
+    )
+    return _two_levels(
+        scan(edges, _CHUNK, _BLOCK), scan(blocks, _BLOCK), [*forward, *backward], series_by,
+        lambda inside, outside: F.coalesce(inside, outside),
+    )
+
+
+def _summed(edges: DataFrame, names: Sequence[str], series_by: Sequence[str]) -> DataFrame:
+    """Of one row per chunk, the sums over the chunks before it."""
+
+    def scan(rows: DataFrame, at: str, *within: str) -> DataFrame:
+        w = Window.partitionBy(*series_by, *within).orderBy(at)
+        earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+        before = [F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in names]
+        return rows.select(*series_by, at, *within, *before)
+
+    edges = edges.withColumn(_BLOCK, F.floor(F.col(_CHUNK) / BLOCK_CHUNKS))
+    blocks = edges.groupBy(*series_by, _BLOCK).agg(*[F.sum(n).alias(n) for n in names])
+    return _two_levels(
+        scan(edges, _CHUNK, _BLOCK), scan(blocks, _BLOCK), names, series_by,
+        lambda inside, outside: inside + outside,
+    )
+
+
+def _two_levels(
+    inside: DataFrame,
+    blocks: DataFrame,
+    names: Sequence[str],
+    series_by: Sequence[str],
+    merge: Callable[[Column, Column], Column],
+) -> DataFrame:
+    """What a chunk sees in its block merged with what its block sees, named to stand ``_beside`` rows."""
+    outside = blocks.select(
+        *[F.col(c).alias(f"__s_{c}") for c in series_by],
+        F.col(_BLOCK).alias("__c"),
+        *[F.col(n).alias(f"__far_{n}") for n in names],
+    )
+    both = _beside(inside, outside, series_by, _BLOCK)
+    return both.select(
+        *[inside[c].alias(f"__s_{c}") for c in series_by],
+        inside[_CHUNK].alias("__c"),
+        *[merge(inside[n], F.col(f"__far_{n}")).alias(f"__out_{n}") for n in names],
+    )
+
+
+def _beside(
+    rows: DataFrame, edges: DataFrame, series_by: Sequence[str], at: str = _CHUNK
+) -> DataFrame:
+    """Join each row to the edge row of its chunk or block; NULL series keys count as equal."""
     same = reduce(
         lambda a, b: a & b,
         [rows[c].eqNullSafe(edges[f"__s_{c}"]) for c in series_by],
-        rows[_CHUNK] == edges["__c"],
+        rows[at] == edges["__c"],
     )
     return rows.join(edges, same, "left")
