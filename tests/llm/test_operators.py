@@ -18,6 +18,7 @@ from tsprep.llm.backoff_lm import backoff_scores
 from tsprep.llm.bpe_lexicon import Codec, Lexicon, Merger, compile_lexicon, encode_decode
 from tsprep.llm.common import Memo
 from tsprep.llm.components import connected_components
+from tsprep.llm import cross_polytope
 from tsprep.llm.cross_polytope import nearest
 from tsprep.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from tsprep.llm.html_content import extract, fit_weights, labelled_pages, main_text
@@ -366,6 +367,19 @@ def test_neighbours(spark, sf):
     assert np.mean([len(got[q] & set(want[q])) / 20 for q in want]) >= 0.9
 
 
+def test_neighbours_do_not_depend_on_the_chunk(spark, monkeypatch):
+    """What a query meets must not change where a table outgrows its buckets."""
+    rng, results = np.random.default_rng(8), []
+    rows = [(i, [float(x) for x in rng.normal(size=3)]) for i in range(150)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    for chunk in (1_000, 4):
+        monkeypatch.setattr(cross_polytope, "CHUNK", chunk)
+        monkeypatch.setattr(cross_polytope, "QUERIES", chunk)
+        found = nearest(df, F.col("vec_id") % 5 == 0, k=3, tables=2, probes=1)
+        results.append(sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found.collect()))
+    assert results[0] == results[1]
+
+
 def test_neighbours_of_odd_vectors(spark):
     nan = float("nan")
     rows = [(i, [1.0, 0.0, 0.0]) for i in range(60)] + [(100 + i, [0.5, float(i), 2.0]) for i in range(5)]
