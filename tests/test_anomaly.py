@@ -137,3 +137,29 @@ def test_summaries_merge_like_one_pass():
     for i in range(40):
         held = x[: i + 1][part[: i + 1] == part[i]]
         assert np.allclose([n[i], m[i], q[i]], [[len(held)] * 2, held.mean(0), held.var(0) * len(held)])
+
+
+@pytest.mark.parametrize("limit", [3, 1_000])
+def test_frames_of_cells(spark, limit):
+    """However finely a span is cut, frames hold the same rows; lines may be NULL, times before 1970."""
+    rng, span = np.random.default_rng(6), 50
+    times = {k: sorted(set(rng.integers(-300, 300, 120).tolist() + list(range(40, 60)))) for k in ("a", None)}
+    rows = [(k, x, 1.0, float(x % 7), 0.0) for k, xs in times.items() for x in xs]
+    df = spark.createDataFrame(rows, "id_line string, __x long, n0 double, m0 double, q0 double")
+    got = anomaly.span_frames(df, ["id_line"], 1, span, limit).collect()
+    assert sorted((str(r[0]), r[1]) for r in got) == sorted((str(r[0]), r[1]) for r in rows)
+    for line_id, x, *found in got:
+        held = np.array([float(u % 7) for u in times[line_id] if x - span <= u <= x])
+        assert np.allclose(found, [len(held), held.mean(), held.var() * len(held)])
+
+
+def test_a_call_on_arrays_holds_a_bounded_number_of_rows(spark, monkeypatch):
+    """A dense line is cut by time, though it is shorter than the longest series left whole."""
+    rows = [("a", x, 1.0, 1.0, 0.0) for x in range(4_000)]
+    df = spark.createDataFrame(rows, "id_line string, __x long, n0 double, m0 double, q0 double")
+    monkeypatch.setattr(anomaly, "BUNDLE_ROWS", 100)
+    seen, deal = [], anomaly._bundles
+    monkeypatch.setattr(anomaly, "_bundles", lambda d, *rest: seen.append(deal(d, *rest)) or seen[-1])
+    got = anomaly.span_frames(df, ["id_line"], 1, 3_000, 50)
+    assert {r["n0"] for r in got.where("__x >= 3000").collect()} == {3_001.0}
+    assert max(r["count"] for g in seen for r in g.count().collect()) < 1_000

@@ -6,25 +6,22 @@ from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, GroupedData, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.timing import micros
 from ..session import keep
 from .nearest import nearest
-from .ordered import (
-    MAX_SERIES_ROWS,
-    SEQ,
-    Split,
-    carry,
-    choose_split,
-    number_rows,
-    over_rows,
-    positioned,
-)
+from .ordered import MAX_SERIES_ROWS, Split, over_rows
 from .quantiles import exact_quantiles
 
+# a row of its cell, one seen a span later, and what lies between; an own row sorts before the past rows of
+# the same place
+_OWN, _PAST, _BETWEEN = 0, 1, 2
+#: Rows of one call on arrays, and the most rows of a cell, several of which share a call.
+BUNDLE_ROWS, CELL_ROWS = 50_000, 12_500
+
 
 def any_flag(columns: Sequence[str]) -> Column:
     """True when any ``<column>_anomaly`` is true; NULL counts as false."""
@@ -115,64 +112,34 @@ def _over_span(
     order_by: Sequence[str],
     max_series_rows: int | Split,
 ) -> DataFrame:
-    """Frames of a time span, merged from summaries of their two halves.
+    """Frames of a time span, merged from summaries of count, mean and squared deviations.
 
-    Time is cut into blocks as long as the span, so a frame is the end of one block and the start of
-    the next. Both are summaries of count, mean and squared deviations, built up inside the
-    block by merging; nothing is ever subtracted, so an extreme value cannot harm frames
-    that do not hold it, and the work does not grow with the number of rows a span holds.
+    Nothing is ever subtracted, so an extreme value cannot harm frames that do not hold it, and the
+    work does not grow with the number of rows a span holds.
     """
     span = int(hours * 3_600_000_000)
-    split = choose_split(df, series_by, max_series_rows)
+    rows = max_series_rows.rows if isinstance(max_series_rows, Split) else max_series_rows
     series = list(series_by)
     timed = df.withColumn("__us", micros(df, order_by[0]))
-    at_time = timed.groupBy(*series, "__us").agg(
-        *[F.count(c).cast("double").alias(f"n{i}") for i, c in enumerate(columns)],
-        *[F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0)).alias(f"m{i}") for i, c in enumerate(columns)],
+    values = [F.col(c).cast("double") for c in columns]
+    at_time = timed.where("__us IS NOT NULL").groupBy(*series, F.col("__us").alias("__x")).agg(
+        *[F.count(v).cast("double").alias(f"n{i}") for i, v in enumerate(values)],
+        *[F.coalesce(F.avg(v), F.lit(0.0)).alias(f"m{i}") for i, v in enumerate(values)],
+        *[F.coalesce(F.var_pop(v) * F.count(v), F.lit(0.0)).alias(f"q{i}") for i, v in enumerate(values)],
+    )
+    frames = span_frames(keep(at_time), series, len(columns), span, max(1, min(rows, CELL_ROWS)))
+    frames = frames.select(
+        *[F.col(c).alias(f"__s_{c}") for c in series], F.col("__x"),
+        *[F.col(f"m{i}").alias(f"__m{i}") for i in range(len(columns))],
         *[
-            F.coalesce(F.var_pop(F.col(c).cast("double")) * F.count(c), F.lit(0.0)).alias(f"q{i}")
-            for i, c in enumerate(columns)
+            F.sqrt(F.try_divide(f"q{i}", F.when(F.col(f"n{i}") > 1, F.col(f"n{i}") - 1))).alias(f"__d{i}")
+            for i in range(len(columns))
         ],
-    )
-    at_time = at_time.where("__us IS NOT NULL")
-    block = F.floor(F.col("__us") / F.lit(span)).alias("__block")
-    if split.long:
-        at_time = number_rows(at_time, series, ["__us"])
-        chunk = F.floor(F.col(SEQ) / split.rows)
-    else:
-        chunk = F.lit(0).cast("bigint")
-    at_time = keep(at_time.select("*", block, chunk.alias("__piece")).drop(SEQ))
-    halves = keep(block_summaries(at_time, series, len(columns), split.rows))
-    if split.long:
-        halves = keep(_across_pieces(halves, series, len(columns)))
-    ends = halves.select(
-        *series, "__us", F.lit(1).alias("__kind"), F.struct("__block", "__upper").alias("__later")
-    )
-    starts = halves.select(
-        *series,
-        (F.col("__us") - span).alias("__us"),
-        F.lit(0).alias("__kind"),
-        F.col("__us").alias("__end_us"),
-        (F.col("__block") - 1).alias("__wanted"),
-        "__lower",
-    )
-    both = starts.unionByName(ends, allowMissingColumns=True)
-    order = ("__us", "__kind")
-    rows = carry(
-        positioned(both, series_by, order, split),
-        {}, {"__first": F.col("__later")}, series_by, order, split,
-    ).filter("__kind = 0")
-    inside = F.when(F.col("__first.__block") == F.col("__wanted"), F.col("__first.__upper"))
-    rows = rows.withColumn("__before", inside)
-    flags = []
-    for i in range(len(columns)):
-        n, m, q = _merged(F.col("__before"), F.col("__lower"), i)
-        flags += [m.alias(f"__m{i}"), F.sqrt(F.try_divide(q, F.when(n > 1, n - 1))).alias(f"__d{i}")]
-    frames = rows.select(*[F.col(c).alias(f"__s_{c}") for c in series], "__end_us", *flags)
+    )
     same = reduce(
         lambda a, b: a & b,
         [timed[c].eqNullSafe(frames[f"__s_{c}"]) for c in series],
-        timed["__us"] == frames["__end_us"],
+        timed["__us"] == frames["__x"],
     )
     return timed.join(frames, same, "left").select(
         *[timed[c] for c in df.columns],
@@ -183,14 +150,158 @@ def _over_span(
     )
 
 
-def _merged(a: Column, b: Column, i: int) -> tuple[Column, Column, Column]:
-    """Count, mean and squared deviations of two summaries; NULL is the empty one."""
-    (n1, m1, q1), (n2, m2, q2) = (
-        tuple(F.coalesce(F.get(x[name], F.lit(i)), F.lit(0.0)) for name in "nmq") for x in (a, b)
+def span_frames(
+    rows: DataFrame, series: Sequence[str], width: int, span: int, limit: int, own: bool = True
+) -> DataFrame:
+    """For each row of ``series, __x`` and summaries ``n, m, q`` the merged summary of the rows of its
+    series from ``__x - span`` to ``__x``, or to just before ``__x`` without ``own``.
+
+    ``__x`` is whole and occurs once in a series. It is cut into blocks as long as the span and these into
+    cells, so many that none holds more than ``limit`` rows. A frame is the end of the cell one span
+    before, cells in between and the beginning of the row's own cell: a row travels to its own cell and
+    to the one a span later. The cells in between are frames too, over the table of cells.
+    """
+    number = _cells(rows, series, span, limit)
+    away, cell = F.pmod("__x", F.lit(span)).alias("__away"), _cell(span, number).alias("__cell")
+    names = [f"{x}{i}" for x in "nmq" for i in range(width)]
+    placed = rows.select(*series, away, cell, *names)
+    if number == 1:
+        return _bundled(placed, None, series, width, span, 1, own)
+    cells = keep(_cell_totals(placed, series, width))
+    between = span_frames(cells, series, width, number - 1, limit, own=False)
+    return _bundled(placed, between, series, width, span, number, own)
+
+
+def _cell(span: int, number: int) -> Column:
+    """The cell of ``__x``, of which a span has ``number``; one span later it is ``number`` more."""
+    away = F.pmod("__x", F.lit(span))
+    share = F.least(F.floor(away * F.lit(float(number)) / span), F.lit(number - 1))
+    return F.expr(f"(__x - pmod(__x, {span}L)) div {span}L") * number + share.cast("bigint")
+
+
+def _cells(rows: DataFrame, series: Sequence[str], span: int, limit: int) -> int:
+    """Into how many cells a span is cut so that none holds more than ``limit`` rows."""
+    number = 1
+    while True:
+        sizes = rows.groupBy(*series, _cell(span, number).alias("__cell")).agg(F.count(F.lit(1)).alias("n"))
+        most = sizes.agg(F.max("n")).first()[0] or 0
+        if most <= limit or number >= span:
+            return number
+        number = min(span, number * max(2, -(-2 * most // limit)))
+
+
+def _parts(table: pa.Table, series: Sequence[str]) -> np.ndarray:
+    """Numbers the series and cells of the rows, NULL keys included."""
+    part = np.zeros(table.num_rows, np.int64)
+    for name in (*series, "__cell"):
+        codes = table[name].combine_chunks().dictionary_encode(null_encoding="encode").indices
+        codes = codes.to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.unique(part * (codes.max(initial=0) + 1) + codes, return_inverse=True)[1]
+    return part
+
+
+def _summaries(table: pa.Table, width: int) -> list[np.ndarray]:
+    """Arrays of counts, means and squared deviations, a column for each value."""
+    return [
+        np.column_stack([table[f"{x}{i}"].to_numpy() for i in range(width)]).astype(np.float64) for x in "nmq"
+    ]
+
+
+def _bundles(df: DataFrame, series: Sequence[str], total: int) -> GroupedData:
+    """Cells dealt into groups of about ``BUNDLE_ROWS`` rows, each of which is one call on arrays."""
+    groups = max(1, -(-total // BUNDLE_ROWS))
+    return df.groupBy(F.pmod(F.xxhash64(*series, "__cell"), F.lit(groups)).alias("__group"))
+
+
+def _cell_totals(placed: DataFrame, series: Sequence[str], width: int) -> DataFrame:
+    """One row for each cell, whose number is its ``__x``."""
+
+    def run(table: pa.Table) -> pa.Table:
+        part = _parts(table, series)
+        order = np.argsort(part, kind="stable")
+        first = np.flatnonzero(np.diff(part[order], prepend=-1))
+        n, m, q = (x[order] for x in _summaries(table, width))
+        total = np.add.reduceat(n, first)
+        mean = np.divide(np.add.reduceat(n * m, first), total, out=np.zeros_like(total), where=total > 0)
+        apart = m - mean[part[order]]
+        made = [total, mean, np.add.reduceat(q + n * apart * apart, first)]
+        out = {c: table[c].take(pa.array(order[first])) for c in series}
+        out["__x"] = table["__cell"].take(pa.array(order[first]))
+        out |= {f"{x}{i}": pa.array(made[j][:, i]) for j, x in enumerate("nmq") for i in range(width)}
+        return pa.table(out)
+
+    return _bundles(placed, series, placed.count()).applyInArrow(run, _shape(placed, series, width))
+
+
+def _shape(df: DataFrame, series: Sequence[str], width: int) -> str:
+    kinds = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in series]
+    return ", ".join([*kinds, "__x bigint", *[f"{x}{i} double" for x in "nmq" for i in range(width)]])
+
+
+def _bundled(
+    placed: DataFrame, between: DataFrame | None, series: Sequence[str], width: int, span: int, number: int,
+    own: bool,
+) -> DataFrame:
+    """The frames of all own rows; ``between`` has one row for each cell."""
+    names = [f"{x}{i}" for x in "nmq" for i in range(width)]
+    kinds = F.explode(F.array(F.lit(_OWN), F.lit(_PAST))).alias("__kind")
+    both = placed.select("*", kinds).withColumn(
+        "__cell", F.col("__cell") + F.when(F.col("__kind") == _PAST, number).otherwise(0)
     )
-    n, apart = n1 + n2, m2 - m1
-    share = F.coalesce(F.try_divide(n2, n), F.lit(0.0))
-    return n, m1 + apart * share, q1 + q2 + apart * apart * n1 * share
+    if between is not None:
+        middle = between.select(
+            *series, F.lit(0).cast("bigint").alias("__away"), F.col("__x").alias("__cell"), *names,
+            F.lit(_BETWEEN).alias("__kind"),
+        )
+        both = both.unionByName(middle)
+
+    def run(table: pa.Table) -> pa.Table:
+        part, kind = _parts(table, series), table["__kind"].to_numpy()
+        # the next past row begins a row's frame
+        order = np.lexsort((kind, table["__away"].to_numpy(), part))
+        part, kind = part[order], kind[order]
+        values = [x[order] for x in _summaries(table, width)]
+        mine, past = np.flatnonzero(kind == _OWN), np.flatnonzero(kind == _PAST)
+        lower = merge_forward(*(x[mine] for x in values), part[mine])
+        if not own:  # up to the row before
+            same = (np.diff(part[mine], prepend=-1) == 0)[:, None]
+            lower = [np.where(same, np.roll(x, 1, axis=0), 0.0) for x in lower]
+        upper = merge_forward(*(x[past[::-1]] for x in values), part[past[::-1]])
+        upper = [x[::-1] for x in upper]
+        after = np.searchsorted(past, mine)
+        there = np.append(past, len(part))[after]
+        found = np.append(part, -1)[there] == part[mine]
+        frame = [_taken(x, after, found) for x in upper]
+        middle = np.flatnonzero(kind == _BETWEEN)
+        if len(middle):
+            at = np.full(part.max() + 1, -1)
+            at[part[middle]] = np.arange(len(middle))
+            at = at[part[mine]]
+            frame = _joined(frame, [_taken(x[middle], at, at >= 0) for x in values])
+        frame = _joined(frame, lower)
+        picked = pa.array(order[mine])
+        out = {c: table[c].take(picked) for c in series}
+        cell, away = (table[c].take(picked).to_numpy() for c in ("__cell", "__away"))
+        out["__x"] = pa.array(cell // number * span + away)
+        out |= {f"{x}{i}": pa.array(frame[j][:, i]) for j, x in enumerate("nmq") for i in range(width)}
+        return pa.table(out)
+
+    return _bundles(both, series, placed.count()).applyInArrow(run, _shape(placed, series, width))
+
+
+def _taken(x: np.ndarray, at: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Rows of ``x``, and empty ones where there is none."""
+    out = np.zeros((len(at), x.shape[1]))
+    out[there] = x[at[there]]
+    return out
+
+
+def _joined(a: Sequence[np.ndarray], b: Sequence[np.ndarray]) -> list[np.ndarray]:
+    """Summaries of both; the empty one has no rows."""
+    (n1, m1, q1), (n2, m2, q2) = a, b
+    total, apart = n1 + n2, m2 - m1
+    share = np.divide(n2, total, out=np.zeros_like(n2), where=total > 0)
+    return [total, m1 + apart * share, q1 + q2 + apart * apart * n1 * share]
 
 
 def merge_forward(n: np.ndarray, m: np.ndarray, q: np.ndarray, part: np.ndarray) -> list[np.ndarray]:
@@ -204,71 +315,11 @@ def merge_forward(n: np.ndarray, m: np.ndarray, q: np.ndarray, part: np.ndarray)
         to = np.flatnonzero(part[step:] == part[:-step]) + step
         if not len(to):
             break
-        n1, m1, q1, n2, m2, q2 = (x[i] for i in (to - step, to) for x in (n, m, q))
-        total, apart = n1 + n2, m2 - m1
-        share = np.divide(n2, total, out=np.zeros_like(n2), where=total > 0)
-        n[to], m[to], q[to] = total, m1 + apart * share, q1 + q2 + apart * apart * n1 * share
+        n[to], m[to], q[to] = _joined(*([x[i] for x in (n, m, q)] for i in (to - step, to)))
         step *= 2
     return [n, m, q]
 
 
-_SUMMARY = "struct<n: array<double>, m: array<double>, q: array<double>>"
-
-
-def block_summaries(at_time: DataFrame, series: Sequence[str], width: int, rows: int) -> DataFrame:
-    """Add ``__lower`` and ``__upper``: the summaries of the rows of the same block and piece up to this
-    row, and from it on.
-
-    Pieces are dealt into groups of about ``rows`` rows, each of which is one call on arrays.
-    """
-    size = at_time.agg(F.count(F.lit(1))).first()[0]
-    groups = max(1, -(-size // rows))
-    group = F.pmod(F.xxhash64(*series, "__piece"), F.lit(groups)).alias("__group")
-    names = [[f"{x}{i}" for i in range(width)] for x in "nmq"]
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        keys = [*series, "__piece", "__block"]
-        df = df.assign(__part=df.groupby(keys, dropna=False, sort=False).ngroup())
-        df = df.sort_values(["__part", "__us"], ignore_index=True)
-        part, parts = df["__part"].to_numpy(), [df[x].to_numpy() for x in names]
-        lower = merge_forward(*parts, part)
-        upper = [x[::-1] for x in merge_forward(*(x[::-1] for x in parts), part[::-1])]
-        out = df[[*series, "__us", "__piece", "__block"]].copy()
-        for name, found in (("__lower", lower), ("__upper", upper)):
-            out[name] = [dict(zip("nmq", row)) for row in zip(*(x.tolist() for x in found))]
-        return out
-
-    kinds = [f"`{c}` {at_time.schema[c].dataType.simpleString()}" for c in (*series, "__us", "__piece", "__block")]
-    shape = ", ".join([*kinds, f"__lower {_SUMMARY}", f"__upper {_SUMMARY}"])
-    return at_time.withColumn("__group", group).groupBy("__group").applyInPandas(run, shape)
-
-
-def _across_pieces(halves: DataFrame, series: Sequence[str], width: int) -> DataFrame:
-    """Extend summaries over the pieces that a block was cut into; a table of one row a piece carries them."""
-    key = [*series, "__block", "__piece"]
-    whole = halves.groupBy(*key).agg(F.max_by("__lower", "__us").alias("__all"))
-    w = Window.partitionBy(*series, "__block").orderBy("__piece")
-
-    def fold(frame: WindowSpec) -> Column:
-        return F.aggregate(F.collect_list("__all").over(frame), F.lit(None).cast(_SUMMARY), _both)
-
-    def _both(a: Column, b: Column) -> Column:
-        merged = [_merged(a, b, i) for i in range(width)]
-        return F.struct(*[F.array(*[x[j] for x in merged]).alias(name) for j, name in enumerate("nmq")])
-
-    carried = whole.select(
-        *[F.col(c).alias(f"__k_{c}") for c in key],
-        fold(w.rowsBetween(Window.unboundedPreceding, -1)).alias("__earlier"),
-        fold(w.rowsBetween(1, Window.unboundedFollowing)).alias("__rest"),
-    )
-    same = reduce(lambda a, b: a & b, [halves[c].eqNullSafe(carried[f"__k_{c}"]) for c in key])
-    return halves.join(carried, same).select(
-        *series, "__us", "__block",
-        _both(F.col("__earlier"), F.col("__lower")).alias("__lower"),
-        _both(F.col("__upper"), F.col("__rest")).alias("__upper"),
-    )
-
-
 def anomaly_details(flagged: DataFrame, columns: Sequence[str], threshold: float = 3.0) -> DataFrame:
     """One row per column: flagged count, rate, smallest and largest flagged value."""
     aggregates = []
