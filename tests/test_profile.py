@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tsprep.operators import profile
@@ -58,3 +59,22 @@ def test_summary_and_comparison_hold_moments(spark):
     assert got["t", "earliest"] == 10.0
     both = profile.compare_datasets(df, df.select("x")).where("statistic = 'latest'").first()
     assert both["value_Original"] == 10.0 and both["value_Modified"] is None
+
+
+def test_rank_correlation_reads_rows_once(spark):
+    """However many pairs of columns there are; gaps and equal values as by hand."""
+    rows = [(i, None if i % 7 == 3 else float(i * i % 11), None if i % 5 == 1 else float(i % 4)) for i in range(60)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(v):
+        seen.add(1)
+        return v
+
+    noted = F.udf(note, "double", useArrow=False)
+    df = spark.createDataFrame(rows, "a long, b double, c double").withColumn("a", noted(F.col("a").cast("double")))
+    got = {(r[0], r[1]): r[2] for r in profile.correlation_spearman(df, ["a", "b", "c"]).collect()}
+    assert seen.value == 60
+    for (x, i), (y, j) in [(p, q) for p in zip("abc", range(3)) for q in zip("abc", range(3))]:
+        both = [(float(r[i]), float(r[j])) for r in rows if r[i] is not None and r[j] is not None]
+        ranks = [[sum(w < v for w in s) + (s.count(v) + 1) / 2 for v in s] for s in zip(*both)]
+        assert abs(got[x, y] - np.corrcoef(*ranks)[0, 1]) < 1e-9

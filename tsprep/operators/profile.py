@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import keep
 from .impute import numeric_columns
 from .ordered import MAX_SERIES_ROWS, Split, running_sum
 from .quantiles import exact_quantiles
@@ -381,47 +382,39 @@ def correlation_spearman(
 ) -> DataFrame:
     """Pearson correlation of average ranks over the rows where both columns are known.
 
-    Value pairs are counted first, so frequent values travel once; ranks come from running
-    sums over the distinct values of each side.
+    Equal rows are counted first and travel once. A value has one rank for each other column, among the
+    rows where that column is known too; ranks come from running sums over the distinct values.
     """
     columns = list(columns or numeric_columns(df))
+    count = range(len(columns))
     pairs = list(combinations_with_replacement(columns, 2))
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("pair"),
-                F.col(a).cast("double").alias("a"),
-                F.col(b).cast("double").alias("b"),
-            )
-            for i, (a, b) in enumerate(pairs)
-        ]
-    )
-    counted = (
-        df.select(F.inline(cells))
-        .filter(F.col("a").isNotNull() & F.col("b").isNotNull())
-        .groupBy("pair", "a", "b")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    ranked = counted
-    for side in ("a", "b"):
-        totals = counted.groupBy("pair", side).agg(F.sum("n").alias("m"))
-        summed = running_sum(totals, {"upto": "m"}, ("pair",), (side,), max_series_rows)
-        rank = (F.col("upto") - (F.col("m") - 1) / F.lit(2.0)).alias(f"rank_{side}")
-        ranked = ranked.join(summed.select("pair", side, rank), ["pair", side])
-    x, y, n = F.col("rank_a"), F.col("rank_b"), F.col("n")
-    rows = F.sum(n)
-    mean_x, mean_y = F.sum(n * x) / rows, F.sum(n * y) / rows
-    # ranks average (rows + 1) / 2, so centred sums need no second pass
-    cov = F.sum(n * x * y) / rows - mean_x * mean_y
-    var_x = F.sum(n * x * x) / rows - mean_x * mean_x
-    var_y = F.sum(n * y * y) / rows - mean_y * mean_y
-    found = ranked.groupBy("pair").agg(
-        F.try_divide(cov, F.sqrt(var_x * var_y)).alias("correlation")
-    )
-    wide = found.agg(
-        *[
-            F.max(F.when(F.col("pair") == i, F.col("correlation"))).alias(f"__{i}")
-            for i in range(len(pairs))
-        ]
-    )
+    rows = df.select(*[F.col(c).cast("double").alias(f"__v{i}") for i, c in enumerate(columns)])
+    ranked = keep(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("__n")))
+    # for each column its values, with the number of rows that hold them beside each column
+    known = [F.when(F.col(f"__v{j}").isNotNull(), F.col("__n")).alias(f"m{j}") for j in count]
+    cells = [F.struct(F.lit(i).alias("column"), F.col(f"__v{i}").alias("v")) for i in count]
+    totals = ranked.select(F.inline(F.array(*cells)), *known).where("v IS NOT NULL")
+    totals = totals.groupBy("column", "v").agg(*[F.coalesce(F.sum(f"m{j}"), F.lit(0)).alias(f"m{j}") for j in count])
+    upto = {f"upto{j}": f"m{j}" for j in count}
+    summed = running_sum(keep(totals), upto, ("column",), ("v",), max_series_rows)
+    rank = [F.col(f"upto{j}") - (F.col(f"m{j}") - 1) / F.lit(2.0) for j in count]
+    ranks = keep(summed.select("column", "v", F.array(*rank).alias("rank")))
+    for i in count:
+        of = ranks.where(F.col("column") == i).select(F.col("v").alias(f"__v{i}"), F.col("rank").alias(f"__r{i}"))
+        ranked = ranked.join(of, f"__v{i}", "left")
+
+    def correlation(i: int, j: int) -> Column:
+        both = F.col(f"__v{i}").isNotNull() & F.col(f"__v{j}").isNotNull()
+        n = F.when(both, F.col("__n"))
+        x, y = F.col(f"__r{i}")[j], F.col(f"__r{j}")[i]
+        rows = F.sum(n)
+        mean_x, mean_y = F.sum(n * x) / rows, F.sum(n * y) / rows
+        # ranks average (rows + 1) / 2, so centred sums need no second pass
+        cov = F.sum(n * x * y) / rows - mean_x * mean_y
+        var_x = F.sum(n * x * x) / rows - mean_x * mean_x
+        var_y = F.sum(n * y * y) / rows - mean_y * mean_y
+        return F.try_divide(cov, F.sqrt(var_x * var_y))
+
+    at = {c: i for i, c in enumerate(columns)}
+    wide = ranked.agg(*[correlation(at[a], at[b]).alias(f"__{i}") for i, (a, b) in enumerate(pairs)])
     return _matrix(wide, pairs)
