@@ -140,3 +140,20 @@ def test_equal_losses_go_to_the_first_name(spark, samples, tmp_path):
         sinks.register_model(spark, str(tmp_path), "x", name, model, 1.0)
     saved = sinks.registered_models(spark, str(tmp_path)).orderBy("saved_at", "model").first()
     assert sinks.load_best_model(spark, str(tmp_path))[0] == saved["model"]
+
+
+def test_search_by_the_normal_solver_reads_samples_once(spark, samples):
+    """The trials share one pass, and get the models that each would get from the samples."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(v):
+        seen.add(1)
+        return v
+
+    noted = samples.withColumn("target", F.udf(note, "double", useArrow=False)(F.col("target").cast("double")))
+    found = modeling.search(noted, "linear", n_trials=6, config={"solver": "normal"}).collect()
+    assert seen.value <= 3 * samples.count()
+    trial = found[0]
+    config = {"solver": "normal", **{k: float(v) for k, v in trial["settings"].items()}}
+    alone = modeling.evaluate(modeling.train_model(samples, "linear", config), samples, "val").first()
+    assert abs(alone["penalised_loss"] - trial["loss"]) < 1e-6 * abs(trial["loss"])

@@ -6,12 +6,16 @@ import datetime as dt
 import logging
 import math
 import random
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import (
     GBTRegressionModel,
     GBTRegressor,
@@ -171,6 +175,55 @@ def draw_settings(name: str, n_trials: int, seed: int) -> list[dict[str, Any]]:
     return trials
 
 
+def _moments(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Count, means and sums of products of deviations of the rows."""
+    mean = x.mean(axis=0)
+    return float(len(x)), mean, (x - mean).T @ (x - mean)
+
+
+def _same_moments(training: DataFrame) -> DataFrame:
+    """A few weighted rows with the total weight, means and covariances of features and target.
+
+    They lie on both sides of the mean, along the columns of a root of the covariances.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                y = batch["target"].to_numpy(zero_copy_only=False)
+                x = batch["x"].flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1)
+                n, mean, products = _moments(np.column_stack([x, y]).astype(np.float64))
+                yield pa.RecordBatch.from_pydict({"n": [n], "mean": [mean], "products": [products.ravel()]})
+
+    flat = training.select(vector_to_array("features").alias("x"), F.col("target").cast("double").alias("target"))
+    parts = flat.mapInArrow(run, "n double, mean array<double>, products array<double>")
+    found = parts.rdd.map(lambda r: (r["n"], np.array(r["mean"]), np.array(r["products"]))).treeReduce(_pooled)
+    n, mean, width = found[0], found[1], len(found[1])
+    root = _root(found[2].reshape(width, width) / n) * width**0.5
+    points = [mean + sign * side for side in root.T for sign in (1.0, -1.0)]
+    rows = [(Vectors.dense(p[:-1]), float(p[-1]), n / len(points)) for p in points]
+    return training.sparkSession.createDataFrame(
+        rows, training.select("features", "target").schema.add("weight", "double")
+    )
+
+
+def _pooled(a: tuple, b: tuple) -> tuple:
+    """Moments of both parts; nothing is subtracted."""
+    n, apart = a[0] + b[0], b[1] - a[1]
+    between = np.outer(apart, apart).ravel() * (a[0] * b[0] / n)
+    return n, a[1] + apart * (b[0] / n), a[2] + b[2] + between
+
+
+def _root(covariance: np.ndarray) -> np.ndarray:
+    """A lower triangle whose product with its transpose is the matrix; dependent columns add nothing."""
+    root = np.zeros_like(covariance)
+    for j in range(len(covariance)):
+        rest = covariance[j:, j] - root[j:, :j] @ root[j, :j]
+        if rest[0] > 1e-14 * covariance[j, j]:
+            root[j:, j] = rest / rest[0] ** 0.5
+    return root
+
+
 def search(
     assembled: DataFrame,
     name: str,
@@ -182,13 +235,17 @@ def search(
     """Random search: one row per trial with its settings and validation loss, best first.
 
     The models of all trials are scored in one pass over the validation rows. ``config`` holds for
-    every trial, such as the linear solver "normal", which reads the samples once for each.
+    every trial. The linear solver "normal" knows the samples by their means and covariances alone,
+    which are gathered in one pass for all trials.
     """
     spark = assembled.sparkSession
     estimator = make_estimator(name, config, seed)
     trials = draw_settings(name, n_trials, seed)
     maps = [{estimator.getParam(k): v for k, v in t.items()} for t in trials]
-    models = dict(estimator.fitMultiple(_training_rows(assembled, name), maps))
+    training = _training_rows(assembled, name)
+    if name == "linear" and estimator.getSolver() == "normal":
+        training, estimator = _same_moments(training), estimator.setWeightCol("weight")
+    models = dict(estimator.fitMultiple(training, maps))
     rows = _usable(assembled).filter(F.col("split") == "val").select("features", "target")
     scored = predictions([models[i] for i in range(n_trials)], rows).select(
         F.col("target").alias("actual"), F.posexplode("predictions").alias("trial", "predicted")
