@@ -260,3 +260,17 @@ def test_options_of_the_other_model_are_left_aside(spark):
     df = spark.createDataFrame([(float(i), float(i) if i % 3 else None) for i in range(30)], "x double, y double")
     filled = op.model_impute(df, "y", ["x"], "rf", n_neighbors=5, n_estimators=3)
     assert filled.where("y IS NULL").count() == 0
+
+
+def test_nearest_neighbours_move_only_rows_with_a_gap(spark):
+    """Rows without a gap reach the result from the scan, without a join or a shuffle."""
+    rows = [(i, i * 1.0 if i % 3 else None, i * 2.0 if i % 4 else None, i * 3.0 if i % 5 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "event_id int, a double, b double, t double")
+    out = op.knn_impute(df, "t", ["a", "b"], "event_id", 1)
+    assert {r.event_id: r.t for r in out.collect() if r.event_id % 5} == {r[0]: r[3] for r in rows if r[0] % 5}
+    assert out.filter("t IS NULL").count() == 0
+    plan = out._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() == "Project":
+        plan = plan.children().head()
+    assert plan.nodeName() == "Union"
+    assert "Join" not in plan.children().head().toString()

@@ -40,3 +40,16 @@ def test_empty_table(spark):
     placed = ordered.positioned(df, (), ("i",), split)
     assert ordered.carry(placed, {"last": F.col("v")}, {}, (), ("i",), split).collect() == []
     assert ordered.running_sum(df, {"upto": "v"}, (), ("i",), split).collect() == []
+
+
+def test_positions_meet_their_rows_without_a_shuffle(spark):
+    """The starts of the ranges are files of a known size, so the rows stay where they are."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "40000")
+    try:
+        df = spark.range(200_000).selectExpr("id % 3 AS s", "id AS i", "cast(hash(id) AS string) AS v")
+        numbered = ordered.number_rows(df, ("s",), ("i",))
+        plan = numbered._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+        assert numbered.filter(f"{ordered.SEQ} <> floor(i / 3)").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -239,7 +239,7 @@ def knn_impute(
         known = sum(n for h, n, _ in has if h[i])
         means[c] = sum(g[c] for h, _, g in has if h[i]) / known if known else None
 
-    filled = df.select(key, *features)
+    found = {}
     for i, f in enumerate(features):
         others = [c for c in features if c != f]
 
@@ -248,22 +248,44 @@ def knn_impute(
 
         gaps = {pick(h) for h, _, _ in has if not h[i]}
         donors = {pick(h) for h, _, _ in has if h[i]}
-        # always from the original gaps: the features are filled side by side
-        side = df.select(key, *features)
-        values = _knn_column(side, f, others, gaps, donors, means[f], key, k, weights)
-        if values is not None:
-            filled = values.join(filled.drop(f), key)
+        if gaps:
+            # always from the original gaps: the features are filled side by side
+            side = df.select(key, *features)
+            found[f] = _knn_column(side, f, others, gaps, donors, key, k, weights)
     full = tuple(means[f] is not None for f in features)
-    table = filled.join(df.select(key, target), key)
     gaps = {full} if any(not h[-1] for h, _, _ in has) else set()
     donors = {full} if any(h[-1] for h, _, _ in has) else set()
-    if gaps and any(full):
-        table = keep(table)
-    values = _knn_column(table, target, features, gaps, donors, means[target], key, k, weights)
-    if values is None:
+    if not gaps:
         return df.select(*names)
-    rest = df.select(*[c for c in df.columns if c != target])
-    return rest.join(values, key).select(*names)
+    table = _gaps_filled(df.select(key, *columns), found, means, key, write=any(full))
+    values = _knn_column(table, target, features, gaps, donors, key, k, weights)
+    return _gaps_filled(df, {target: values}, means, key).select(*names)
+
+
+def _gaps_filled(
+    df: DataFrame,
+    found: Mapping[str, DataFrame | None],
+    means: Mapping[str, float | None],
+    key: str,
+    write: bool = False,
+) -> DataFrame:
+    """Fill the gaps of each column by what was ``found`` for their keys, else by the mean.
+
+    Only rows with a gap are moved, and with ``write`` written; the others stay in the scan.
+    """
+    if not found:
+        return df
+    complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in found])
+    gaps, known = df.filter(~complete), df.filter(complete)
+    for c, hits in found.items():
+        met, none, mean = [], [], F.lit(means[c])
+        if hits is not None:
+            gaps = gaps.join(hits, F.col(key) == F.col("__key"), "left")
+            met, none = [F.col("__value")], [F.lit(None).cast("double")]
+        gaps = _replace(gaps, c, F.coalesce(c, *met, mean), df.columns)
+        # nothing to fill, but the same type as the gaps
+        known = _replace(known, c, F.coalesce(c, *none, mean), df.columns)
+    return known.unionByName(keep(gaps) if write else gaps)
 
 
 def _knn_column(
@@ -272,19 +294,16 @@ def _knn_column(
     coords: Sequence[str],
     gaps_have: set[tuple],
     donors_have: set[tuple],
-    mean: float | None,
     key: str,
     k: int,
     weights: str,
 ) -> DataFrame | None:
-    """(key, target) with every NULL of ``target`` filled; None when there is none.
+    """``__key, __value`` of the gaps of ``target``; None when no donor shares a coordinate with them.
 
     ``gaps_have`` and ``donors_have`` list which coordinates are present together. A gap meets the donors
     of each pattern in the coordinates both have. All pairs of patterns are groups of one search, in which
     the other coordinates are 0 on both sides.
     """
-    if not gaps_have:
-        return None
     groups: dict[tuple[int, int], int] = {}
     of_gap: dict[int, list[int]] = {}
     of_donor: dict[int, list[int]] = {}
@@ -296,7 +315,7 @@ def _knn_column(
                 if number not in of_gap.setdefault(has, []):
                     of_gap[has].append(number)
     if not groups:
-        return df.select(key, F.coalesce(target, F.lit(mean)).alias(target))
+        return None
     common = [c for _, c in groups]
     present = reduce(
         Column.__add__, [F.col(c).isNotNull().cast("int") * (1 << i) for i, c in enumerate(coords)]
@@ -322,10 +341,7 @@ def _knn_column(
     # one row per gap and donor pattern: at most 2 ** len(coords) lists of k
     near = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)
     found = hits.groupBy(key).agg(near.alias("near"))
-    found = found.select(F.col(key).alias("__key"), _weighted("near", weights).alias("__value"))
-    return df.join(found, df[key] == found["__key"], "left").select(
-        key, F.coalesce(target, "__value", F.lit(mean)).alias(target)
-    )
+    return found.select(F.col(key).alias("__key"), _weighted("near", weights).alias("__value"))
 
 
 def _mask(pattern: Sequence[bool]) -> int:

@@ -80,10 +80,13 @@ def number_rows(
         F.min(_POS).alias("__first"), F.count(F.lit(1)).alias("__rows")
     )
     earlier = F.sum("__rows").over(by_part.rowsBetween(Window.unboundedPreceding, -1))
-    starts = starts.select(
-        *[F.col(c).alias(f"__s_{c}") for c in series_by],
-        F.col(_PART).alias("__p"),
-        (F.coalesce(earlier, F.lit(0)) - F.col("__first")).alias("__shift"),
+    # written as well: Spark then knows its size before it joins, and the rows need not move again
+    starts = keep(
+        starts.select(
+            *[F.col(c).alias(f"__s_{c}") for c in series_by],
+            F.col(_PART).alias("__p"),
+            (F.coalesce(earlier, F.lit(0)) - F.col("__first")).alias("__shift"),
+        )
     )
     same = reduce(
         lambda a, b: a & b,
@@ -173,7 +176,7 @@ def carry(
         *[F.max_by(c, F.when(c.isNotNull(), F.col(SEQ))).alias(n) for n, c in forward.items()],
         *[F.min_by(c, F.when(c.isNotNull(), F.col(SEQ))).alias(n) for n, c in backward.items()],
     )
-    edges = _carried(edges, list(forward), list(backward), series_by)
+    edges = keep(_carried(edges, list(forward), list(backward), series_by))
     return _beside(inside, edges, series_by).select(
         *df.columns,
         *[F.coalesce(f"__in_{n}", f"__out_{n}").alias(n) for n in [*forward, *backward]],
@@ -200,7 +203,7 @@ def running_sum(
     w = Window.partitionBy(*series_by, _CHUNK).orderBy(SEQ).rowsBetween(*up_to_here)
     inside = chunked.select("*", *[F.sum(v).over(w).alias(f"__in_{n}") for n, v in sums.items()])
     edges = chunked.groupBy(*series_by, _CHUNK).agg(*[F.sum(v).alias(n) for n, v in sums.items()])
-    edges = _summed(edges, list(sums), series_by)
+    edges = keep(_summed(edges, list(sums), series_by))
     return _beside(inside, edges, series_by).select(
         *df.columns, *[(F.col(f"__in_{n}") + F.col(f"__out_{n}")).alias(n) for n in sums]
     )
