@@ -157,3 +157,18 @@ def test_search_by_the_normal_solver_reads_samples_once(spark, samples):
     config = {"solver": "normal", **{k: float(v) for k, v in trial["settings"].items()}}
     alone = modeling.evaluate(modeling.train_model(samples, "linear", config), samples, "val").first()
     assert abs(alone["penalised_loss"] - trial["loss"]) < 1e-6 * abs(trial["loss"])
+
+
+def test_window_features_are_made_once(spark, monkeypatch):
+    """The split's range shuffle reads its rows twice, so these have to come from files."""
+    plans = []
+    split = training.chronological_split
+
+    def seen(samples, *args):
+        plans.append(samples._jdf.queryExecution().optimizedPlan().toString())
+        return split(samples, *args)
+
+    monkeypatch.setattr(training, "chronological_split", seen)
+    samples = training.make_samples(line(spark, range(40)), 3, "x", ["x"], max_series_rows=10)
+    assert samples.count() == 37
+    assert len(plans) == 1 and "Window" not in plans[0]

@@ -28,10 +28,11 @@ def make_samples(
 ) -> DataFrame:
     """Window features, target, split and feature vector of every sample.
 
-    Written once: the training loops read it many times.
+    Written once: the training loops read it many times. The window features are written before the
+    split as well, whose range shuffle reads its rows twice: for a sample and to move them.
     """
     split = choose_split(df, series_by, max_series_rows)
-    pooled = pooled_features(df, window_size, target, features, series_by, order_by, split)
+    pooled = keep(pooled_features(df, window_size, target, features, series_by, order_by, split))
     parted = chronological_split(pooled, train_ratio, val_ratio, series_by, order_by, split)
     names = [c for c in pooled.columns if c not in (*series_by, *order_by, "target")]
     return keep(modeling.assemble(parted, names))
