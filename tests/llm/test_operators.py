@@ -525,6 +525,55 @@ def test_backoff_has_no_word_limit(spark):
     assert got[1] == pytest.approx(np.log(1 / 70_000) * 70 + np.log(0.4) * 69)
 
 
+def shuffled_rows(df):
+    """Rows that the exchanges of a plan that ran have written."""
+    def inside(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            yield from inside(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            yield from inside(node.plan())
+        else:
+            if name == "Exchange":
+                yield node.metrics().apply("shuffleRecordsWritten").value()
+            children = node.children()
+            for i in range(children.size()):
+                yield from inside(children.apply(i))
+
+    return sum(inside(df._jdf.queryExecution().executedPlan()))
+
+
+def test_backoff_moves_pairs_packed_and_once(spark):
+    """Pairs used to be a row each, shuffled to their count and again to their rarer words."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{rng.randrange(3_000)}" for _ in range(2_000))) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(4)
+    scores = backoff_scores(df, frequent=10, numbered=1_000)
+    got = {r["doc_id"]: (r["n_words"], r["n_unknown"], r["log_score"]) for r in scores.collect()}
+    assert got == brute_scores(rows, 2)
+    assert 0 < shuffled_rows(scores) < 100_000  # of 400,000 pairs
+
+
+def test_backoff_on_odd_rows(spark, monkeypatch):
+    strange = "\x1cA\x0bb\x0cC\x1fd\xa0e \tÉf\x85g \u2003h\x00i a\r\nB"
+    rows = [r[:2] for r in ODD] + [(None, strange), (-(2**63), strange), (2**63 - 1, "a b"), (0, "a")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(2)
+    monkeypatch.setattr("tsprep.llm.backoff_lm.TEXT_BYTES", 100)
+    for part in (df.where("coalesce(doc_id, 0) < pow(2, 62)"), df.where("coalesce(doc_id, 0) > -pow(2, 62)")):
+        kept = [tuple(r) for r in part.collect()]
+        for order, numbered in ((1, 5), (2, 0), (2, 5), (2, 5_000)):
+            by_row = brute_scores([(n, text) for n, (_, text) in enumerate(kept)], order)
+            want = defaultdict(lambda: [0, 0.0])
+            for n, (doc, _) in enumerate(kept):
+                want[doc][0] += by_row[n][0]
+                want[doc][1] += by_row[n][2].expected
+            got = backoff_scores(part, order=order, numbered=numbered).collect()
+            assert {r["doc_id"]: r["n_words"] for r in got} == {doc: n for doc, (n, _) in want.items()}
+            assert len(got) == len(want)
+            for r in got:
+                assert r["log_score"] == pytest.approx(want[r["doc_id"]][1])
+
+
 def test_pipeline_by_brute_force(spark, sf):
     docs = table(spark, sf, "documents")
     good = corpus_pipeline.quality(spark, docs, sf)

@@ -3,8 +3,14 @@
 A word given those before it scores its n-gram's share among the n-grams of the words before; if the
 corpus holds the n-gram less than ``min_count`` times, ``alpha`` times the score by one word less, down
 to the word's own share. All words count, unless a vocabulary bounds them: then the others are one
-unknown word. N-grams are keyed by their words' numbers; exploded n-grams meet their counts hashed by
-these and are summed by document.
+unknown word. N-grams are keyed by their words' numbers.
+
+Pairs move once. A task cuts its texts with Arrow and scores what the bounded tables answer: words with
+a number, and pairs of the most frequent ones. The other pairs go, packed by bucket, to where all
+occurrences of a pair meet: a pair of numbered words by itself, one with a rare word by that word, whose own
+count then follows from the same rows, and one of two rare words by either, each adding the part that it
+knows. Sums by document come back. Longer n-grams are exploded, meet their counts hashed by their words'
+numbers and are summed by document.
 """
 
 from __future__ import annotations
@@ -14,6 +20,8 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
@@ -28,14 +36,46 @@ NUMBERED = 65_536
 FREQUENT = 512
 ALPHA = 0.4
 MIN_COUNT = 2
+#: Bytes of text that are cut into words at once.
+TEXT_BYTES = 4 * 2**20
+#: Words of all texts for each bucket of pairs, and the fewest buckets; a bucket is counted at once.
+BUCKET_WORDS, BUCKETS = 2**20, 64
+#: What a row of packed numbers holds: what its task scored, pairs of numbered words, pairs with a rare
+#: word, pairs with a rare word before.
+SCORED, NUMBERS, RARE, RARE_BEFORE = range(4)
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows that follow one another with about ``TEXT_BYTES`` of text."""
+    ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cuts = np.flatnonzero(np.diff(ends // TEXT_BYTES, prepend=0))
+    for start, end in zip([0, *cuts], [*cuts, len(batch)]):
+        if end > start:
+            yield batch.slice(start, end - start)
+
+
+def _cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts one after another, and the position of each one's text."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, at = found.flatten(), pc.list_parent_indices(found)
+    full = pc.not_equal(flat, "")
+    return flat.filter(full), at.filter(full).to_numpy()
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``word, n`` over all documents; words lie between 0x20 and 0x09-0x0D, A-Z in lower case."""
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    split = F.split(F.translate(whole_text(text_col), upper, lower), "[ \\t-\\r]+")
-    found = docs.select(F.explode(split).alias("word")).where("word <> ''")
-    return found.groupBy("word").agg(F.count("*").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                parts = (_cut(part.column("text"))[0].value_counts() for part in _slices(batch))
+                found = pa.concat_tables(pa.table(p.flatten(), ["word", "n"]) for p in parts)
+                found = found.group_by("word").aggregate([("n", "sum")])
+                yield from found.rename_columns(["word", "n"]).to_batches()
+
+    texts = docs.select(whole_text(text_col).alias("text"))
+    found = texts.mapInArrow(run, "word string, n bigint")
+    return found.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(counts: DataFrame, most: int) -> list[Row]:
@@ -171,6 +211,209 @@ def _met(rows: DataFrame, names: list[str], near: DataFrame, far: DataFrame | No
     return met.unionByName(rows.where(~is_near).join(far, names))
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Eight bytes a number, all first bytes first: those that are mostly equal compress to nearly nothing."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(parts: pa.ChunkedArray, at: np.ndarray, summed: bool = False) -> np.ndarray:
+    """The numbers of some rows, one row's after the other's; each row's sums so far if ``summed``."""
+    found = [np.zeros(0, np.int64)]
+    for i in at:
+        x = np.frombuffer(parts[int(i)].as_buffer(), np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel()
+        found.append(np.cumsum(x) if summed else x)
+    return np.concatenate(found)
+
+
+def _times(key: np.ndarray) -> np.ndarray:
+    """How often each entry is there."""
+    codes = pd.factorize(key)[0]
+    return np.bincount(codes)[codes]
+
+
+class Pairs:
+    """Scores of words after the one before, in the task of a text and in that of a bucket of pairs.
+
+    The text's task scores each word as if its pair were not found, except for the count of a word without
+    number; the bucket's task adds the difference.
+    """
+
+    def __init__(self, top: list[str], counts: list[int], total: int, whole: bool, alpha: float, min_count: int):
+        self.top = pa.array(top, pa.string())
+        #: also stands for the word before a text's first
+        self.size = len(top) + 1
+        self.whole, self.min_count = whole, min_count
+        counts = np.array([total - sum(counts), *counts, 1], np.int64)
+        self.log_n = np.log(np.maximum(counts, 1))
+        self.log_total, self.log_alpha = np.log(max(total, 1)), np.log(alpha)
+        self.buckets = max(BUCKETS, total // BUCKET_WORDS)
+
+    def known(self, words: pa.Array) -> np.ndarray:
+        """Numbers from 1 on; 0 for the other words."""
+        at = pc.index_in(words, value_set=self.top.cast(words.type))
+        return pc.fill_null(at, -1).to_numpy().astype(np.int64) + 1
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """The other words by hash, as negative numbers of 63 bits, if all words count."""
+        if not self.whole:
+            return self.known(words)
+        found = words.dictionary_encode()
+        number = self.known(found.dictionary)
+        rare = number == 0
+        names = found.dictionary.filter(pa.array(rare)).cast(pa.binary()).to_numpy(zero_copy_only=False)
+        hashes = pd.util.hash_array(names, categorize=False)
+        number[rare] = -1 - (hashes >> np.uint64(1)).astype(np.int64)
+        return number[found.indices.to_numpy()]
+
+    def hot_counts(self, texts: DataFrame, few: int) -> np.ndarray:
+        """How often each pair of numbers below ``few`` is there, at ``before * few + word``."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts = np.zeros(few * few, np.int64)
+            for batch in batches:
+                for part in _slices(batch):
+                    words, at = _cut(part.column("text"))
+                    x = self.known(words)
+                    if self.whole:
+                        x[x == 0] = few
+                    two = (x[1:] < few) & (x[:-1] < few) & (at[1:] == at[:-1])
+                    counts += np.bincount((x[:-1] * few + x[1:])[two], minlength=len(counts))
+            seen = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], ["pair", "n"])
+
+        found = texts.select("text").mapInArrow(run, "pair bigint, n bigint")
+        found = found.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+        out = np.zeros(few * few, np.int64)
+        out[found["pair"].to_numpy()] = found["n"].to_numpy()
+        return out
+
+    def rows(self, part: pa.RecordBatch, order: int, hot: np.ndarray, few: int) -> Iterator[tuple]:
+        """``bucket, kind, doc, word, before, score`` of some texts, packed."""
+        doc = part.column("doc").to_numpy(zero_copy_only=False)
+        words, at = _cut(part.column("text"))
+        word = self.numbers(words)
+        first = np.ones(len(word), bool)
+        before = np.full(len(word), self.size)
+        if order > 1:
+            first[1:] = at[1:] != at[:-1]
+            before[1:] = word[:-1]
+            before[first] = self.size
+        known, known_before = word >= 0, before >= 0
+        score = np.where(known, self.log_n[np.where(known, word, 0)], 0.0)
+        score += np.where(first, 0.0, self.log_alpha) - self.log_total
+        is_hot = known & (word < few) & known_before & (before < few)
+        i = np.flatnonzero(is_hot)
+        n = hot[before[i] * few + word[i]]
+        i, n = i[n >= self.min_count], n[n >= self.min_count]
+        score[i] = np.log(n) - self.log_n[before[i]]
+
+        sums = np.bincount(at, score, len(doc)).astype(np.float64)  # whole numbers if there are no words
+        n_words, n_unknown = np.bincount(at, minlength=len(doc)), np.bincount(at[word == 0], minlength=len(doc))
+        ids = np.diff(doc, prepend=0)
+        yield int(doc[0] % self.buckets), SCORED, _packed(ids), _packed(n_words), _packed(n_unknown), _packed(sums)
+
+        pair = (before * (self.size + 1) + word).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for kind, some, key in (
+            (NUMBERS, known & known_before & ~first & ~is_hot, (pair >> np.uint64(32)).astype(np.int64)),
+            (RARE, ~known, word),
+            (RARE_BEFORE, ~known_before, before),
+        ):
+            i = np.flatnonzero(some)
+            bucket = key[i] % self.buckets
+            # numbers of 16 bits are sorted by counting
+            by_bucket = np.argsort(bucket.astype(np.uint16 if self.buckets < 2**16 else np.int64), kind="stable")
+            i, bucket = i[by_bucket], bucket[by_bucket]
+            cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+            for start, end in zip(cuts, [*cuts[1:], len(i)]):
+                j = i[start:end]
+                ids = np.diff(doc[at[j]], prepend=0)
+                yield int(bucket[start]), kind, _packed(ids), _packed(word[j]), _packed(before[j]), b""
+
+    def scores(self, rows: pa.Table) -> pa.Table:
+        """``doc, score, n_words, n_unknown`` of one bucket."""
+        kinds = rows["kind"].to_numpy()
+        docs, words, befores = {}, {}, {}
+        for kind in range(4):
+            at = np.flatnonzero(kinds == kind)
+            docs[kind], words[kind], befores[kind] = (
+                _unpacked(rows[c], at, summed=c == "doc") for c in ("doc", "word", "before")
+            )
+            if kind == SCORED:
+                scored = _unpacked(rows["score"], at).view(np.float64)
+        found, more = [], []
+
+        word, before = words[NUMBERS], befores[NUMBERS]
+        n = _times(before * (self.size + 1) + word)
+        i = n >= self.min_count
+        found.append(docs[NUMBERS][i])
+        more.append(np.log(n[i]) - self._unless_found(word[i]) - self.log_n[before[i]])
+
+        # each occurrence of a rare word is a row of RARE, so these rows tell its count
+        owner, of_owner = pd.factorize(np.concatenate([words[RARE], befores[RARE_BEFORE]]))
+        own, own_before = owner[: len(words[RARE])], owner[len(words[RARE]) :]
+        log_own = np.log(np.maximum(np.bincount(own, minlength=len(of_owner)), 1))
+
+        before = befores[RARE]
+        n = self._times_with(own, before)
+        log_before = self.log_n[np.where(before >= 0, before, self.size)]  # 0 for rare ones
+        up = np.log(n) - log_before - self.log_alpha + self.log_total
+        is_found = (n >= self.min_count) & (before != self.size)
+        found.append(docs[RARE])
+        more.append(np.where(is_found, up, log_own[own]))
+
+        word = words[RARE_BEFORE]
+        n = self._times_with(own_before, word)
+        i = n >= self.min_count
+        word, n = word[i], n[i]
+        up = np.where(word >= 0, np.log(n) - self._unless_found(np.where(word >= 0, word, 0)), 0.0)
+        found.append(docs[RARE_BEFORE][i])
+        more.append(up - log_own[own_before[i]])
+
+        at, ids = pd.factorize(np.concatenate([docs[SCORED], *found]))
+        here = at[: len(scored)]
+        columns = {
+            "doc": ids,
+            "score": np.bincount(at, np.concatenate([scored, *more]), len(ids)).astype(np.float64),
+            "n_words": np.bincount(here, words[SCORED], len(ids)).astype(np.int64),
+            "n_unknown": np.bincount(here, befores[SCORED], len(ids)).astype(np.int64),
+        }
+        return pa.table(columns)
+
+    def _unless_found(self, word: np.ndarray) -> np.ndarray:
+        return self.log_alpha + self.log_n[word] - self.log_total
+
+    @staticmethod
+    def _times_with(owner: np.ndarray, other: np.ndarray) -> np.ndarray:
+        codes, of_codes = pd.factorize(other)
+        return _times(owner * (len(of_codes) + 1) + codes)
+
+
+def _pair_scores(texts: DataFrame, pairs: Pairs, order: int, few: int) -> DataFrame:
+    """``doc, score, n_words, n_unknown`` of every document by pairs, or by single words."""
+    # ids travel as plain numbers, so a missing one gets a number that is not there
+    low, high = texts.agg(F.min("doc"), F.max("doc")).first()
+    absent = 0 if high is None else high + 1 if high < 2**63 - 1 else low - 1
+    texts = texts.select(F.coalesce("doc", F.lit(absent).cast("bigint")).alias("doc"), "text")
+    hot = pairs.hot_counts(texts, few) if order > 1 else np.zeros(few * few, np.int64)
+    names = ["bucket", "kind", "doc", "word", "before", "score"]
+    types = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch):
+                columns = zip(*pairs.rows(part, order, hot, few))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+    dealt = texts.mapInArrow(
+        run, "bucket int, kind int, doc binary, word binary, before binary, score binary"
+    )
+    met = dealt.groupBy("bucket").applyInArrow(
+        lambda rows: pairs.scores(rows), "doc bigint, score double, n_words bigint, n_unknown bigint"
+    )
+    sums = met.groupBy("doc").agg(*(F.sum(c).alias(c) for c in ("score", "n_words", "n_unknown")))
+    return sums.withColumn("doc", F.nullif("doc", F.lit(absent).cast("bigint")))
+
+
 def backoff_scores(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -199,14 +442,40 @@ def backoff_scores(
         top = frequent_words(counts, numbered)
     else:
         top = counts.orderBy(F.desc("n"), "word").limit(vocabulary).collect()
-    model = Words([r["word"] for r in top], whole)
-    known = [r["n"] for r in top]
-    one = docs.sparkSession.createDataFrame(
-        list(enumerate([total - sum(known), *known])), "c0 bigint, n bigint"
+    top, known = [r["word"] for r in top], [r["n"] for r in top]
+    few = min(frequent, len(top) + 1, max(1, int(2 ** (18 / order))))
+    if order <= 2:
+        sums = _pair_scores(texts, Pairs(top, known, total, whole, alpha, min_count), order, few)
+    else:
+        one = docs.sparkSession.createDataFrame(
+            list(enumerate([total - sum(known), *known])), "c0 bigint, n bigint"
+        )
+        model = Words(top, whole)
+        rest = _rare(counts, model) if whole else None
+        sums = _gram_scores(texts, model, one, rest, total, alpha, min_count, few, order)
+    n = F.coalesce("n_words", F.lit(0))
+    score = F.coalesce("score", F.lit(0.0))
+    return sums.select(
+        F.col("doc").alias("doc_id"),
+        n.alias("n_words"),
+        F.coalesce("n_unknown", F.lit(0)).alias("n_unknown"),
+        score.alias("log_score"),
+        F.when(n > 0, score / n).alias("mean_log_score"),
     )
-    rest = _rare(counts, model) if whole else None
-    few = min(frequent, model.size, max(1, int(2 ** (18 / order))))
 
+
+def _gram_scores(
+    texts: DataFrame,
+    model: Words,
+    one: DataFrame,
+    rest: DataFrame | None,
+    total: int,
+    alpha: float,
+    min_count: int,
+    few: int,
+    order: int,
+) -> DataFrame:
+    """``doc, score, n_words, n_unknown`` of every document by n-grams of at least three words."""
     # x is a row's score so far; of is_context rows only the count of c0, ... is still to be divided by
     every = _exploded(texts, model, order).withColumns({"x": F.lit(0.0), "is_context": F.lit(False)})
     unknown = F.when(F.col("c0") == 0, F.col("m")).otherwise(0)
@@ -240,11 +509,8 @@ def backoff_scores(
             for rows in (near, far)
         )
     numbered_only = F.col("c0") >= 0
-    if order == 2:
-        met = near.join(F.broadcast(one), "c0").unionByName(_met(far, ["c0"], one, rest, numbered_only))
-    else:
-        rows = keep(near.unionByName(far)) if near else every.withColumn("unknown", unknown)
-        met = _met(rows, ["c0"], one, rest, numbered_only)
+    rows = keep(near.unionByName(far))
+    met = _met(rows, ["c0"], one, rest, numbered_only)
     share = F.log(F.col("n") / F.lit(float(total)))
     x = F.col("x") + F.when(F.col("is_context"), -F.log("n")).otherwise(share)
     done.append(met.select("doc", "m", "unknown", x.alias("x")))
@@ -256,17 +522,9 @@ def backoff_scores(
         F.sum("m").alias("n_words"),
         F.sum("unknown").alias("n_unknown"),
     )
-    everyone = texts.select("doc").distinct().withColumnRenamed("doc", "doc_id")
-    out = everyone.join(sums, everyone["doc_id"].eqNullSafe(sums["doc"]), "left")
-    n = F.coalesce("n_words", F.lit(0))
-    score = F.coalesce("score", F.lit(0.0))
-    return out.select(
-        "doc_id",
-        n.alias("n_words"),
-        F.coalesce("n_unknown", F.lit(0)).alias("n_unknown"),
-        score.alias("log_score"),
-        F.when(n > 0, score / n).alias("mean_log_score"),
-    )
+    everyone = texts.select(F.col("doc").alias("id")).distinct()
+    out = everyone.join(sums, everyone["id"].eqNullSafe(sums["doc"]), "left")
+    return out.select(F.col("id").alias("doc"), "score", "n_words", "n_unknown")
 
 
 def _rare(counts: DataFrame, model: Words) -> DataFrame:
