@@ -70,7 +70,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             if len(batch):
                 parts = (_cut(part.column("text"))[0].value_counts() for part in _slices(batch))
                 found = pa.concat_tables(pa.table(p.flatten(), ["word", "n"]) for p in parts)
-                found = found.group_by("word").aggregate([("n", "sum")])
+                found = found.group_by("word", use_threads=False).aggregate([("n", "sum")])
                 yield from found.rename_columns(["word", "n"]).to_batches()
 
     texts = docs.select(whole_text(text_col).alias("text"))
@@ -292,6 +292,7 @@ class Pairs:
         doc = part.column("doc").to_numpy(zero_copy_only=False)
         words, at = _cut(part.column("text"))
         word = self.numbers(words)
+        del words
         first = np.ones(len(word), bool)
         before = np.full(len(word), self.size)
         if order > 1:
@@ -299,7 +300,7 @@ class Pairs:
             before[1:] = word[:-1]
             before[first] = self.size
         known, known_before = word >= 0, before >= 0
-        score = np.where(known, self.log_n[np.where(known, word, 0)], 0.0)
+        score = self.log_n[np.where(known, word, self.size)]  # 0 for rare ones
         score += np.where(first, 0.0, self.log_alpha) - self.log_total
         is_hot = known & (word < few) & known_before & (before < few)
         i = np.flatnonzero(is_hot)
@@ -312,14 +313,14 @@ class Pairs:
         ids = np.diff(doc, prepend=0)
         yield int(doc[0] % self.buckets), SCORED, _packed(ids), _packed(n_words), _packed(n_unknown), _packed(sums)
 
-        pair = (before * (self.size + 1) + word).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        for kind, some, key in (
-            (NUMBERS, known & known_before & ~first & ~is_hot, (pair >> np.uint64(32)).astype(np.int64)),
-            (RARE, ~known, word),
-            (RARE_BEFORE, ~known_before, before),
+        del score
+        for kind, some in (
+            (NUMBERS, known & known_before & ~first & ~is_hot),
+            (RARE, ~known),
+            (RARE_BEFORE, ~known_before),
         ):
             i = np.flatnonzero(some)
-            bucket = key[i] % self.buckets
+            bucket = self._bucket(kind, word[i], before[i])
             # numbers of 16 bits are sorted by counting
             by_bucket = np.argsort(bucket.astype(np.uint16 if self.buckets < 2**16 else np.int64), kind="stable")
             i, bucket = i[by_bucket], bucket[by_bucket]
@@ -329,6 +330,17 @@ class Pairs:
                 ids = np.diff(doc[at[j]], prepend=0)
                 yield int(bucket[start]), kind, _packed(ids), _packed(word[j]), _packed(before[j]), b""
 
+    def _bucket(self, kind: int, word: np.ndarray, before: np.ndarray) -> np.ndarray:
+        if kind == RARE:
+            return word % self.buckets
+        if kind == RARE_BEFORE:
+            return before % self.buckets
+        pair = self._pair(word, before).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (pair >> np.uint64(32)).astype(np.int64) % self.buckets
+
+    def _pair(self, word: np.ndarray, before: np.ndarray) -> np.ndarray:
+        return before * (self.size + 1) + word
+
     def scores(self, rows: pa.Table) -> pa.Table:
         """``doc, score, n_words, n_unknown`` of one bucket."""
         kinds = rows["kind"].to_numpy()
@@ -343,7 +355,7 @@ class Pairs:
         found, more = [], []
 
         word, before = words[NUMBERS], befores[NUMBERS]
-        n = _times(before * (self.size + 1) + word)
+        n = _times(self._pair(word, before))
         i = n >= self.min_count
         found.append(docs[NUMBERS][i])
         more.append(np.log(n[i]) - self._unless_found(word[i]) - self.log_n[before[i]])
