@@ -1,12 +1,17 @@
 """The operators on small tables: odd rows, brute force, the tokenizers' own results, and SQL."""
 
+import contextlib
+import os
 import random
 import hashlib
+import threading
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -395,6 +400,98 @@ def test_neighbours_of_odd_vectors(spark):
     assert nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_neighbours_need_few_copies_on_disk(spark, monkeypatch):
+    """Copies of the vectors for 16 tables and 224 probes, all at once, outgrew the disk."""
+    monkeypatch.setattr(cross_polytope, "MOVED", 0, raising=False)
+    rng, most, over = np.random.default_rng(3), [0], threading.Event()
+    rows = [(i, [float(x) for x in rng.normal(size=64)]) for i in range(2_000)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").localCheckpoint()
+    dirs = [d.getPath() for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def on_disk():
+        files = [f for d in dirs for f in Path(d).glob("*/shuffle_*")]
+        return sum(os.stat(f).st_size for f in files if os.path.exists(f))
+
+    def watch():
+        while not over.wait(0.01):
+            with contextlib.suppress(OSError):
+                most[0] = max(most[0], on_disk())
+
+    before = on_disk()
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        assert nearest(df, F.col("vec_id") % 20 == 0, tables=8).count() == 2_000
+    finally:
+        over.set()
+        watcher.join()
+    assert 0 < most[0] - before < 6 * 2_000 * 256
+
+
+def test_neighbours_from_cells_and_several_passes(spark, monkeypatch):
+    """Buckets cut into cells, and tables taken a few at a time, lose no neighbours."""
+    rng = np.random.default_rng(4)
+    heart = rng.normal(size=(120, 24))
+    rows = [(f"n{i:05d}", (heart[i % 120] + 0.4 * rng.normal(size=24))) for i in range(3_000)]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id string, embedding array<double>")
+    results = []
+    for whole, moved in ((10**6, 1 << 40), (10**6, 0), (16, 0)):
+        monkeypatch.setattr(cross_polytope, "WHOLE", whole)
+        monkeypatch.setattr(cross_polytope, "MOVED", moved)
+        monkeypatch.setattr(cross_polytope, "MOVED_X", 0)
+        found = nearest(df, F.col("vec_id").endswith("00"), k=10, tables=6).collect()
+        results.append({(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found})
+    assert results[0] == results[1]
+    want = exact_neighbours(rows, lambda q: q.endswith("00"), 10)
+    assert len(results[2]) == 10 * len(want)
+    assert np.mean([i in want[q] for q, _, i, _ in results[2]]) >= 0.97
+
+
+def meeting(x, q, bounds, k=5):
+    """Pairs found where ``x`` is one bucket of ``cross_polytope`` that all of ``q`` probe, cut into cells."""
+    search = cross_polytope._Search(x.shape[1], np.dtype("f8"), float(np.linalg.norm(x, axis=1).max()), k, 1, 1)
+    search.whole = 10
+    cell = search.cells.axes(cross_polytope.on_sphere(x, search.radius), 0, 1)[:, 0].astype(search.code)
+    ends, asked = np.array([0, len(x)]), np.array([0, len(q)])
+    heads = {"key": pa.array([0]), "n": pa.array([len(x)])}
+    ids = pa.array(np.arange(len(x))[::-1])
+    there = {"ids": cross_polytope._lists(ids, ends), "x": cross_polytope._bytes(x, ends), "cell": cross_polytope._bytes(cell, ends)}
+    here = {
+        "ids": cross_polytope._lists(pa.array(np.arange(len(q))), asked),
+        "x": cross_polytope._bytes(q, asked), "bound": cross_polytope._bytes(bounds, asked),
+    }
+    found = cross_polytope._Meet(search, True)(pa.table(heads | there), pa.table(heads | here))
+    out = defaultdict(list)
+    for r in found.to_pylist():
+        out[r["q"]].append((-r["score"], r["id"]))
+    return {a: [i for _, i in sorted(b)] for a, b in out.items()}
+
+
+def test_a_bucket_in_cells_without_bounds_and_with_ties():
+    rng = np.random.default_rng(5)
+    for x in (rng.normal(size=(500, 16)), rng.integers(-1, 2, (500, 4)).astype(float)):
+        x = x[(x != 0).any(axis=1)]
+        q = x[::25].copy()
+        want = {}
+        for i, v in enumerate(q):
+            score = sum(v[j] * x[:, j] for j in range(x.shape[1]))
+            ids = np.arange(len(x))[::-1]
+            want[i] = list(ids[np.lexsort((ids, -score))][:6])
+        assert meeting(x, q, np.full(len(q), -np.inf)) == want
+
+
+def test_cells_that_hold_no_neighbour_are_skipped():
+    """A bound near the best leaves out most cells, and keeps the neighbours."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4_000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    q = x[:200] + 0.05 * rng.normal(size=(200, 32))
+    q /= np.linalg.norm(q, axis=1)[:, None]
+    found = meeting(x, q, np.full(200, 0.9), k=0)
+    right = sum(found.get(i) == [3_999 - i] for i in range(200))
+    assert right >= 90 and all(len(v) == 1 for v in found.values())  # one table alone finds half at least
+
+
 def test_licenses_odd_rows(spark, odd, none):
     body = "a b c " * 40
     rows = [
